@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .decontaminate import contamination
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .quality import quality_rules
 from .sharding import minimax_shards
 from .shared import table
+from .substring_dedup import dedup_substrings
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +32,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,8 +51,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op5_packing": op5_packing,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op7_decontamination": oracles.DECONTAMINATION,
+}
