@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .decontaminate import contamination
+from .langid import identify
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .quality import quality_rules
@@ -28,6 +29,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096)
 
@@ -50,6 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
