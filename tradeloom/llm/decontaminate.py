@@ -154,7 +154,7 @@ def _search_block(docs: DataFrame, tests: Tests, window: int) -> DataFrame:
                 spans, items = [b""] * part.num_rows, [[] for _ in range(part.num_rows)]
                 order = np.argsort(doc, kind="stable")
                 cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()[: len(cuts)], strict=True):
                     here, d = order[a:b], int(doc[order[a]])
                     pairs = np.unique(np.stack([place[here] - array.first[d], tests.length[suffix[here]]], 1), axis=0)
                     spans[d] = pairs.astype("<i8").tobytes()
