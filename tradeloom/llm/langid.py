@@ -217,7 +217,7 @@ def identify(docs: DataFrame, sample_docs: int = 400) -> DataFrame:
     return predict(rows, model).select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, sample_docs: int = 400, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, sample_docs: int = 400, least_score: float = 0.3) -> DataFrame:
     """The documents, with their own columns, whose language is found with a score of least_score or more."""
     found = predict(docs, train(docs, sample_docs))
     return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least_score)).drop("_lang_pred", "_lang_score")

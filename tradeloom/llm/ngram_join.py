@@ -380,3 +380,15 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     named = ids.join(named, "component").select("class", "component_id")
     # a class may hold a third of all rows: the narrow table on the other side is unique in the key
     return own.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, with their own columns, that no other document of their component precedes: one of each group.
+
+    The one with the component's doc_id stays; of rows that repeat this doc_id, and of equal sets, one. Documents
+    without words stay.
+    """
+    found = ngram_jaccard(docs.select("doc_id", "text"), k, percent)
+    stay = found.groupBy("doc_id", "component_id").agg(F.max("n_shingles").alias("_n")).where("doc_id = component_id or _n = 0").select(F.col("doc_id").alias("_stay")).distinct()
+    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])

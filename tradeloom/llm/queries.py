@@ -10,6 +10,7 @@ from . import oracles
 from .decontaminate import contamination
 from .html_extract import extract_main_text
 from .langid import identify
+from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .quality import quality_rules
@@ -39,6 +40,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_secret_scans": op2_secret_scans,
     "op3_language_id": op3_language_id,
+    "op4_license_scans": op4_license_scans,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,

@@ -13,17 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder and read from there: later jobs survive lost executors.
-
-    The folder is spark.checkpoint.dir of the session. Only where that is unset (tests, one machine)
-    a local folder takes its place.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only where that is unset (tests, one machine) a local folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-", dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-", dir=os.environ.get("TMPDIR")))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the cluster's checkpoint folder and read from there: later jobs survive lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
