@@ -13,6 +13,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +24,42 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import kept
 
-CACHED_WORDS = 400_000
+#: Words that a tokenizer remembers, and bytes of text at a time.
+CACHED_WORDS = 600_000
+SLICE = 1 << 20
+
+
+_ALNUM = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_CLOSING = np.isin(np.arange(256), list(b".,;:!?#$%&*)"))
+
+
+def _without_closing(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans with a word's closing punctuation as a span of its own."""
+    if not len(starts):
+        return starts, ends, first
+    core = np.maximum.accumulate(np.where(_CLOSING[data], 0, np.arange(1, len(data) + 1)))[ends - 1]
+    # what stands before it must be a letter or digit: 0-9 A-Z a-z, or U+00C0 to U+00FF but for two signs
+    last, before = data[core - 1], data[np.maximum(core - 2, 0)]
+    two = (core > starts) & (core < ends) & (_ALNUM[last] | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    shift = np.concatenate([[0], np.cumsum(two)])
+    a, b = np.repeat(starts, 1 + two), np.repeat(ends, 1 + two)
+    at = (np.arange(len(starts)) + shift[:-1])[two]
+    b[at], a[at + 1] = core[two], core[two]
+    return a, b, first + shift[first]
 
 
 class WordTokenizer:
     """Ids of texts by a `tokenizers` file whose pre-tokenizer drops white space.
 
-    With such a file no token spans white space, so each distinct word is encoded once and its ids are looked
-    up afterwards, by the word's 64-bit hash. The memory of words is bounded; it starts anew when full, which
-    changes no result.
+    With such a file, one that lower-cases and splits letters from the punctuation after them, no token spans
+    white space or the start of a word's closing punctuation. So each distinct piece (A-Z lower-cased) is encoded
+    once, and its ids are looked up afterwards by its 64-bit hash. The memory of pieces is bounded; it starts
+    anew when full, which changes no result.
     """
 
+    #: Stands between pieces that are encoded in one call; it cuts a text before anything else looks at it.
+    MARK, SPECIAL = "<|startoftext|>", b"<|"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -46,24 +73,38 @@ class WordTokenizer:
         self._ids = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids, length = [self._ids], []
-        for at in range(0, len(words), 20_000):
-            for e in self._tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False):
-                got = e.ids
-                ids.append(got)
-                length.append(len(got))
-        length = np.array(length, np.int64)
+        new: list[list[int]] = []
+        mark = self._tokenizer.token_to_id(self.MARK)
+        plain = [w if self.MARK not in w else "" for w in words]
+        for at in range(0, len(plain), 6_400):
+            some = plain[at : at + 6_400]
+            for e in self._tokenizer.encode_batch_fast([self.MARK.join(some[i : i + 64]) for i in range(0, len(some), 64)], add_special_tokens=False):
+                ids: list[int] = []
+                for x in e.ids:
+                    if x == mark:
+                        new.append(ids)
+                        ids = []
+                    else:
+                        ids.append(x)
+                new.append(ids)
+        for i, w in enumerate(words):
+            if not plain[i]:
+                new[i] = self._tokenizer.encode(w, add_special_tokens=False).ids
+        length = np.fromiter(map(len, new), np.int64, len(new))
         hashes = np.concatenate([self._hashes, hashes])
         first = np.concatenate([self._first, len(self._ids) + np.cumsum(length) - length])
         length = np.concatenate([self._length, length])
         order = np.argsort(hashes)
         self._hashes, self._first, self._length = hashes[order], first[order], length[order]
-        self._ids = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if len(ids) < 3 else np.fromiter((y for x in ids for y in x), np.uint32)
+        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(new), np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and the n+1 offsets of the texts."""
         data, offsets = W.packed(texts)
+        if self.SPECIAL not in data.tobytes():  # special tokens are told by their case
+            data = W.lowered(data)
         starts, ends, first = W.spans(data, offsets)
+        starts, ends, first = _without_closing(data, starts, ends, first)
         words, at, back = np.unique(W.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         for _ in range(2):
             place = np.searchsorted(self._hashes, words)
@@ -84,6 +125,12 @@ class WordTokenizer:
         return self._ids[index], total[first]
 
 
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each Python worker: tasks that follow reuse it and the words it knows."""
+    return WordTokenizer(path)
+
+
 class OpenWindows:
     """A fixed number of open windows in order of their free space."""
 
@@ -140,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, windows: int =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokenizer, open_, done = WordTokenizer(tokenizer_path), OpenWindows(size, windows), 0
+        tokenizer, open_, done = tokenizer_of(tokenizer_path), OpenWindows(size, windows), 0
         doc_type = None
 
         def rows(sequences: list[list], left: bool) -> pa.RecordBatch:
@@ -156,7 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, windows: int =
             return pa.RecordBatch.from_arrays([pa.array(c, doc_type if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=names)
 
         for batch in batches:
-            for some in W.slices(batch):
+            for some in W.slices(batch, limit=SLICE):
                 doc_type = some.column("doc_id").type
                 full: list[list] = []
                 all_ids, first = tokenizer.encode(some.column("text"))
