@@ -383,12 +383,15 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The documents, with their own columns, that no other document of their component precedes: one of each group.
+    """The documents, with their own columns, one of each component: the one with the component's doc_id.
 
-    The one with the component's doc_id stays; of rows that repeat this doc_id, and of equal sets, one. Documents
-    without words stay.
+    Documents without words stay, and so do rows without a doc_id. Where doc_ids repeat, rows that repeat a text too
+    are one document.
     """
-    found = ngram_jaccard(docs.select("doc_id", "text"), k, percent)
-    stay = found.groupBy("doc_id", "component_id").agg(F.max("n_shingles").alias("_n")).where("doc_id = component_id or _n = 0").select(F.col("doc_id").alias("_stay")).distinct()
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    found = kept(ngram_jaccard(docs.select("doc_id", "text"), k, percent))
+    stay = found.where("doc_id = component_id or n_shingles = 0").select(F.col("doc_id").alias("_stay"))
+    rows = docs.join(stay.distinct(), F.col("doc_id") == F.col("_stay"), "left_semi")
+    n, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if n > ids:  # narrow rows tell; only then are texts compared
+        rows = rows.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    return rows.unionByName(docs.where("doc_id is null"))
