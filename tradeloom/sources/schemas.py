@@ -3,8 +3,12 @@
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "date": T.DateType(), "double": T.DoubleType(), "timestamp": T.TimestampType()}
+
+
 def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Fields of `name kind, ...`; unlike DDL this needs no running session, so workers can import it."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in text.split(", "))])
 
 
 TRADES = _fields(
