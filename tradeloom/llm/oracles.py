@@ -41,3 +41,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
 FROM d LEFT JOIN h USING (rid) LEFT JOIN m USING (rid) LEFT JOIN v USING (rid)
 """
+
+
+def quality_rules(rules, phrases: tuple[bytes, ...]) -> str:
+    """SQL of the line rules with the given limits (see quality.LineRules)."""
+    n_of = lambda cls: f"length(regexp_replace(line, '[^{cls}]', '', 'g'))"
+    boiler = " OR ".join(f"contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{p.decode()}')" for p in phrases)
+    num = lambda x: f"{x!r}::DOUBLE"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i+1], w[i+2]) AS times FROM d, unnest(range(1, len(w) - 1)) t(i) WHERE len(w) >= 3),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM g, unnest(range(i, i + 3)) t(p) WHERE times > 1 GROUP BY rid),
+a AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT rid, line, regexp_extract_all(line, '{_SPACED}') AS lw FROM a),
+c AS (SELECT rid, line, len(lw) AS n, len(list_distinct(lw)) AS dist, {n_of('#*$%&|<>')} AS sym, {n_of('!')} AS bang, {n_of('|')} AS bars, {n_of('A-Z')} AS up, {n_of('a-z')} AS low FROM l),
+f AS (SELECT *, (sym >= 2 AND sym >= {num(rules.symbols_per_word)} * greatest(n, 1)) OR (bang >= 3 AND bang >= {num(rules.shouts_per_word)} * greatest(n, 1)) OR (n >= 5 AND up >= {num(rules.capitals)} * (up + low) AND up >= 10)
+  OR (bars >= 2 AND bars >= {num(rules.separators_per_word)} * greatest(n, 1)) OR (n >= 10 AND dist <= {num(rules.distinct)} * n) OR (n <= {rules.boilerplate_words} AND ({boiler})) AS fails FROM c),
+s AS (SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, coalesce(sum(n) FILTER (fails), 0)::BIGINT AS lost, count(*) FILTER (fails) AS failed FROM f GROUP BY rid),
+q AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < {rules.min_words} OR coalesce(r.n, 0) > {num(rules.max_repeat)} * len(w) AS base_failed, coalesce(lost, 0)::BIGINT AS n_words_lost, coalesce(failed, 0)::BIGINT AS n_lines_failed FROM d LEFT JOIN r USING (rid) LEFT JOIN s USING (rid))
+SELECT *, NOT base_failed AND n_words_lost <= {num(rules.max_loss)} * n_words AS kept FROM q
+"""
