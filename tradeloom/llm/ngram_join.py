@@ -29,13 +29,16 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import kept, partitions
+from .shared import kept
 
-#: Classes in one signature tree, and n-gram hashes in one part of the hash space.
-TREE = 512
-PART_HASHES = 2_000_000
+#: Classes in one signature tree; n-gram hashes in one part of the hash space, and the least number of parts.
+TREE = 4096
+PART_HASHES = 4_000_000
+PARTS = 48
 FAN = 8
 BITS = 1024
+#: Node pairs looked at in one step; bounds the memory of a descent.
+PAIRS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -135,8 +138,8 @@ def _dealt(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 rows = [(-1 - number, number, _blob(cls), _blob(n.astype(np.uint32)), b"", b"")]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     here = which[a:b]  # sorted
-                    at = np.concatenate([[0], np.flatnonzero(here[1:] != here[:-1]) + 1])
-                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint32)), _blob(own[a:b].astype(np.uint32)), _blob((own[a:b] >> np.uint64(32)).astype(np.uint8))))
+                    at = np.union1d(np.flatnonzero(here[1:] != here[:-1]) + 1, np.arange(0, b - a, 65535))  # counts of 16 bits
+                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint16)), _blob(own[a:b].astype(np.uint32)), _blob((own[a:b] >> np.uint64(32)).astype(np.uint8))))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], names=["part", "slice", "cls", "cnt", "low", "high"])
 
@@ -149,12 +152,13 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     part = key[0].as_py()
     if part < 0:
         return pa.table({"slice": rows["slice"], "cls": rows["cls"], "cnt": rows["cnt"], "tok": pa.nulls(len(rows), pa.binary()), "df": pa.nulls(len(rows), pa.binary())})
-    cls, cnt = _joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint32).astype(np.int64)
+    cls, cnt = _joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint16).astype(np.int64)
     tok = _joined(rows["low"], np.uint32).astype(np.uint64) | _joined(rows["high"], np.uint8).astype(np.uint64) << np.uint64(32)
     slices = np.repeat(rows["slice"].to_numpy(), [len(x) // 8 for x in rows["cls"].to_pylist()])
     order = np.lexsort((slices, cls))  # a class that several slices hold counts once, in its first slice
+    new = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
     keep = np.zeros(len(cls), bool)
-    keep[order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])]] = True
+    keep[order] = slices[order] == slices[order][new][np.cumsum(new) - 1]
     of = np.repeat(np.arange(len(cls)), cnt)
     some = keep[of]
     tok, of = tok[some], of[some]
@@ -246,24 +250,44 @@ class SignatureTree:
             at = np.arange(0, len(low), FAN)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at), np.maximum.reduceat(count, at)))
 
-    def descend(self, limit: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of sets i < j that the bounds leave, and the largest overlap that each may have."""
-        x = y = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
+    def labelled(self, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Least and greatest label below each node, by level."""
+        out = [(labels, labels)]
+        for _ in self.levels[1:]:
+            low, high = out[-1]
+            at = np.arange(0, len(low), FAN)
+            out.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+        return out
+
+    def descend(self, limit: Threshold, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of sets i < j that the bounds leave, and the largest overlap that each may have, some at a time.
+
+        Nodes whose members all have one label aren't compared with each other."""
+        named = self.labelled(labels)
+        kids = np.arange(FAN)
+        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            depth, x, y = todo.pop()
+            if len(x) > PAIRS:
+                todo += [(depth, x[PAIRS:], y[PAIRS:]), (depth, x[:PAIRS], y[:PAIRS])]
+                continue
             bits, low, high, extra, count = self.levels[depth]
+            first, last = named[depth]
+            keep = (first[x] != last[x]) | (first[y] != last[y]) | (first[x] != first[y])
+            keep &= (100 * high[x] >= limit.percent * low[y]) & (100 * high[y] >= limit.percent * low[x])
+            x, y = x[keep], y[keep]
             most = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(extra[x], extra[y])
             most = np.minimum(most, np.minimum(count[x], count[y]))
-            keep = limit.possible(most, low[x] + low[y]) & (100 * high[x] >= limit.percent * low[y]) & (100 * high[y] >= limit.percent * low[x])
+            keep = limit.possible(most, low[x] + low[y])
+            x, y, most = x[keep], y[keep], most[keep]
             if depth == 0:
-                keep &= x < y
-                return x[keep], y[keep], most[keep]
-            x, y = x[keep], y[keep]
-            below = len(self.levels[depth - 1][1])
-            kids = np.arange(FAN)
-            x, y = (x[:, None, None] * FAN + kids[:, None] + 0 * kids).ravel(), (y[:, None, None] * FAN + kids + 0 * kids[:, None]).ravel()
-            ok = (x <= y) & (y < below)
-            x, y = x[ok], y[ok]
-        return x, y, x
+                keep = x < y
+                yield x[keep], y[keep], most[keep]
+            elif len(x):
+                below = len(self.levels[depth - 1][1])
+                x, y = (x[:, None, None] * FAN + kids[:, None] + 0 * kids).ravel(), (y[:, None, None] * FAN + kids + 0 * kids[:, None]).ravel()
+                ok = (x <= y) & (y < below)
+                todo.append((depth - 1, x[ok], y[ok]))
 
 
 def tree_links(sizes: np.ndarray, tokens: list[np.ndarray], group: np.ndarray, outside: np.ndarray | None, limit: Threshold) -> list[tuple[int, int]]:
@@ -273,30 +297,42 @@ def tree_links(sizes: np.ndarray, tokens: list[np.ndarray], group: np.ndarray, o
     """
     order = np.argsort(sizes, kind="stable")
     sizes, group, tokens = sizes[order], group[order], [tokens[i] for i in order]
-    i, j, most = SignatureTree(sizes, tokens).descend(limit)
-    if outside is not None:
-        some = outside[order][i] != outside[order][j]
-        i, j, most = i[some], j[some], most[some]
-    some = limit.possible(most, sizes[i] + sizes[j]) & (group[i] != group[j])
-    i, j, most = i[some], j[some], most[some]
+    side = None if outside is None else outside[order]
     first: dict[int, int] = {}
     joined = _Joined(len(sizes))
     for a, g in enumerate(group.tolist()):
         joined.join(a, first.setdefault(g, a))
     links = []
-    for at in np.argsort(-most, kind="stable").tolist():
-        a, b = int(i[at]), int(j[at])
+
+    def compare(a: int, b: int) -> None:
         if joined.find(a) == joined.find(b):
-            continue
+            return
         overlap = len(np.intersect1d(tokens[a], tokens[b], assume_unique=True))
         if 100 * overlap >= limit.percent * (int(sizes[a]) + int(sizes[b]) - overlap):
             joined.join(a, b)
             links.append((int(order[a]), int(order[b])))
+
+    tree = SignatureTree(sizes, tokens)
+    step = 1
+    while step < len(sizes) and side is None:  # sets of like sizes first: near copies join before the trees are descended
+        for a in range(len(sizes) - step):
+            if limit.percent * int(sizes[a + step]) <= 100 * int(sizes[a]):
+                compare(a, a + step)
+        step *= 4
+    for i, j, most in tree.descend(limit, np.array([joined.find(a) for a in range(len(sizes))])):
+        if side is not None:
+            some = side[i] != side[j]
+            i, j, most = i[some], j[some], most[some]
+        some = limit.possible(most, sizes[i] + sizes[j])
+        i, j, most = i[some], j[some], most[some]
+        for at in np.argsort(-most, kind="stable").tolist():
+            compare(int(i[at]), int(j[at]))
     return links
 
 
 def _join_units(sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Links (u, v) within each unit; sets: unit, class, n, tok, grp, outside (null or boolean)."""
+    """Links (u, v) within each unit, as stars: each set that links join to others, and the least class of these.
+    sets: unit, class, n, tok, grp, outside (null or boolean)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in W.grouped(batches, "unit"):
@@ -306,8 +342,16 @@ def _join_units(sets: DataFrame, limit: Threshold) -> DataFrame:
             outside = None if unit["outside"].null_count else unit["outside"].to_numpy(zero_copy_only=False).astype(bool)
             links = tree_links(unit["n"].to_numpy(), [np.frombuffer(t, np.uint64) for t in unit["tok"].to_pylist()], unit["grp"].to_numpy(), outside, limit)
             if links:
-                a, b = np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], names=["u", "v"])
+                by_class = np.argsort(cls, kind="stable")  # the least number of a union is its least class
+                place = np.empty(len(cls), np.int64)
+                place[by_class] = np.arange(len(cls))
+                joined = _Joined(len(cls))
+                for a, b in links:
+                    joined.join(int(place[a]), int(place[b]))
+                own = np.array(sorted({int(place[x]) for link in links for x in link}))
+                root = np.array([joined.find(int(x)) for x in own])
+                u, v = cls[by_class[own]], cls[by_class[root]]
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
     columns = ["unit", "class", "n", "tok", "grp", "outside"]
     return sets.select(*columns).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
@@ -319,16 +363,16 @@ def _chunked(blocks: DataFrame, seed: int) -> DataFrame:
     return blocks.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(seed)), F.ceil(F.col("in_block") / TREE)))
 
 
-def block_links(sets: DataFrame, blocks: DataFrame, limit: Threshold) -> DataFrame:
-    """Links (u, v) that give the components within all blocks. sets: class, n, tok; blocks: class, block."""
+def block_components(sets: DataFrame, blocks: DataFrame, limit: Threshold) -> DataFrame:
+    """(class, component) of the classes that links join to others. sets: class, n, tok; blocks: class, block."""
     unset = F.lit(None).cast("boolean").alias("outside")
     chunked = kept(_chunked(blocks, 0))
     units = chunked.select("class", F.xxhash64("block", "chunk").alias("unit"), F.col("class").alias("grp"), unset)
     links = kept(_join_units(sets.join(units, "class"), limit))
     large = kept(chunked.where(F.col("in_block") > TREE).select("class", "block"))
     before = large.count()
-    if not before:
-        return links
+    if not before:  # every block is one tree, and its stars are its components
+        return links.select(F.col("u").alias("class"), F.col("v").alias("component"))
     seed, members = 0, before
     while True:  # representatives of the components, until they no longer get fewer
         seed += 1
@@ -348,7 +392,8 @@ def block_links(sets: DataFrame, blocks: DataFrame, limit: Threshold) -> DataFra
     unit = F.xxhash64("block", "a", "b", F.lit(7)).alias("unit")
     left = some.join(pairs, ["block", "a"]).select("class", unit, "grp", F.lit(True).alias("outside"))
     right = every.join(pairs, ["block", "b"]).select("class", unit, "grp", F.lit(False).alias("outside"))
-    return kept(links.union(_join_units(sets.join(left.union(right), "class"), limit)))
+    links = kept(links.union(_join_units(sets.join(left.union(right), "class"), limit)))
+    return components(links).select(F.col("id").alias("class"), "component")
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -362,18 +407,17 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
     Hashes of n-grams have 64 bits; to find common n-grams 40 bits and the part are used, in comparisons too.
     """
-    limit, spark = Threshold(percent), docs.sparkSession
+    limit = Threshold(percent)
     own = kept(sets_of(docs, k))
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(2 * partitions(spark), -(-total // PART_HASHES))
+    parts = max(PARTS, -(-total // PART_HASHES))
     shared = _dealt(docs, k, parts).groupBy("part").applyInArrow(_shared, "slice long, cls binary, cnt binary, tok binary, df binary")
     sets = kept(shared.groupBy("slice").applyInArrow(_candidates(limit), "class long, n long, tok binary, prefix array<long>"))
-    held = kept(sets.select("class", F.explode("prefix").alias("gram")))
+    held = sets.select("class", F.explode("prefix").alias("gram"))
     least = held.groupBy("gram").agg(F.min("class").alias("v"), F.count("*").alias("times")).where("times > 1")
     edges = held.join(least, "gram").where("class <> v").select(F.col("class").alias("u"), "v").distinct()
     blocks = kept(components(edges).select(F.col("id").alias("class"), F.col("component").alias("block")))
-    links = block_links(sets.select("class", "n", "tok"), blocks, limit)
-    joined = components(links).select(F.col("id").alias("class"), "component")
+    joined = block_components(sets.select("class", "n", "tok"), blocks, limit)
     ids = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     ids = ids.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = ids.groupBy("component").agg(F.min("least").alias("component_id"))
