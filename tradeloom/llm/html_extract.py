@@ -200,11 +200,11 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
 
     A subtree is a template if it occurs in min_pages or more different pages of its host, and in min_share of them;
     so a host's list has at most (elements of a mean page) / min_share entries. The host is that of the url; a null
-    or odd url counts as host ''. Null, empty and textless pages give an empty text; very long pages are read
+    or odd url counts as host ''. Hosts and subtrees go by 64-bit hashes. Null, empty and textless pages give an empty text; very long pages are read
     whole; repeated rows get equal results; an empty table gives an empty result; further columns are ignored.
     The host with a third of all pages is spread over ``salts`` keys.
     """
-    pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host().alias("_host"))
+    pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.xxhash64(_host()).alias("_host"))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +220,9 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
                     hosts += [host] * len(own)
                     nodes += own
                     roots += [main] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["_host", "node", "main"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["_host", "node", "main"])
 
-    seen = pages.select("_host", "html").mapInArrow(subtrees, "_host string, node long, main long").distinct().groupBy("_host", "node").agg(F.count("*").alias("n"))
+    seen = pages.select("_host", "html").mapInArrow(subtrees, "_host long, node long, main long").distinct().groupBy("_host", "node").agg(F.count("*").alias("n"))
     often = kept(seen.where(F.col("n") >= min_pages))
     totals = often.where("node = 0").select("_host", F.col("n").alias("total"))
     lists = often.where("node <> 0").join(totals, "_host").where(F.col("n") >= min_share * F.col("total")).groupBy("_host").agg(F.collect_list("node").alias("templates"))
