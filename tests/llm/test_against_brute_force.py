@@ -26,6 +26,7 @@ def known(corpus):
 def small_slices(monkeypatch):
     """Slices of a few texts, so that equal texts and passages lie in several."""
     monkeypatch.setattr(W.slices, "__defaults__", ("text", 2000))
+    monkeypatch.setattr(W, "WIDE_BYTES", 2000)
 
 
 @pytest.mark.parametrize("tree", [512, 2])

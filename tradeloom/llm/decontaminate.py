@@ -24,7 +24,7 @@ from .shared import kept
 
 #: Bytes of test text searched at once.
 BLOCK_BYTES = 8 << 20
-_HITS = {"_hit_spans": T.BinaryType(), "_hit_items": T.ArrayType(T.StringType()), "_hit_longest": T.LongType(), "_hit_words": T.LongType()}
+_HITS = {"_hit_spans": T.BinaryType(), "_hit_items": T.ArrayType(T.StringType()), "_hit_longest": T.LongType()}
 
 
 @dataclass
@@ -134,8 +134,23 @@ def _longest(place: np.ndarray, suffix: np.ndarray, tests: Tests, doc: np.ndarra
     return out
 
 
-def _search_block(docs: DataFrame, tests: Tests, window: int) -> DataFrame:
-    """docs with the hits of one block of tests joined to those of the blocks before."""
+_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("contaminated", pa.bool_())])
+
+
+def _verdict(words: int, spans: bytes, items: list[str], longest: int, share: int) -> dict:
+    hit = 0
+    if spans:
+        edge = np.zeros(words + 1, np.int64)
+        pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
+        np.add.at(edge, pairs[:, 0], 1)
+        np.add.at(edge, pairs[:, 0] + pairs[:, 1], -1)
+        hit = int((np.cumsum(edge) > 0).sum())
+    return {"n_words": words, "n_hit": hit, "items": sorted(set(items)), "longest": longest, "contaminated": hit > 0 and share * hit >= words}
+
+
+def _search_block(docs: DataFrame, tests: Tests, window: int, share: int | None) -> DataFrame:
+    """docs with the hits of one block of tests joined to those of the blocks before; with a share, which ends the
+    search, as the verdict _found instead."""
     shared = docs.sparkSession.sparkContext.broadcast(tests)
     names = [n for n in docs.columns if n not in _HITS]
     had = len(names) < len(docs.columns)
@@ -160,41 +175,21 @@ def _search_block(docs: DataFrame, tests: Tests, window: int) -> DataFrame:
                     spans[d] = pairs.astype("<i8").tobytes()
                     items[d] = [tests.names[i] for i in np.unique(tests.item[suffix[here]])]
                 if had:
-                    spans = [(x or b"") + y for x, y in zip(part.column("_hit_spans").to_pylist(), spans, strict=True)]
-                    items = [(x or []) + y for x, y in zip(part.column("_hit_items").to_pylist(), items, strict=True)]
+                    spans = [x + y for x, y in zip(part.column("_hit_spans").to_pylist(), spans, strict=True)]
+                    items = [x + y for x, y in zip(part.column("_hit_items").to_pylist(), items, strict=True)]
                     longest = np.maximum(longest, part.column("_hit_longest").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest), pa.array(np.diff(first))], names=[*names, *_HITS])
+                if share is None:
+                    out = dict(zip(_HITS, [pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest)], strict=True))
+                else:
+                    out = {"_found": pa.array([_verdict(*x, share) for x in zip(np.diff(first).tolist(), spans, items, longest.tolist(), strict=True)], _FOUND)}
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *out.values()], names=[*names, *out])
 
     schema = docs.select(*names).schema
-    for n, kind in _HITS.items():
+    for n, kind in (_HITS if share is None else {"_found": T.StructType.fromDDL("n_words long, n_hit long, items array<string>, longest long, contaminated boolean")}).items():
         schema = schema.add(n, kind)
     return docs.mapInArrow(run, schema)
 
 
-def _verdict(docs: DataFrame, share: int) -> DataFrame:
-    """The hit columns counted: n_words, n_hit, items as one struct column _found."""
-    names = [n for n in docs.columns if n not in _HITS]
-    kind = "n_words long, n_hit long, items array<string>, longest long, contaminated boolean"
-    schema = docs.select(*names).schema.add("_found", T.StructType.fromDDL(kind))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            found = []
-            for total, raw, items, longest in zip(*(part.column(n).to_pylist() for n in ("_hit_words", "_hit_spans", "_hit_items", "_hit_longest")), strict=True):
-                hit = 0
-                if raw:
-                    edge = np.zeros(total + 1, np.int64)
-                    pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
-                    np.add.at(edge, pairs[:, 0], 1)
-                    np.add.at(edge, pairs[:, 0] + pairs[:, 1], -1)
-                    hit = int((np.cumsum(edge) > 0).sum())
-                found.append({"n_words": total, "n_hit": hit, "items": sorted(set(items)), "longest": longest, "contaminated": hit > 0 and share * hit >= total})
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("contaminated", pa.bool_())])
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(found, kind)], names=[*names, "_found"])
-
-    return docs.mapInArrow(run, schema)
-
-
 def found_in(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """All columns of docs, and _found: n_words, n_hit, items, longest (verbatim match, words), contaminated.
 
@@ -211,10 +206,10 @@ def found_in(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int
     rows = benchmark.select(F.col("item_id"), F.col("text").cast("string"))
     for b in range(blocks):
         block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        frame = _search_block(frame, tests_of([tuple(r) for r in block.collect()], window), window)
+        frame = _search_block(frame, tests_of([tuple(r) for r in block.collect()], window), window, share if b + 1 == blocks else None)
         if b + 1 < blocks:
             frame = kept(frame)
-    return _verdict(frame, share).drop("_text")
+    return frame.drop("_text")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:

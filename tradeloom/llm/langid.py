@@ -25,7 +25,7 @@ from . import words as W
 
 START, OTHER, KNOWN = 0, 63, 62
 ORDER = 3
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.wide(batch):
                 hashes, offsets = shingles(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(_class_ids(_digests(hashes, offsets)), pa.int64())], names=["doc_id", "n_shingles", "class"])
 
@@ -121,7 +121,7 @@ def _dealt(docs: DataFrame, k: int, parts: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         seen: set[int] = set()
         for batch in batches:
-            for some in W.slices(batch):
+            for some in W.wide(batch):
                 hashes, offsets = shingles(some.column("text"), k)
                 ids = _class_ids(_digests(hashes, offsets))
                 fresh = [d for d, c in enumerate(ids) if c is not None and not (c in seen or seen.add(c))]

@@ -25,7 +25,7 @@ from . import words as W
 from .shared import kept
 
 #: Words that a tokenizer remembers, and bytes of text at a time.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 SLICE = 1 << 20
 
 

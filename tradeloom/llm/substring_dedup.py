@@ -53,7 +53,7 @@ def _prefix_counts(docs: DataFrame, window: int) -> np.ndarray:
 
         total = np.zeros(shape, np.int64)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.wide(batch):
                 data, offsets = W.packed(part.column("text"))
                 starts, ends, first = W.spans(data, offsets)
                 words, at = W.span_hashes(data, starts, ends), W.window_starts(first, window)
@@ -164,7 +164,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
     with_text adds kept_text (the words left, by single spaces) and removed (array of word spans, end exclusive:
     the maximal repeats). Null, empty and short texts have no windows and stay whole; a null doc_id counts as
     larger than any; rows with the same doc_id don't remove each other's words. Very long texts are one row of
-    a slice. An empty table gives an empty result; further columns of docs are ignored. docs is read four
+    a slice. An empty table gives an empty result; further columns of docs are ignored. docs is read three
     times and has to be a stored table (the same rows in the same partitions each time).
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -177,7 +177,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _number()
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.wide(batch):
                 number += 1
                 *_, labels, second, ids, group = _suffixes(part.column("text"), _ids(part.column("doc_id")), window, groups)
                 cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else [0]
@@ -216,7 +216,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _number()
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.wide(batch):
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(n)) for n in ("doc_id", "text"))], names=["slice", "doc_ids", "texts"])
 

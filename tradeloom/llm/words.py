@@ -13,7 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Slices whose contents are dealt to groups: wider ones make fewer rows.
+WIDE_BYTES = 4 << 20
+#: Bytes whose running sum is held at once.
+_PIECE = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,6 +46,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
+def wide(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return slices(batch, limit=WIDE_BYTES)
+
+
 def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end and the n+1 offsets; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -76,10 +84,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray = SPACED) -> t
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES // 4), base, _U)
+        steps = np.full(max(n, _PIECE + 1), base, _U)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 2 * SLICE_BYTES:
+        if n <= 2 * _PIECE:
             _powers[base] = have
     return have[:n]
 
@@ -92,11 +100,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one running sum over all bytes."""
-    n = len(data)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_BASE_INVERSE, n + 1)[starts])
+    """64-bit hash of each byte span, from running sums over the bytes. Spans come in order and don't overlap."""
+    out, at = np.empty(len(starts), _U), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _PIECE, side="right")))
+        first = starts[at]
+        piece = data[first : ends[to - 1]]
+        total = np.zeros(len(piece) + 1, _U)
+        np.cumsum((piece.astype(_U) + _U(1)) * _power(_BASE, len(piece)), out=total[1:])
+        a = starts[at:to] - first
+        out[at:to] = (total[ends[at:to] - first] - total[a]) * _power(_BASE_INVERSE, len(piece) + 1)[a]
+        at = to
+    return mix(out)
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
