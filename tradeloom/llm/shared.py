@@ -8,8 +8,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that Spark hands to Python at once. Texts are long, and the default of 10,000 holds their bytes twice, outside
+#: the heap and in the worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands BATCH_ROWS rows at most to Python at once; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark from whatever store the path names."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
