@@ -16,16 +16,18 @@ from tradeloom.llm.ngram_join import one_of_each_group
 from tradeloom.llm.packing import pack
 from tradeloom.llm.queries import tokenizer_path
 from tradeloom.llm.secrets import redact
-from tradeloom.llm.shared import checkpoint_folder, table
+from tradeloom.llm.shared import checkpoint_folder, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from these documents."""
+    small_batches(spark)
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id."""
+    small_batches(spark)
     return one_of_each_group(docs)
 
 
@@ -41,6 +43,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 4096 tokens."""
+    small_batches(spark)
     return pack(docs, tokenizer_path())
 
 
