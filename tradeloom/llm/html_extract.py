@@ -1,6 +1,6 @@
 """Main text of web pages by removal of each site's templates.
 
-1. Every page is parsed into elements. Each element's subtree (tags and text) has a hash.
+1. Every page is parsed into elements. Each element's subtree (tags and text) in the main content has a hash.
 2. Spark counts, for each host, in how many different pages a subtree occurs. Pages whose main content is the
    same count once: copies of one article are no template.
 3. Subtrees that recur across many pages of their host are deleted, and so are elements that by their tag, role or
@@ -153,6 +153,22 @@ def contents(root: Node) -> list[Node]:
     return [root]
 
 
+def _countable(root: Node) -> set[int]:
+    """Hashes of the subtrees of the main content that may be templates: blocks, and elements with attributes. What goes
+    by its name anyway isn't counted, nor what lies below it."""
+    found, stack = set(), []
+    for top in contents(root):
+        stack += [(x, top.tag != "#root") for x in top.children if isinstance(x, Node)]
+    while stack:
+        node, inside = stack.pop()
+        if _named(node, inside):
+            continue
+        if node.text_size and (node.tag in _BLOCK or node.attributes) and node.tag not in ("html", "body"):
+            found.add(node.hash)
+        stack += [(x, inside) for x in node.children if isinstance(x, Node)]
+    return found
+
+
 def blocks(root: Node, templates: set[int]) -> list[str]:
     """The text blocks of the main content in page order."""
     out: list[str] = []
@@ -212,10 +228,8 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
                 hosts, nodes, roots = [], [], []
                 for host, html in zip(part.column("_host").to_pylist(), part.column("html").to_pylist(), strict=True):
                     root = parse(html)
-                    tops = contents(root)
                     main = _root_hash(root)
-                    skip = {id(n) for n in tops} | {id(root)}
-                    own = {n.hash for n in _below(root) if n.text_size and id(n) not in skip and n.tag not in ("html", "body") and n.tag not in _RAW}
+                    own = _countable(root)
                     own.add(0)  # stands for the page itself
                     hosts += [host] * len(own)
                     nodes += own
