@@ -139,6 +139,23 @@ def test_least_capacity_is_found(spark, monkeypatch, bits, shards):
     assert max(sum(s for k, s in groups if sum(k >= x for x in starts) == i) for i in loads) <= capacity
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.95 / 24])
+def test_few_cells_are_counted_again_beside_a_large_group(spark, monkeypatch, share):
+    rows = spark.range(40000).selectExpr("xxhash64(id) AS key", "100 + id % 57 AS size")
+    total = rows.selectExpr("sum(size)").first()[0]
+    hot = int(total * share / (1 - share))
+    groups = rows.selectExpr("key", f"if(key = xxhash64(77L), {hot}, size) AS size").localCheckpoint()
+    sent, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (sent.append(len(data)), make(self, data, *a, **k))[1])
+    capacity, starts = H.boundaries(groups, 24)
+    assert max(sent, default=0) <= 256
+    loads = Counter()
+    for r in groups.collect():
+        loads[sum(r.key >= s for s in starts)] += r["size"]
+    assert len(loads) <= 24 and max(loads.values()) == capacity
+    assert share < 1 / 24 or capacity == hot  # the hot group alone is the bound
+
+
 def test_shards(spark, docs, empty, corpus):
     got = H.minimax_shards(docs, 24).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in corpus)

@@ -2,14 +2,16 @@
 
 Rows with equal texts form one atomic group. Groups are ordered by a 64-bit hash of their text, which
 needs no sort to start from: the key line is held on the driver as some thousand cells (a cell:
-a range of keys, its total size). A binary search over the capacity checks each value greedily on the
-cells; where a cut could fall inside a cell, that cell alone is counted again in 256 finer cells, until
-all cells at the cuts are single groups. Every step is an aggregation over narrow rows; texts never move.
+a range of keys, its total size). Filling shards greedily with cells as atoms bounds the least capacity
+from above, and with cells of several groups cut anywhere, from below. Cells at the cuts of these two
+fillings are counted again in finer cells, ROUND_CELLS at most a round, until the bounds meet.
+Every step is an aggregation over narrow rows; texts never move.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,87 +20,94 @@ from .shared import kept
 
 FIRST_BITS = 14
 STEP_BITS = 8
+#: Cells counted again in one round: the driver gets 2 ** STEP_BITS rows for each at most.
+ROUND_CELLS = 256
 
+#: least key, largest key, size, number of groups, bits of the key that its groups share at least
+Cell = tuple[int, int, int, int, int]
 
-def cuts_at(cells: list[tuple[int, int]], shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity for which filling shards greedily needs ``shards`` at most, and the numbers of
-    the cells that begin a new shard then. cells: (key, size) in order of the keys."""
+
+def _ends(cells: list[Cell]) -> list[int]:
     ends, total = [], 0
-    for _, size in cells:
-        ends.append(total := total + size)
-
-    def fill(capacity: int) -> list[int] | None:
-        starts, at, base = [], 0, 0
-        while True:
-            at = bisect_right(ends, base + capacity, lo=at)
-            if at >= len(ends):
-                return starts
-            if len(starts) == shards - 1:
-                return None
-            starts.append(at)
-            base = ends[at - 1]
-
-    low, high = max([-(-total // shards), *(size for _, size in cells)], default=0), total
+    for c in cells:
+        ends.append(total := total + c[2])
+    return ends
+
+
+def _fill(cells: list[Cell], ends: list[int], capacity: int, shards: int, whole: bool) -> list[int] | None:
+    """Numbers of the cells at which shards filled greedily end, or None if ``shards`` don't suffice. whole: a cell is
+    never cut; else one of several groups is cut anywhere, so no true partition needs more shards."""
+    cuts, at, base = [], 0, 0
+    while True:
+        at = bisect_right(ends, base + capacity, lo=at)
+        if at >= len(ends):
+            return cuts
+        if len(cuts) == shards - 1:
+            return None
+        end = base + capacity if not whole and cells[at][3] > 1 else ends[at - 1] if at else 0
+        if end <= base:
+            return None
+        cuts.append(at)
+        base = end
+
+
+def _least(cells: list[Cell], ends: list[int], low: int, shards: int, whole: bool) -> int:
+    """The smallest capacity, ``low`` at least, for which ``shards`` suffice."""
+    high = max(low, ends[-1])
     while low < high:
         middle = (low + high) // 2
-        if fill(middle) is None:
+        if _fill(cells, ends, middle, shards, whole) is None:
             low = middle + 1
         else:
             high = middle
-    return low, fill(low) or []
+    return low
+
+
+def search(cells: list[Cell], largest: int, shards: int, finer: Callable[[list[Cell]], list[Cell]]) -> tuple[int, list[int]]:
+    """Least capacity and the keys that begin shards 1, 2, ...; largest: size of the largest group; finer: counts cells
+    again, each in 2 ** STEP_BITS finer ones at most."""
+    while cells:
+        ends = _ends(cells)
+        floor = max(-(-ends[-1] // shards), largest)
+        low = _least(cells, ends, floor, shards, False)
+        high = _least(cells, ends, low, shards, True)
+        if low == high:
+            return high, [cells[i][0] for i in _fill(cells, ends, high, shards, True)]
+        split = _split(cells, [*_fill(cells, ends, low, shards, False), *_fill(cells, ends, high, shards, True)])
+        # A filling with ``low`` cuts a cell of several groups, or it would be one of whole cells and low == high.
+        assert 0 < len(split) <= ROUND_CELLS
+        gone = set(split)
+        cells = sorted([c for i, c in enumerate(cells) if i not in gone] + finer([cells[i] for i in split]))
+    return 0, []
 
 
-def _least(sums: list[int], largest: int, shards: int) -> int:
-    """A capacity that no partition can beat: total over shards, or the largest known atomic group."""
-    return max(-(-sum(sums) // shards), largest)
+def _split(cells: list[Cell], cuts: list[int]) -> list[int]:
+    """Numbers of the cells of several groups that are nearest to the cuts, ROUND_CELLS at most."""
+    found: dict[int, None] = {}
+    for off in range(ROUND_CELLS):
+        for at in cuts:
+            for i in (at + off, at - off):
+                if 0 <= i < len(cells) and cells[i][3] > 1:
+                    found[i] = None
+                    if len(found) == ROUND_CELLS:
+                        return list(found)
+    return list(found)
 
 
 def boundaries(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """Capacity and the keys that begin shards 1, 2, ...; groups: columns key (long), size (long), a row a group."""
     spark = groups.sparkSession
     order = F.col("key")
+    sums = [F.min("key").alias("a"), F.max("key").alias("b"), F.sum("size").alias("s"), F.count("*").alias("n")]
+    rows = groups.groupBy(F.shiftright(order, 64 - FIRST_BITS).alias("cell")).agg(*sums, F.max("size").alias("most")).collect()
 
-    rows = groups.groupBy(F.shiftright(order, 64 - FIRST_BITS).alias("cell")).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    cells = sorted((r.a, r.b, r.s, r.n, FIRST_BITS) for r in rows)
-    while True:
-        # A cell may still hide a cut: fill greedily with cells as atoms (an upper bound), and find which cells
-        # any better capacity could cut through.
-        wide = [(c[0], c[2]) for c in cells]
-        high, _ = cuts_at(wide, shards)
-        single = [c[2] for c in cells if c[3] == 1]
-        low = _least([c[2] for c in cells], max(single, default=0), shards)
-        split = _could_cut(cells, low, high, shards)
-        if not split:
-            return high, [cells[i][0] for i in cuts_at(wide, shards)[1]]
-        ranges = spark.createDataFrame([(cells[i][0], cells[i][1], min(64, cells[i][4] + STEP_BITS)) for i in split], "lo long, hi long, bits int")
+    def finer(cells: list[Cell]) -> list[Cell]:
+        ranges = spark.createDataFrame([(c[0], c[1], min(64, c[4] + STEP_BITS)) for c in cells], "lo long, hi long, bits int")
         # equal leading FIRST_BITS put a key beside the few ranges that can hold it: an equi-join, then a check
         fine = groups.withColumn("top", F.shiftright("key", 64 - FIRST_BITS)).join(F.broadcast(ranges.withColumn("top", F.shiftright("lo", 64 - FIRST_BITS))), "top").where(order.between(F.col("lo"), F.col("hi")))
-        rows = fine.groupBy("lo", "bits", F.expr("shiftright(key, 64 - bits)").alias("cell")).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-        gone = set(split)
-        cells = sorted([c for i, c in enumerate(cells) if i not in gone] + [(r.a, r.b, r.s, r.n, r.bits) for r in rows])
-
-
-def _could_cut(cells: list[tuple[int, int, int, int, int]], low: int, high: int, shards: int) -> list[int]:
-    """Numbers of the cells of two groups or more in which the k-th cut may lie for a capacity from low to high.
+        return [(r.a, r.b, r.s, r.n, r.bits) for r in fine.groupBy("lo", "bits", F.expr("shiftright(key, 64 - bits)").alias("cell")).agg(*sums).collect()]
 
-    Cut k of a greedy filling never lies before the k-th cut of the same filling with a smaller capacity
-    and never after k times the capacity; so it lies between what ``low`` reaches when each shard loses the
-    cell that it meets, and k * high. The bounds close as cells get finer."""
-    ends, total = [], 0
-    for c in cells:
-        ends.append(total := total + c[2])
-    found: set[int] = set()
-    near, far = 0, 0
-    for _ in range(1, shards):
-        # the earliest place of the cut: the last whole cell that a shard of ``low`` from ``near`` holds
-        at = bisect_right(ends, near + low)
-        if at >= len(cells):
-            break
-        near = ends[at - 1] if at and ends[at - 1] > near else near
-        far = min(far + high, total)
-        upto = bisect_right(ends, far)
-        found.update(i for i in range(at, min(upto, len(cells) - 1) + 1) if cells[i][3] > 1)
-    return sorted(found)
+    return search(sorted((r.a, r.b, r.s, r.n, FIRST_BITS) for r in rows), max((r.most for r in rows), default=0), shards, finer)
 
 
 def minimax_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
