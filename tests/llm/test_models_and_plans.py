@@ -167,3 +167,36 @@ def test_shards(spark, docs, empty, corpus):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for s in shard_of.values())
     assert H.minimax_shards(empty, 24).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_large_groups_leave_no_shard_empty_and_the_rest_even(spark, copies):
+    texts = [f"text {i} " * (1 + i % 9) for i in range(3000)]
+    total = sum(len(t) + 8 for t in texts)
+    for c in range(copies):  # each holds a third or a fourth of the bytes
+        hot = f"hot {c} " * 50
+        texts += [hot] * (total // 2 // (len(hot) + 8))
+    got = H.minimax_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 24).collect()
+    load, of, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in got:
+        load[r.shard] += r["size"]
+        of[texts[r.doc_id]].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(texts) and all(len(s) == 1 for s in of.values())
+    assert sorted(load) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    rest = sorted(load.values())[: 24 - copies]
+    assert rest[-1] < 1.05 * rest[0]
+    assert max(load.values()) == (len(hot) + 8) * texts.count(hot)
+
+
+def test_even_cuts_stay_within_the_least_capacity():
+    rng = random.Random(7)
+    for _ in range(300):
+        n, shards = rng.randint(1, 25), rng.randint(1, 9)
+        cells = [(i, i, rng.choice([1, 2, 5, 9, 30]), 1, 64) for i in range(n)]
+        capacity, starts = H.search(cells, max(c[2] for c in cells), shards, None)
+        loads = Counter()
+        for c in cells:
+            loads[sum(c[0] >= s for s in starts)] += c[2]
+        assert capacity == max(loads.values()) == _least([c[2] for c in cells], shards)
+        assert len(loads) == min(n, shards)
