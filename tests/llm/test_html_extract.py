@@ -1,7 +1,7 @@
 import html as H
 import re
 
-from tradeloom.llm.html_extract import blocks, extract_main_text, parse
+from tradeloom.llm.html_extract import _countable, blocks, extract_main_text, parse
 
 
 def text(page, templates=()):
@@ -41,6 +41,35 @@ def test_copies_of_one_article_are_no_template(spark):
     assert {r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"The same article."}
 
 
+def test_recurring_furniture_goes_however_large_the_host(spark):
+    """A banner with four variants, one section's notice and a class on no list, each in less than 30 % of the pages."""
+
+    def page(i):
+        banner = f"<div><p>Banner {i // 2 % 4}.</p></div>" if i % 2 else f"<div><p>Lead {i}.</p></div><div><p>More {i}.</p></div>"
+        strip = f'<div class="strip">Offer {i % 3}</div>' if i % 4 == 0 else ""
+        notice = "<p>Notice of the section.</p>" if i % 5 == 0 else f"<p>Middle {i}.</p>"
+        return f"<article><h1>Notes</h1>{strip if i % 8 else ''}{banner}<p>Text {i}.</p>{notice}<p>Rest {i}.</p><p>End {i}.</p>{'' if i % 8 else strip}</article>"
+
+    rows = [(i, f"https://h.example/{'law' if i % 5 == 0 else 'all'}/{i}", page(i)) for i in range(400)]
+    got = {r.page_id: r.text.split("\n\n") for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, blocks_ in got.items():
+        assert not any(b.startswith("Offer") or b.startswith("Notice") for b in blocks_), (i, blocks_)
+        assert f"Text {i}." in blocks_ and f"Rest {i}." in blocks_ and f"End {i}." in blocks_ and (i % 5 == 0 or f"Middle {i}." in blocks_)
+        assert i % 2 or f"Lead {i}." in blocks_ and f"More {i}." in blocks_
+        assert i % 2 == 0 or not any(b.startswith("Banner") for b in blocks_)
+
+
+def test_named_elements_are_counted():
+    assert len(_countable(parse('<article><aside>side</aside><div class="ad">Buy</div><p>a</p></article>'))) == 3
+
+
+def test_table_cells_and_headings_that_recur_stay(spark):
+    rows = [(i, f"https://h.example/{i}", f"<article><h2>Part {i % 5}</h2><table><tr><td>{'Yes' if i % 4 else 'No'} {i % 4}</td><td>{i}</td></tr></table><p>Own {i}.</p></article>") for i in range(100)]
+    for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r.page_id
+        assert r.text.split("\n\n") == [f"Part {i % 5}", f"{'Yes' if i % 4 else 'No'} {i % 4}", str(i), f"Own {i}."]
+
+
 def test_given_pages_against_a_plain_pattern(spark):
     """The pages of the given tables hold one article of h1 and p; a pattern can read these."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")

@@ -3,14 +3,15 @@
 1. Every page is parsed into elements. Each element's subtree (tags and text) in the main content has a hash.
 2. Spark counts, for each host, in how many different pages a subtree occurs. Pages whose main content is the
    same count once: copies of one article are no template.
-3. Subtrees that recur across many pages of their host are deleted, and so are elements that by their tag, role or
-   class aren't main text. What is left of the article (or main element, or body) is read block by block.
+3. Subtrees that recur across many pages of their host, of one section of it, or at a place of the page where most of
+   what stands recurs, are deleted; so are elements that by their tag, role or class aren't main text. What is left of the article (or main element, or body) is read block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,6 +37,7 @@ _CLASSES = frozenset(
 )
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
@@ -153,19 +155,31 @@ def contents(root: Node) -> list[Node]:
     return [root]
 
 
-def _countable(root: Node) -> set[int]:
-    """Hashes of the subtrees of the main content that may be templates: blocks, and elements with attributes. What goes
-    by its name anyway isn't counted, nor what lies below it."""
-    found, stack = set(), []
-    for top in contents(root):
-        stack += [(x, top.tag != "#root") for x in top.children if isinstance(x, Node)]
+#: Cells, items and headings recur as text does ("Yes", "Notes"): they go by their counts or with what holds them, not by place.
+_NO_PLACE = frozenset("td th tr li dt dd option h1 h2 h3 h4 h5 h6 caption legend figcaption".split())
+#: Values of slot that are no place: the page itself, a section of the host, an element without a place.
+_PAGE, _SECTION, _NOWHERE = 0, 1, 2
+
+
+def _countable(root: Node) -> dict[int, int]:
+    """Hashes of the subtrees of the main content that may be templates, blocks and elements with attributes, and the
+    place (slot) of each: tags and classes from the content down, and its position beside its siblings if that is one
+    of the first or last two."""
+    found: dict[int, int] = {}
+    stack = [(top, 0) for top in reversed(contents(root))]
     while stack:
-        node, inside = stack.pop()
-        if _named(node, inside):
-            continue
-        if node.text_size and (node.tag in _BLOCK or node.attributes) and node.tag not in ("html", "body"):
-            found.add(node.hash)
-        stack += [(x, inside) for x in node.children if isinstance(x, Node)]
+        parent, path = stack.pop()
+        children = [x for x in parent.children if isinstance(x, Node)]
+        below = []
+        for i, node in enumerate(children):
+            if not node.text_size:
+                continue
+            here = zlib.crc32(f"{node.tag}.{_DIGITS.sub('#', node.attributes.get('class', ''))}/".encode("utf-8", "surrogatepass"), path)
+            if (node.tag in _BLOCK or node.attributes) and node.tag not in ("html", "body"):
+                edge = i if i < 2 else i - len(children) if len(children) - i <= 2 else 9
+                found.setdefault(node.hash, _NOWHERE if node.tag in _NO_PLACE else 3 + zlib.crc32(b"%d" % edge, here))
+            below.append((node, here))
+        stack.extend(reversed(below))
     return found
 
 
@@ -211,35 +225,54 @@ def _host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.3, salts: int = 16) -> DataFrame:
-    """page_id, url, text, n_chars of every row: the main text, blocks joined by two line feeds, and its code points.
+def _section(url: str = "url"):
+    """The first part of the path, if another follows."""
+    return F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
 
-    A subtree is a template if it occurs in min_pages or more different pages of its host, and in min_share of them;
-    so a host's list has at most (elements of a mean page) / min_share entries. The host is that of the url; a null
-    or odd url counts as host ''. Hosts and subtrees go by 64-bit hashes. Null, empty and textless pages give an empty text; very long pages are read
-    whole; repeated rows get equal results; an empty table gives an empty result; further columns are ignored.
-    The host with a third of all pages is spread over ``salts`` keys.
-    """
-    pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.xxhash64(_host()).alias("_host"))
+
+def templates(pages: DataFrame, min_pages: int, min_share: float, place_share: float) -> DataFrame:
+    """_host and node (hash) of the subtrees to delete; pages: _host, _section, html."""
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "html"):
-                hosts, nodes, roots = [], [], []
-                for host, html in zip(part.column("_host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                rows = []
+                for host, section, html in zip(*(part.column(c).to_pylist() for c in ("_host", "_section", "html")), strict=True):
                     root = parse(html)
                     main = _root_hash(root)
-                    own = _countable(root)
-                    own.add(0)  # stands for the page itself
-                    hosts += [host] * len(own)
-                    nodes += own
-                    roots += [main] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["_host", "node", "main"])
-
-    seen = pages.select("_host", "html").mapInArrow(subtrees, "_host long, node long, main long").distinct().groupBy("_host", "node").agg(F.count("*").alias("n"))
-    often = kept(seen.where(F.col("n") >= min_pages))
-    totals = often.where("node = 0").select("_host", F.col("n").alias("total"))
-    lists = often.where("node <> 0").join(totals, "_host").where(F.col("n") >= min_share * F.col("total")).groupBy("_host").agg(F.collect_list("node").alias("templates"))
+                    rows += [(host, 0, main, _PAGE, section), (host, section, main, _SECTION, section)]
+                    rows += [(host, node, main, slot, section) for node, slot in _countable(root).items()]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_host", "node", "main", "slot", "section"])
+
+    rows = pages.mapInArrow(subtrees, "_host long, node long, main long, slot long, section long")
+    once = rows.groupBy("_host", "node", "main").agg(F.min("slot").alias("slot"), F.min("section").alias("section"))
+    seen = once.groupBy("_host", "node").agg(F.count("*").alias("n"), F.min("slot").alias("slot"), F.min("section").alias("section"), F.max("section").alias("last"))
+    # what recurs has a row of its own; the rest is only summed by place
+    often = kept(seen.groupBy("_host", "slot", F.when(F.col("n") >= min_pages, F.col("node")).alias("node")).agg(F.sum("n").alias("n"), F.min("section").alias("section"), F.max("last").alias("last")))
+    known = often.where("node is not null")
+    totals = known.where(F.col("slot") == _PAGE).select("_host", F.col("n").alias("total"))
+    sections = known.where(F.col("slot") == _SECTION).select("_host", F.col("node").alias("section"), F.col("node").alias("last"), F.col("n").alias("within"))
+    places = often.where(F.col("slot") > _NOWHERE).groupBy("_host", "slot").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("node").isNotNull(), F.col("n"))).alias("recurring"))
+    both = known.where(F.col("slot") >= _NOWHERE).join(totals, "_host", "left").join(sections, ["_host", "section", "last"], "left").join(places, ["_host", "slot"], "left")
+    much = (F.col("n") >= min_share * F.col("total")) | (F.col("n") >= min_share * F.col("within")) | (F.col("recurring") >= place_share * F.col("all"))
+    return both.where(much).select("_host", "node")
+
+
+def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.3, salts: int = 16, place_share: float = 0.5) -> DataFrame:
+    """page_id, url, text, n_chars of every row: the main text, blocks joined by two line feeds, and its code points.
+
+    A subtree is a template if it occurs in min_pages or more different pages of its host, and besides in min_share
+    of the host's pages, or only in one section (first part of the url's path) and in min_share of that, or at a place
+    of the page (tags, classes, position) of whose subtrees place_share recur in min_pages or more. The last two don't
+    fall as the host grows. The host is that of the url; a null or odd url counts as host ''. Hosts, sections and
+    subtrees go by 64-bit hashes, places by 32 bits. Null, empty and textless pages give an empty text; very long
+    pages are read whole; repeated rows get equal results; an empty table gives an empty result; further columns are
+    ignored. The host with a third of all pages is spread over ``salts`` keys.
+    """
+    pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.xxhash64(_host()).alias("_host"))
+    found = templates(pages.select("_host", F.xxhash64(_section()).alias("_section"), "html"), min_pages, min_share, place_share)
+    lists = found.groupBy("_host").agg(F.collect_list("node").alias("templates"))
     lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
