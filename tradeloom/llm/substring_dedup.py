@@ -1,14 +1,13 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees over words.
+"""Removal of repeated passages by fingerprints of word windows, grouped by prefixes of variable length.
 
-Every suffix of every text begins at a word. Suffixes are split into groups by a prefix of variable length: one
-word where few suffixes begin with it, more words where many do (counted over the whole table beforehand), so that
-a group fits in memory. The tree of a group is held as its sorted path labels: the suffixes under one internal
-node of depth ``window`` are a run of equal labels. Such a node (a passage of that many words which several
-suffixes begin with) knows its least document; below it, maximal repeats are runs of neighbouring suffixes, so
-nothing deeper needs to be stored: a word goes if any node that covers it has a smaller document.
+Every window of ``window`` words of every text begins at a word. Windows are split into groups by a prefix of variable
+length: one word where few begin with it, more words where many do (counted over the whole table beforehand), so that
+a group fits in memory. A group is held as its sorted fingerprints: equal ones are one passage of that many words, which
+knows its least document. A word goes if any window that covers it has a smaller document; a longer repeat is
+covered by its windows. No suffix tree is built, and maximal repeats aren't found.
 
-Labels are fingerprints of the path down to that depth. Their length follows the number of suffixes (7 bytes up to
-some hundred million, then 8, then 16), so the odds of any false node stay below one in a hundred.
+The length of the fingerprints follows the number of windows (7 bytes up to some hundred million, then 8, then 16), so
+the odds of any false match stay below one in a hundred.
 
 A passage may occur in a third of all documents. Each slice of a partition sends a label once, with its least
 document, and settles its other copies itself; so a hot node has as many entries as there are slices.
@@ -162,7 +161,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
     words which also starts in a document with a smaller doc_id (judged on the input).
 
     with_text adds kept_text (the words left, by single spaces) and removed (array of word spans, end exclusive:
-    the maximal repeats). Null, empty and short texts have no windows and stay whole; a null doc_id counts as
+    unions of windows that overlap or touch, maybe of different sources). Null, empty and short texts have no windows and stay whole; a null doc_id counts as
     larger than any; rows with the same doc_id don't remove each other's words. Very long texts are one row of
     a slice. An empty table gives an empty result; further columns of docs are ignored. docs is read three
     times and has to be a stored table (the same rows in the same partitions each time).
