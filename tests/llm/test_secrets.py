@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -67,3 +69,55 @@ def test_redaction(spark):
     assert got[2].text is None
     assert secrets.redact(docs).columns == docs.columns
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def wanted(text):
+    """All spans, base and entropy, of a text in plain Python."""
+    text = text or ""
+    found = [(a, secrets.KINDS[k], b) for a, k, b in base(text)]
+    left = list(text)
+    for a, _, b in found:
+        left[a:b] = " " * (b - a)
+    for c in secrets.CLASSES:
+        for m in re.finditer(c.pattern, "".join(left)):
+            if not any(re.search(p, m[0]) for p in secrets.ALLOWED) and entropy(m[0], c.window) >= c.bits - 1e-9:
+                found.append((m.start(), c.kind, m.end()))
+                left[m.start() : m.end()] = " " * len(m[0])
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(found, key=lambda x: (x[0], secrets.KINDS.index(x[1]), x[2])))
+
+
+def random_texts(n, seed=5):
+    rng = random.Random(seed)
+    parts = ["token=", "API_KEY: ", "password='", "AKIA", "api_key", " ", "\n", "é", "😀", "sample", "example/", "/", "-", "a/1/", "2024-01-02T03-04", "123e4567-e89b-12d3-a456-426614174000"]
+    runs = ["0123456789abcdef", "0123456789ABCDEFabcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "".join(map(chr, range(97, 123))) + "ABCXYZ0123456789+/_=-"]
+    return ["".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(runs), k=rng.randint(1, 50))) for _ in range(rng.randint(1, 25))) for _ in range(n)]
+
+
+def test_all_spans_match_brute_force_on_random_texts(spark):
+    texts = random_texts(600) + [x for x in TEXTS]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == wanted(text), text
+    assert sum("entropy" in x for x in got.values()) > 100
+
+
+def test_spans_are_cut_out_of_candidates(spark):
+    texts = ["0123456789abcdef0123456789abcdef-qZ8xW3vN5bT1mK9pL2rY7cD4", "samples/qZ8xW3vN5bT1mK9pL2rY7cD4", "sample/qZ8xW3vN5bT1mK9pL2rY7cD4"]
+    got = [r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["hex:0:32,entropy_base64:32:57", "entropy_base64:0:32", ""]
+
+
+def test_texts_of_a_megabyte(spark):
+    rng = random.Random(1)
+    low = "".join(rng.choices("g1", k=1 << 20))  # no window reaches the limit, all are looked at
+    texts = ["a/1/" * (1 << 18), low, "g" * (1 << 20), "".join(rng.choices("abcXYZ0123456789+/", k=1 << 20)), "token: abcdefgh1 " * 60_000, ("0123456789abcdef" * 2 + "é") * 30_000, "g1" * 500 + "Z-" * (1 << 19)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert got[0].spans == got[1].spans == got[2].spans == ""
+    assert got[3].spans == f"entropy_base64:0:{1 << 20}"
+    assert got[4].n_assign == 60_000 and got[4].spans.endswith(f"assign:{17 * 59_999}:{17 * 59_999 + 16}")
+    assert got[5].n_hex == 30_000
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[4] == "[SECRET] " * 60_000 and clean[5] == "[SECRET]é" * 30_000 and clean[0] == texts[0]
+    assert time.time() - began < 120
