@@ -1,7 +1,12 @@
 import html as H
+import random
 import re
+import time
+from collections import Counter, defaultdict
 
-from tradeloom.llm.html_extract import _countable, blocks, extract_main_text, parse
+import pytest
+
+from tradeloom.llm.html_extract import _countable, blocks, contents, extract_main_text, parse
 
 
 def text(page, templates=()):
@@ -78,3 +83,77 @@ def test_given_pages_against_a_plain_pattern(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n\n".join(x for x in want if x)
+
+
+def test_classes_of_layout_and_inline_elements_lose_no_text():
+    assert text('<div class="content no-sidebar"><p>Main text.</p></div>') == "Main text."
+    assert text('<div class="has-sidebar"><article><p>Main text.</p></article></div>') == "Main text."
+    assert text('<article><p>The market <span class="share">share</span> grew.</p><div><span class="share">Share</span> | <a class="share">Tweet</a></div></article>') == "The market share grew."
+    assert text('<form><div class="related"><article><p>Main.</p><div class="comments"><p>A long comment of a reader, far longer than the text.</p></div></article></div></form>') == "Main."
+    assert text('<body><div class="page-menu-layout"><p>All the text.</p></div><div class="menu">Menu</div></body>') == "All the text."
+    assert text('<section id="comments"><article><p>By a reader.</p></article></section><div class="post"><p>Text of the page.</p></div>') == "Text of the page."
+
+
+def test_markup_that_never_ends():
+    assert text("<p>a<!-- x <b>y</b> z") == "a"
+    assert text("<p>a<!-->b<!-- c --!>d<!--->e") == "abde"
+    assert text("<p>a<div class='x") == text("<p>a</") == "a"
+    assert text("<p>a < b") == "a < b"
+    began = time.time()
+    assert text("<p>" + "<i>" * 100_000 + "x" + "</b>" * 100_000) == "x"
+    assert text("<article>" + "<span>" * 50_000 + "<div>x</div>" * 50_000) == "\n\n".join("x" * 50_000)
+    assert time.time() - began < 30
+
+
+def random_pages(n, seed=2):
+    rng = random.Random(seed)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    shared = ["<span>Follow us</span>", "<p>Notice of the site</p>", '<div class="strip"><b>Offer</b> now</div>', "<div><a>One</a> | <a>Two</a></div>", "<ul><li>Home</li><li>About</li></ul>", "<p>Law <em>section</em></p>"]
+    out = []
+    for i in range(n):
+        parts = [f"<p>{' '.join(rng.choices(words, k=9))} <em>{rng.choice(words)}</em> {i if rng.random() < 0.9 else ''}</p>" for _ in range(rng.randint(1, 4))]
+        for k, x in enumerate(shared):
+            if rng.random() < (0.9, 0.4, 0.2, 0.35, 0.1, 0.05)[k]:
+                parts.insert(rng.choice([0, len(parts), rng.randint(0, len(parts))]), x)
+        host = rng.choice(["a.example"] * 6 + ["b.example"] * 3 + ["c.example"])
+        out.append((i, f"https://{host}/{rng.choice(['law', 'all', 'new'])}/{i}", f"<body><article>{''.join(parts)}</article></body>"))
+    return out + [(n + i, out[i][1], out[i][2]) for i in range(30)]  # copies
+
+
+def brute(pages, min_pages=10, min_share=0.3, place_share=0.5):
+    """The decision on each subtree by plain counting over all pages."""
+    of, sections, sizes = defaultdict(lambda: defaultdict(set)), defaultdict(set), defaultdict(set)
+    slot, section_of, own = {}, defaultdict(set), {}
+    for i, url, html in pages:
+        root = parse(html)
+        host, section = url.split("/")[2], url.split("/")[3]
+        main = tuple(x.hash for x in contents(root))
+        own[i] = host
+        sizes[host].add(main)
+        sections[host, section].add(main)
+        for node, place in _countable(root).items():
+            of[host][node].add(main)
+            slot[host, node] = min(place, slot.get((host, node), place))
+            section_of[host, node].add(section)
+    gone = defaultdict(set)
+    for host, nodes in of.items():
+        everything, recurring = Counter(), Counter()
+        for node, mains in nodes.items():
+            everything[slot[host, node]] += len(mains)
+            recurring[slot[host, node]] += len(mains) * (len(mains) >= min_pages)
+        for node, mains in nodes.items():
+            n, place = len(mains), slot[host, node]
+            only = section_of[host, node]
+            within = len(sections[host, next(iter(only))]) if len(only) == 1 else None
+            if n >= min_pages and (n >= min_share * len(sizes[host]) or within and n >= min_share * within or place > 2 and recurring[place] >= place_share * everything[place]):
+                gone[host].add(node)
+    return {i: "\n\n".join(blocks(parse(html), gone[own[i]])) for i, _, html in pages}
+
+
+@pytest.mark.parametrize("broadcast_nodes", [1 << 20, 0])
+def test_template_removal_matches_plain_counting(spark, broadcast_nodes):
+    pages = random_pages(400)
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5), broadcast_nodes=broadcast_nodes).collect()}
+    assert got == brute(pages)
+    kept = "\n".join(got.values())
+    assert "Follow us" not in kept and "Notice of the site" not in kept and "One | Two" not in kept

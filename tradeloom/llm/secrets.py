@@ -162,7 +162,8 @@ def _secret(c: EntropyClass):
         allowed = F.lit(False)
         for pattern in ALLOWED:
             allowed = allowed | x["match"].rlike(pattern)
-        return F.when(allowed, False).otherwise(window_entropy(x["match"], c.window, c.bits) >= c.bits)
+        few = F.log2(F.size(F.array_distinct(F.split(x["match"], "")))) < c.bits  # no window can have more bits than that
+        return F.when(allowed | few, False).otherwise(window_entropy(x["match"], c.window, c.bits) >= c.bits)
 
     return test
 
