@@ -106,3 +106,17 @@ def test_quality_verdicts_on_labelled_documents(spark):
     lines = ["Plain words stand here and end well.", "Home | News | About | Contact", "BUY NOW THIS GREAT OFFER TODAY", "All rights reserved. Cookie policy."]
     r = Q.quality_rules(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), with_text=True).first()
     assert r.clean_text == lines[0] and r.n_lines_failed == 3
+    menu = ["Home", "About us", "Contact", "", "Our team", "A sentence stands here.", "Notes", "More", "http://a.b/c http://d.e/f see", "Text.", "Tous droits réservés"]
+    r = Q.quality_rules(spark.createDataFrame([(1, "\n".join(menu))], "doc_id long, text string"), with_text=True).first()
+    assert r.clean_text == "\nA sentence stands here.\nNotes\nMore\nText."
+
+
+@pytest.mark.parametrize("limit", [40, 300, 1 << 20])
+def test_neighbours_dont_change_a_verdict(spark, monkeypatch, limit):
+    texts = ["see our privacy ", "policy of the house", "http:", "//x.y http://z.w", "Home", "About", "News", "More", "all rights", " reserved", None, "", "A", "menu\nlist", "of\nitems", "| a |", "b | c"]
+    texts = texts * 3 + [f"word {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(W.slices, "__defaults__", ("text", limit))
+    together = {r.doc_id: tuple(r) for r in Q.quality_rules(docs, with_text=True).collect()}
+    monkeypatch.setattr(W.slices, "__defaults__", ("text", 1))
+    assert together == {r.doc_id: tuple(r) for r in Q.quality_rules(docs, with_text=True).collect()}

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from tradeloom.llm import words as W
 from tradeloom.llm.license_texts import TEMPLATES
 from tradeloom.llm.licenses import align, scan_licenses
 
@@ -63,3 +65,33 @@ def test_alignment_is_a_longest_common_sequence():
         a, b = ([rng.randint(0, 5) for _ in range(rng.randint(1, 20))] for _ in range(2))
         places = align(np.array(a), np.array(b), 0, 100)
         assert len(places) == _lcs(a, b) and places == sorted(set(places))
+
+
+@pytest.mark.parametrize("limit", [50, 400, 1 << 20])
+def test_neighbours_dont_change_a_result(spark, monkeypatch, limit):
+    rng = random.Random(8)
+    words = "under the MIT License software is provided by use of terms alpha beta".split()
+    texts = ["under the MIT License", "the MIT", "Released under the MIT License.", None, "", *(" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(200)), *(x for v in TEMPLATES.values() for x in v)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(W.slices, "__defaults__", ("text", limit))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    together = {r.doc_id: tuple(r)[1:] for r in scan_licenses(frame(list(enumerate(texts))).coalesce(1)).collect()}
+    monkeypatch.setattr(W.slices, "__defaults__", ("text", 1))  # a slice for each text
+    alone = {r.doc_id: tuple(r)[1:] for r in scan_licenses(frame(list(enumerate(texts)))).collect()}
+    assert together == alone
+    assert scan_licenses(frame([]), None).count() == 0
+
+
+def test_alignment_keeps_to_its_band():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(1, 25))] for _ in range(2))
+        shift, band = rng.randint(-4, 8), rng.randint(0, 6)
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(new[-1], row[j + 1], row[j] + (x == y and abs(j - i - shift) <= band)))
+            row = new
+        places = align(np.array(a), np.array(b), shift, band)
+        assert len(places) == row[-1] and places == sorted(set(places)) and all(0 <= p < len(b) for p in places)

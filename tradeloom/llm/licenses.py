@@ -40,15 +40,18 @@ class Index:
     place: np.ndarray
 
 
-def _selected(grams: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least of some WINNOW neighbours in a row (all of equal ones)."""
+def _selected(grams: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places whose hash is the least of some WINNOW neighbours in a row (all of equal ones) of one text.
+
+    text: the number of the text of each hash, in order. Of a text with fewer hashes all are taken.
+    """
     n = len(grams)
-    if n < WINNOW:
-        return np.arange(n)
-    least = np.minimum.reduce([grams[j : n - WINNOW + 1 + j] for j in range(WINNOW)])
-    chosen = np.zeros(n, bool)
-    for j in range(WINNOW):
-        chosen[j : n - WINNOW + 1 + j] |= grams[j : n - WINNOW + 1 + j] == least
+    chosen = np.bincount(text, minlength=1)[text] < WINNOW if n else np.zeros(0, bool)
+    if n >= WINNOW:
+        least = np.minimum.reduce([grams[j : n - WINNOW + 1 + j] for j in range(WINNOW)])
+        whole = text[: n - WINNOW + 1] == text[WINNOW - 1 :]
+        for j in range(WINNOW):
+            chosen[j : n - WINNOW + 1 + j] |= whole & (grams[j : n - WINNOW + 1 + j] == least)
     return np.flatnonzero(chosen)
 
 
@@ -66,7 +69,7 @@ def build_index(texts: dict[str, tuple[str, ...]] = TEMPLATES) -> Index:
         for text in variants:
             words = _words(pa.array([text]))[5]
             grams = W.window_hashes(words, GRAM)
-            at = _selected(grams)
+            at = _selected(grams, np.zeros(len(grams), np.int64))
             keys.append(grams[at])
             which.append(np.full(len(at), len(templates)))
             places.append(at)
@@ -78,22 +81,29 @@ def build_index(texts: dict[str, tuple[str, ...]] = TEMPLATES) -> Index:
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> list[int]:
     """Places in text of the longest common word sequence with the template, where word i of the template may
-    match text word i + shift plus or minus band."""
-    m, n = len(template), len(text)
-    rows = np.zeros((m + 1, n + 1), np.int32)
-    column = np.arange(n)
+    match text word i + shift plus or minus band.
+
+    A row of the table holds the 2 * band + 1 text words that template word i may match; the next row lies one further on.
+    """
+    m, n, width = len(template), len(text), 2 * band + 1
+    rows = np.zeros((m + 1, width + 1), np.int32)  # the last column stays 0: beyond the band
+    equal = np.zeros((m, width), bool)
     for i in range(m):
-        equal = (text == template[i]) & (np.abs(column - i - shift) <= band)
-        np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + equal), out=rows[i + 1, 1:])
-    found, i, j = [], m, n
-    while i and j:
-        if rows[i, j] == rows[i, j - 1]:
-            j -= 1
-        elif rows[i, j] == rows[i - 1, j]:
-            i -= 1
+        first = i + shift - band
+        a, b = max(0, first), min(n, first + width)
+        if a < b:
+            equal[i, a - first : b - first] = text[a:b] == template[i]
+        np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + equal[i]), out=rows[i + 1, :-1])
+    found, i, c = [], m, width - 1
+    while i and c >= 0 and rows[i, c]:
+        if c and rows[i, c] == rows[i, c - 1]:
+            c -= 1
+        elif rows[i, c] == rows[i - 1, c + 1]:
+            i, c = i - 1, c + 1
         else:
-            i, j = i - 1, j - 1
-            found.append(j)
+            i -= 1
+            if rows[i, c] < rows[i + 1, c]:
+                found.append(i + shift - band + c)
     return found[::-1]
 
 
@@ -140,7 +150,7 @@ def scan_licenses(docs: DataFrame, index: Index | None = None, min_coverage: flo
                 data, offsets, starts, ends, first, words = _words(part.column("text"))
                 at = W.window_starts(first, GRAM)
                 grams = W.window_hashes(words, GRAM)[at]
-                some = _selected(grams)
+                some = _selected(grams, np.searchsorted(first, at, side="right") - 1)
                 some = some[np.isin(grams[some], index.keys)]
                 low, high = np.searchsorted(index.keys, grams[some], "left"), np.searchsorted(index.keys, grams[some], "right")
                 hits: dict[int, list] = {}

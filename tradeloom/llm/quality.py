@@ -4,9 +4,12 @@ The rules of a line (all over the bytes of the whole text, no pattern engine):
 
 * punctuation: a third or more of its words come with a symbol of `#*$%&|<>`, or a third with an exclamation mark;
 * shouting: nearly all its ASCII letters are capitals, in five words or more;
-* navigation: two or more `|` separators, at least one in six words;
+* navigation: two or more `|` separators, at least one in six words; or two links or more, at least one in two words; or
+  one of four lines in a row (blank ones aside) of three words at most that end without an end mark;
 * repetition: ten words or more of which few are different;
 * boilerplate: a short line that holds a fixed phrase of site furniture.
+
+Each text is judged by itself, whatever stands beside it in its slice.
 """
 
 from __future__ import annotations
@@ -21,19 +24,55 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-# Phrases of site furniture, lower case.
-BOILERPLATE = (
-    b"all rights reserved",
-    b"accept cookies",
-    b"cookie policy",
-    b"enable javascript",
-    b"privacy policy",
-    b"terms of service",
-    b"subscribe to our newsletter",
-    b"click here to",
-    b"share on facebook",
-    b"follow us on",
+# Phrases of site furniture in four languages, A-Z in lower case.
+BOILERPLATE = tuple(
+    phrase.encode()
+    for phrase in (
+        "all rights reserved",
+        "accept cookies",
+        "accept all cookies",
+        "we use cookies",
+        "uses cookies",
+        "cookie policy",
+        "cookie settings",
+        "enable javascript",
+        "javascript is disabled",
+        "privacy policy",
+        "terms of service",
+        "terms of use",
+        "terms and conditions",
+        "subscribe to our newsletter",
+        "sign up for our newsletter",
+        "click here to",
+        "read more",
+        "skip to content",
+        "back to top",
+        "log in to comment",
+        "leave a comment",
+        "share on facebook",
+        "share on twitter",
+        "follow us on",
+        "powered by wordpress",
+        "lorem ipsum",
+        "alle rechte vorbehalten",
+        "diese website verwendet cookies",
+        "zum inhalt springen",
+        "newsletter abonnieren",
+        "allgemeine geschäftsbedingungen",
+        "tous droits réservés",
+        "politique de confidentialité",
+        "mentions légales",
+        "ce site utilise des cookies",
+        "aller au contenu",
+        "todos los derechos reservados",
+        "política de privacidad",
+        "este sitio utiliza cookies",
+        "aviso legal",
+        "saltar al contenido",
+    )
 )
+#: Last characters of a line that is a sentence, or part of one.
+END_MARKS = ".!?:;,"
 
 _ASCII = np.arange(256)
 _SYMBOL = np.isin(_ASCII, list(b"#*$%&|<>"))
@@ -50,6 +89,9 @@ class LineRules:
     shouts_per_word: float = 1 / 3
     capitals: float = 0.8
     separators_per_word: float = 1 / 6
+    links_per_word: float = 1 / 2
+    menu_words: int = 3
+    menu_lines: int = 4
     distinct: float = 0.34
     boilerplate_words: int = 20
     min_words: int = 50
@@ -77,6 +119,17 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _finds(text: bytes, phrase: bytes, line_starts: np.ndarray, line_ends: np.ndarray) -> np.ndarray:
+    """The lines that hold a phrase whole, once for each place; a find that runs from one text into the next is none."""
+    places, at = [], text.find(phrase)
+    while at >= 0:
+        places.append(at)
+        at = text.find(phrase, at + 1)
+    places = np.array(places, np.int64)
+    lines = np.searchsorted(line_starts, places, side="right") - 1
+    return lines[places + len(phrase) <= line_ends[lines]]
+
+
 def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> dict[str, np.ndarray]:
     """Counts, verdicts and failing lines of the texts of one slice."""
     docs = len(offsets) - 1
@@ -116,14 +169,18 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> dict[str,
     fails |= (lwords >= 5) & (upper >= rules.capitals * (upper + lower)) & (upper >= 10)
     fails |= (bars >= 2) & (bars >= rules.separators_per_word * words)
     fails |= (lwords >= 10) & (distinct <= rules.distinct * lwords)
+    links = np.bincount(_finds(data.tobytes(), b"://", ls, le), minlength=len(ls))
+    fails |= (links >= 2) & (links >= rules.links_per_word * words)
+    if len(full):
+        last = data[ends[np.cumsum(lwords)[full] - 1] - 1]  # of each line with words
+        short = (lwords[full] <= rules.menu_words) & ~np.isin(last, list(END_MARKS.encode()))
+        new = np.concatenate([[True], (short[1:] != short[:-1]) | (line_doc[full][1:] != line_doc[full][:-1])])
+        run = np.diff(np.flatnonzero(new), append=len(full))[np.cumsum(new) - 1]
+        fails[full[short & (run >= rules.menu_lines)]] = True
     text = W.lowered(data).tobytes()
     for phrase in BOILERPLATE:
-        found = text.find(phrase)
-        while found >= 0:
-            line = int(np.searchsorted(ls, found, side="right")) - 1
-            if lwords[line] <= rules.boilerplate_words:
-                fails[line] = True
-            found = text.find(phrase, found + 1)
+        line = _finds(text, phrase, ls, le)
+        fails[line[lwords[line] <= rules.boilerplate_words]] = True
     lost = np.bincount(line_doc, np.where(fails, lwords, 0), docs).astype(np.int64)
     base_failed = (n_words < rules.min_words) | (repeated > rules.max_repeat * n_words)
     return {
