@@ -65,7 +65,7 @@ def test_recurring_furniture_goes_however_large_the_host(spark):
 
 
 def test_named_elements_are_counted():
-    assert len(_countable(parse('<article><aside>side</aside><div class="ad">Buy</div><p>a</p></article>'))) == 3
+    assert len(_countable(contents(parse('<article><aside>side</aside><div class="ad">Buy</div><p>a</p></article>')))) == 3
 
 
 def test_table_cells_and_headings_that_recur_stay(spark):
@@ -131,7 +131,7 @@ def brute(pages, min_pages=10, min_share=0.3, place_share=0.5):
         own[i] = host
         sizes[host].add(main)
         sections[host, section].add(main)
-        for node, place in _countable(root).items():
+        for node, place in _countable(contents(root)).items():
             of[host][node].add(main)
             slot[host, node] = min(place, slot.get((host, node), place))
             section_of[host, node].add(section)

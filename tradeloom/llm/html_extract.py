@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -63,15 +62,19 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
-        self.named: Counter[str] = Counter()  # open elements by tag
+        self.named: dict[str, int] = {}  # open elements by tag
 
     def _drop(self, i: int) -> None:
-        self.named.subtract(x.tag for x in self.open[i:])
+        for x in self.open[i:]:
+            self.named[x.tag] -= 1
         del self.open[i:]
 
     def _close(self, names: frozenset | set, within: frozenset | set) -> None:
         """Close the nearest open element named so, unless one named in within lies between."""
-        if not any(self.named[n] > 0 for n in names):
+        for n in names:
+            if self.named.get(n):
+                break
+        else:
             return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
@@ -92,7 +95,7 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
-            self.named[tag] += 1
+            self.named[tag] = self.named.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,7 +103,7 @@ class _Builder(HTMLParser):
             self._drop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.named[tag] <= 0:
+        if not self.named.get(tag):
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
@@ -203,12 +206,12 @@ _NO_PLACE = frozenset("td th tr li dt dd option h1 h2 h3 h4 h5 h6 caption legend
 _PAGE, _SECTION, _NOWHERE = 0, 1, 2
 
 
-def _countable(root: Node) -> dict[int, int]:
-    """Hashes of all subtrees of the main content that have text, and the place (slot) of each block or element with
+def _countable(tops: list[Node]) -> dict[int, int]:
+    """Hashes of all subtrees of the main content (see contents()) that have text, and the place (slot) of each block or element with
     attributes: tags and classes from the content down, and its position beside its siblings if that is one of the first
     or last two."""
     found: dict[int, int] = {}
-    stack = [(top, 0) for top in reversed(contents(root))]
+    stack = [(top, 0) for top in reversed(tops)]
     while stack:
         parent, path = stack.pop()
         children = [x for x in parent.children if isinstance(x, Node)]
@@ -271,8 +274,8 @@ def blocks(root: Node, templates: frozenset[int] | set[int]) -> list[str]:
     return out
 
 
-def _root_hash(root: Node) -> int:
-    return hash(tuple(n.hash for n in contents(root))) & (1 << 62) - 1
+def _root_hash(tops: list[Node]) -> int:
+    return hash(tuple(n.hash for n in tops)) & (1 << 62) - 1
 
 
 def _host(url: str = "url"):
@@ -292,10 +295,10 @@ def templates(pages: DataFrame, min_pages: int, min_share: float, place_share: f
             for part in W.slices(batch, "html"):
                 rows = []
                 for host, section, html in zip(*(part.column(c).to_pylist() for c in ("_host", "_section", "html")), strict=True):
-                    root = parse(html)
-                    main = _root_hash(root)
+                    tops = contents(parse(html))
+                    main = _root_hash(tops)
                     rows += [(host, 0, main, _PAGE, section), (host, section, main, _SECTION, section)]
-                    rows += [(host, node, main, slot, section) for node, slot in _countable(root).items()]
+                    rows += [(host, node, main, slot, section) for node, slot in _countable(tops).items()]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_host", "node", "main", "slot", "section"])
 
@@ -324,7 +327,7 @@ def _listed(pages: DataFrame, found: DataFrame) -> DataFrame:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "html"):
-                trees = [_countable(parse(html)) for html in part.column("html").to_pylist()]
+                trees = [_countable(contents(parse(html))) for html in part.column("html").to_pylist()]
                 times = np.array([len(t) for t in trees])
                 held = [part.column(c).to_numpy(zero_copy_only=False).repeat(times) for c in ("_page", "_host")]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array([node for t in trees for node in t], pa.int64())], names=["_page", "_host", "node"])
