@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions import columns as K
 from tradeloom.operators import calendar, campaigns, curves, filters, joins, ledger, metrics
-from tradeloom.sources import schemas
+from tradeloom.sources import schemas, store, tracker
 
 D = date
 
@@ -138,6 +138,10 @@ def test_exits_are_folded_in_order(spark):
     assert rows["t0/r0"].shares == 3.0 and rows["t0/r0"].notes == "n | Partial exit: a" and rows["t0/r0"].risk == 2.0
     assert rows["t1"].status == "closed" and rows["t1"].notes is None
     assert sum(r.shares for r in rows.values()) == 13.0
+    stamped = t.withColumns({"created_at": F.lit("2020-01-01").cast("timestamp"), "updated_at": F.lit("2021-01-01").cast("timestamp")})
+    after = ledger.apply_exits(stamped, exits(spark, (3.0, "a"), (1.0, "c")), F.lit("2024-02-01").cast("date"), F.lit("2024-02-01").cast("timestamp"))[0]
+    got = {r.trade_id: (r.shares, r.created_at.year, r.updated_at.year) for r in after.collect()}
+    assert got == {"t0": (5.0, 2020, 2024), "t0/r0": (3.0, 2020, 2024), "t0/r1": (1.0, 2020, 2024), "t1": (4.0, 2020, 2021)}
 
 
 def test_owner_delete_and_patch(spark):
@@ -146,9 +150,15 @@ def test_owner_delete_and_patch(spark):
     assert {r.trade_id for r in left.collect()} == {"t0"}
     assert {r.trade_id: r.outcome for r in told.collect()} == {"t0": "forbidden", "t1": "deleted", "t9": "missing"}
     updates = spark.createDataFrame([("t0", 1, "msft", None), ("t1", 1, "x", None)], "trade_id string, seq int, ticker string, sell_price double")
-    got = {r.trade_id: r for r in ledger.patch(t, updates, spark.createDataFrame([], schemas.PROFILES), F.lit("2024-01-01").cast("timestamp")).collect()}
-    assert (got["t0"].ticker, got["t0"].sell_price, got["t0"].risk_dollars, got["t0"].faults) == ("MSFT", 2.0, 100.0, "")
+    got = {r.trade_id: r for r in ledger.patch(t, updates, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert (got["t0"].ticker, got["t0"].sell_price, got["t0"].risk_dollars, got["t0"].faults) == ("MSFT", 2.0, None, "")  # no profile fills a risk here
     assert (got["t1"].ticker, got["t1"].faults) == ("AAPL", "sell_price,risk")
+    asked = spark.createDataFrame([("t0", 1, 2, 5000.0)], "trade_id string, seq int, asker long, account_balance double")
+    stamped = t.withColumn("updated_at", F.lit("2020-01-01").cast("timestamp"))
+    refused = {r.trade_id: r for r in ledger.patch(stamped, asked, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert refused["t0"].faults == "owner" and {r.updated_at.year for r in refused.values()} == {2020}
+    own = {r.trade_id: r for r in ledger.patch(stamped, asked.withColumn("asker", F.lit(1)), F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert (own["t0"].faults, own["t0"].risk_dollars, own["t0"].updated_at.year, own["t1"].updated_at.year) == ("", 50.0, 2024, 2020)
     edits = t.select("trade_id", F.lit("AAPL").alias("ticker"), F.lit(9.0).alias("buy_price"))
     assert [(r.ticker, r.buy_price) for r in ledger.changed_fields(edits, t).orderBy("trade_id").collect()] == [(None, 9.0), (None, 9.0)]
 
@@ -180,3 +190,27 @@ def test_empty_tables(spark):
     t = trades(spark)
     for df in (metrics.metrics_gross(t), metrics.period_choice(t), curves.equity_curve(t), calendar.totals(t), campaigns.weekly_summary(t, F.current_date()), ledger.apply_exits(t, exits(spark), F.current_date())[0]):
         assert df.count() == 0
+
+
+def test_curve_keeps_trades_without_entry_date(spark):
+    t = trades(spark, {"buy_price": 1.0, "sell_price": 3.0}, {"date": None, "buy_price": 2.0, "sell_price": 1.0}, {"date": D(2024, 1, 10), "buy_price": 5.0, "sell_price": 6.0})
+    assert [(r.date, r.equity, r.previous) for r in curves.equity_curve(t).orderBy("date").collect()] == [(None, -1.0, None), (D(2024, 1, 10), 0.0, -1.0), (t.first().date, 2.0, 0.0)]
+
+
+def test_rate_responses_need_all_four_rates(spark):
+    bodies = ['{"tether": {"usd": 1.0, "inr": 83.5, "eur": 0.9, "sgd": 1.3}}', '{"tether": {"usd": 1.0, "inr": 83.5, "eur": 0.9}}', '{"tether": {"usd": 0, "inr": 83.5, "eur": 0.9, "sgd": 1.3}}', "no json", None]
+    rows = spark.createDataFrame([(b, datetime(2024, 1, 1, 10, i)) for i, b in enumerate(bodies)], "body string, fetched_at timestamp")
+    assert {(r.currency, r.rate_per_usdt, r.fetched_at.minute) for r in joins.parsed_rates(rows).collect()} == {("USD", 1.0, 0), ("INR", 83.5, 0), ("EUR", 0.9, 0), ("SGD", 1.3, 0)}
+
+
+def test_stored_documents_and_lossy_csv_round_trip(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"trade_id": "a", "user_id": 1, "date": "2024-01-15T00:00:00", "exit_date": "2024-02-01", "shares": 2, "created_at": "2024-01-15T10:00:00Z", "status": "open"}\n{"trade_id": "b", "date": "soon"}\n')
+    got = {r.trade_id: r for r in store.read_documents(spark, str(tmp_path / "a.json"), schemas.TRADES).collect()}
+    assert (got["a"].date, got["a"].exit_date, got["a"].created_at.hour, got["a"].notes) == (D(2024, 1, 15), D(2024, 2, 1), 10, None)
+    assert (got["b"].date, got["b"].created_at) == (None, None)
+    t = trades(spark, {"date": D(2024, 1, 15), "buy_price": 10.0, "sell_price": 12.0, "shares": 3.0, "status": "closed", "exit_date": D(2024, 1, 20), "risk": 2.0, "notes": "n"})
+    tracker.write_export(t, str(tmp_path / "out"))
+    lines = tracker.read_lines(spark, str(tmp_path / "out" / "user_id=1"), 1)
+    back = one(ledger.parse_tracker(lines, F.lit("2025-01-01").cast("date")))
+    assert (back.date, back.buy_price, back.sell_price, back.shares, back.pnl, back.status) == (D(2024, 1, 1), 10.0, 12.0, 3.0, 6.0, "closed")  # the day and the exit's day are lost
+    assert back.notes == "Imported from CSV - January 2024" and back.risk_dollars == 2.0  # a percentage comes back as dollars

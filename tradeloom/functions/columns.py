@@ -122,7 +122,7 @@ def sharpe_label(x: Column) -> Column:
 
 def parsed_number(x: C) -> Column:
     """Text as a number: trimmed, without commas; blank or bad text is 0."""
-    return F.coalesce(F.regexp_replace(F.trim(col(x)), ",", "").try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.regexp_replace(F.regexp_replace(col(x), r"^\s+|\s+$", ""), ",", "").try_cast("double"), F.lit(0.0))
 
 
 def parsed_month(x: C, as_of: Column) -> Column:

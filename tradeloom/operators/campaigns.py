@@ -16,7 +16,8 @@ def weekly_pnl() -> Column:
 
 
 def in_week(trades: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    return trades.where((F.col("date") >= F.date_sub(as_of, days)) & (F.col("date") <= as_of))
+    """Trades entered since ``days`` before as_of; later ones than as_of count too."""
+    return trades.where(F.col("date") >= F.date_sub(as_of, days))
 
 
 def weekly_summary(trades: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -73,21 +74,55 @@ def welcome_pending(users: DataFrame, flags: DataFrame, new: DataFrame) -> DataF
     return users.select("uid", "email").join(sent, "uid", "left_anti").union(new.select("uid", "email")).distinct()
 
 
+def _marked(flags: DataFrame, sent: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """flags with the values set for the uids in sent; new uids are added, other flags stay. Values are over sent's columns."""
+    told = sent.groupBy("uid").agg(*(F.max(v).alias(f"_{c}") for c, v in values.items()), F.lit(True).alias("_sent"))
+    rows = flags.join(told, "uid", "full")
+    return rows.select("uid", *(F.when(F.col("_sent"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in flags.columns if c != "uid"))
+
+
 def mark_sent(flags: DataFrame, sent: DataFrame, now: Column) -> DataFrame:
-    """flags with weekly_summary_sent, its time and week set for the uids in sent; new uids are added."""
-    rows = flags.join(sent.select("uid").distinct().withColumn("_sent", F.lit(True)), "uid", "full")
-    week = F.concat_ws("-W", F.year(now).cast("string"), F.lpad(F.weekofyear(now).cast("string"), 2, "0"))
-    set_ = lambda c, v: F.when(F.col("_sent"), v).otherwise(F.col(c)).alias(c)
-    named = {"weekly_summary_sent": F.lit(True), "weekly_summary_sent_at": now, "last_summary_week": week}
-    return rows.select("uid", *(set_(c, named[c]) if c in named else F.col(c) for c in flags.columns if c != "uid"))
+    """After the weekly summary; last_summary_week is the day the week ends, as text."""
+    return _marked(flags, sent, {"weekly_summary_sent": F.lit(True), "weekly_summary_sent_at": now, "last_summary_week": F.date_format(now, "yyyy-MM-dd")})
+
+
+def mark_reminded(flags: DataFrame, sent: DataFrame, now: Column) -> DataFrame:
+    """After a reminder. sent: uid, days_inactive."""
+    return _marked(flags, sent, {"reminder_email_sent": F.lit(True), "reminder_email_sent_at": now, "last_reminder_days_inactive": F.col("days_inactive")})
+
+
+def mark_welcomed(flags: DataFrame, sent: DataFrame, now: Column) -> DataFrame:
+    """After the welcome mail. sent: uid, email."""
+    return _marked(flags, sent, {"welcome_email_sent": F.lit(True), "welcome_email_sent_at": now, "email": F.col("email")})
 
 
 def usage_counts(events: DataFrame) -> DataFrame:
-    """Events by action and label, with distinct users."""
-    return events.groupBy("action", "event_label").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), money_sum(F.col("value")).alias("total_value"))
+    """Events by category (if there is one), action and label, with distinct users."""
+    keys = [c for c in ("event_category", "action", "event_label") if c in events.columns]
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), money_sum(F.col("value")).alias("total_value"))
+
+
+def page_views(events: DataFrame, action: str = "view", top: int | None = None) -> DataFrame:
+    """Views and visitors by page (event_label), most seen first; ``top`` keeps so many."""
+    rows = events.where(F.col("action") == action).groupBy("event_label").agg(F.count("*").alias("views"), F.countDistinct("user_id").alias("visitors"))
+    return rows if top is None else rows.orderBy(F.desc("views"), "event_label").limit(top)
+
+
+def form_rates(events: DataFrame, done: str = "signup", failed: str = "error") -> DataFrame:
+    """By form (event_label): submissions, errors and the share of successes in percent (0 without any)."""
+    rows = events.where(F.col("action").isin(done, failed)).groupBy("event_label").agg(F.count_if(F.col("action") == done).alias("submitted"), F.count_if(F.col("action") == failed).alias("errors"))
+    return rows.withColumn("success_rate", F.col("submitted") / (F.col("submitted") + F.col("errors")) * 100)
 
 
 def navigation(events: DataFrame) -> DataFrame:
-    """How often one action follows another of the same user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "action")
-    return events.withColumn("from_action", F.lag("action").over(w)).where("from_action is not null").groupBy("from_action", F.col("action").alias("to_action")).agg(F.count("*").alias("n"))
+    """How often one action follows another of the same user.
+
+    Within a user's day by a window; a day's first action follows the last of the user's day before, and days are few.
+    """
+    rows = events.withColumn("_day", F.to_date("ts"))
+    w = Window.partitionBy("user_id", "_day").orderBy("ts", "action")
+    inside = rows.select(F.lag("action").over(w).alias("from_action"), F.col("action").alias("to_action")).where("from_action is not null")
+    key = F.struct("ts", "action")
+    days = rows.groupBy("user_id", "_day").agg(F.min_by("action", key).alias("to_action"), F.max_by("action", key).alias("_last"))
+    across = days.select(F.lag("_last").over(Window.partitionBy("user_id").orderBy("_day")).alias("from_action"), "to_action").where("from_action is not null")
+    return inside.union(across).groupBy("from_action", "to_action").agg(F.count("*").alias("n"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import any_exit_date, complete, gross_pnl, money_sum, units
 
 
-def running(df: DataFrame, value: Column, order: list[str], day: str | None = None) -> Column | DataFrame:
+def running(df: DataFrame, value: Column, order: list[str], day: str | None = None) -> DataFrame:
     """Exact running sum of value per user in the given order, as column ``running``.
 
     With ``day`` (the first of the order) in two steps: sums of days run over each user's days, and within a day over
-    its rows. Then the largest window is a user's day, not a user, however busy the account.
+    its rows. Then the largest window is a user's day, not a user, however busy the account. Rows without a day come
+    first. Also the sum before each row, ``before``, NULL for a user's first row.
     """
     exact = units(value)
     if day is None:
@@ -20,16 +21,21 @@ def running(df: DataFrame, value: Column, order: list[str], day: str | None = No
         return df.withColumn("running", F.sum(exact).over(w).cast("double") / 1e8)
     days = df.groupBy("user_id", day).agg(F.sum(exact).alias("_sum"))
     before = Window.partitionBy("user_id").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    within = Window.partitionBy("user_id", day).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.join(days, ["user_id", day]).withColumn("running", (F.col("_before") + F.sum(exact).over(within)).cast("double") / 1e8).drop("_before")
+    days = days.select(F.col("user_id").alias("_user"), F.col(day).alias("_day"), F.sum("_sum").over(before).alias("_before"))
+    rows = Window.partitionBy("user_id", day).orderBy(*order[1:])
+    within, own = F.sum(exact).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.sum(exact).over(rows.rowsBetween(Window.unboundedPreceding, -1))
+    both = df.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & F.col(day).eqNullSafe(F.col("_day")))
+    zero = F.coalesce(F.col("_before"), F.lit(0))
+    some = F.col("_before").isNotNull() | F.col("_own").isNotNull()
+    both = both.withColumns({"_within": within, "_own": own})
+    sums = {"running": (zero + F.col("_within")).cast("double") / 1e8, "before": F.when(some, (zero + F.coalesce(F.col("_own"), F.lit(0))).cast("double") / 1e8)}
+    return both.withColumns(sums).drop("_before", "_user", "_day", "_within", "_own")
 
 
 def equity_curve(trades: DataFrame, pnl: Column | None = None) -> DataFrame:
-    """Complete trades in order of entry with the cumulative P&L, and the one before."""
+    """Complete trades in order of entry (those without an entry date first) with the cumulative P&L, and the one before."""
     rows = trades.where(complete()).withColumn("pnl", gross_pnl() if pnl is None else pnl).select("user_id", "trade_id", "date", "pnl")
-    curve = running(rows, F.col("pnl"), ["date", "trade_id"], day="date").withColumnRenamed("running", "equity")
-    return curve.withColumn("previous", F.lag("equity").over(Window.partitionBy("user_id").orderBy("date", "trade_id")))
+    return running(rows, F.col("pnl"), ["date", "trade_id"], day="date").withColumnsRenamed({"running": "equity", "before": "previous"})
 
 
 def running_balance(periods: DataFrame) -> DataFrame:

@@ -42,3 +42,18 @@ def rate_as_of(requests: DataFrame, rates: DataFrame, max_age_seconds: int = 300
     found = both.withColumn("_last", F.last(F.when(F.col("_side") == 0, F.struct("_rate", "_fetched")), ignorenulls=True).over(w)).where("_side = 1")
     fresh = F.unix_timestamp("ts") - F.unix_timestamp("_last._fetched") < max_age_seconds
     return found.select(*columns, F.when(fresh, F.col("_last._rate")).alias("rate"))
+
+
+def parsed_rates(responses: DataFrame) -> DataFrame:
+    """(currency, rate_per_usdt, fetched_at) of rate responses (body, fetched_at): JSON with four rates under ``tether``.
+
+    A body without one of them, or with a rate of 0, is no valid response and gives no rows.
+    """
+    kinds = ("usd", "inr", "eur", "sgd")
+    rates = F.from_json("body", "tether struct<usd: double, inr: double, eur: double, sgd: double>")["tether"]
+    rows = responses.select("fetched_at", rates.alias("r"))
+    valid = F.lit(True)
+    for k in kinds:
+        valid = valid & F.coalesce(F.col(f"r.{k}") != 0, F.lit(False))
+    each = F.explode(F.array(*(F.struct(F.lit(k.upper()).alias("currency"), F.col(f"r.{k}").alias("rate_per_usdt")) for k in kinds)))
+    return rows.where(valid).select(each.alias("x"), "fetched_at").select("x.*", "fetched_at")

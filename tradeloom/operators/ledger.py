@@ -62,22 +62,29 @@ def append(stored: DataFrame, marked: DataFrame) -> DataFrame:
     return stored.unionByName(marked.where("accepted").drop("accepted", "line_no"), allowMissingColumns=True)
 
 
-def patch(trades: DataFrame, updates: DataFrame, profiles: DataFrame, now: Column) -> DataFrame:
+def patch(trades: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
     """Trades with partial updates applied (trade_id and the fields to change, NULL: unchanged), and faults.
 
     A merged row that breaks the rules of trades keeps its stored values; its faults say why. Of several
-    updates of a trade the last (by seq) holds.
+    updates of a trade the last (by seq) holds. ``asker``, if updates have it, is who asks: an update of another user's
+    trade is refused (fault: owner). A missing risk field is filled from the update's or the trade's own balance only.
+    updated_at changes for updated trades alone.
     """
-    fields = [c for c in updates.columns if c not in ("trade_id", "seq")]
-    last = updates.groupBy("trade_id").agg(*(F.max_by(c, "seq").alias(f"_{c}") for c in fields), F.lit(True).alias("_asked"))
+    fields = [c for c in updates.columns if c not in ("trade_id", "seq", "asker")]
+    asker = [F.max_by("asker", "seq").alias("_asker")] if "asker" in updates.columns else [F.lit(None).alias("_asker")]
+    last = updates.groupBy("trade_id").agg(*(F.max_by(c, "seq").alias(f"_{c}") for c in fields), *asker, F.lit(True).alias("_asked"))
     rows = trades.join(last, "trade_id", "left")
+    set_ = {*fields, "risk", "risk_dollars"}
     value = {c: F.upper(F.coalesce(f"_{c}", c)) if c == "ticker" else F.coalesce(f"_{c}", c) for c in fields}
-    merged = with_balance(rows.withColumns({f"_old_{c}": F.col(c) for c in {*fields, "risk", "risk_dollars"}}).withColumns(value), profiles)
-    percent, dollars = filled_risk(F.col("balance"))
-    merged = merged.withColumn("faults", F.when(F.col("_asked"), trade_faults()).otherwise(F.array().cast("array<string>")))
+    merged = rows.withColumns({f"_old_{c}": F.col(c) for c in set_}).withColumns(value)
+    percent, dollars = filled_risk(F.col("account_balance"))
+    foreign = F.coalesce(F.col("_asker") != F.col("user_id"), F.lit(False)) if "asker" in updates.columns else F.lit(False)
+    faults = F.when(foreign, F.array(F.lit("owner"))).otherwise(trade_faults())
+    merged = merged.withColumn("faults", F.when(F.col("_asked"), faults).otherwise(F.array().cast("array<string>")))
     merged = merged.withColumns({"_risk_filled": percent, "_dollars_filled": dollars}).withColumn("_ok", F.coalesce(F.col("_asked"), F.lit(False)) & (F.size("faults") == 0))
     keep = lambda c: F.when(F.col("_ok"), {"risk": F.col("_risk_filled"), "risk_dollars": F.col("_dollars_filled")}.get(c, F.col(c))).otherwise(F.col(f"_old_{c}"))
-    out = merged.withColumns({c: keep(c) for c in {*fields, "risk", "risk_dollars"}}).withColumn("updated_at", F.when(F.col("_ok"), now))
+    stored = F.col("updated_at") if "updated_at" in trades.columns else F.lit(None).cast("timestamp")
+    out = merged.withColumns({c: keep(c) for c in set_}).withColumn("updated_at", F.when(F.col("_ok"), now).otherwise(stored))
     return out.select(*trades.columns, *([] if "updated_at" in trades.columns else ["updated_at"]), F.array_join("faults", ",").alias("faults"))
 
 
@@ -108,26 +115,30 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], now: Column, or
     return rows.select(*keys, *(F.coalesce(f"_{c}", c).alias(c) for c in fields), *(v.alias(n) for n, v in stamp.items() if n in stored.columns))
 
 
-_LOT = "struct<trade_id:string,date:date,buy_price:double,shares:double,risk:double,risk_dollars:double,notes:string>"
-_DONE = "struct<request_id:string,outcome:string,trade_id:string,date:date,buy_price:double,sell_price:double,shares:double,risk:double,risk_dollars:double,notes:string>"
+_LOT = "struct<trade_id:string,shares:double>"
+_DONE = "struct<request_id:string,outcome:string,trade_id:string,shares:double,sell_price:double,said:string,rest:double>"
 
 
 def _noted(notes: Column, word: str, said: Column) -> Column:
     return F.btrim(F.concat(F.coalesce(notes, F.lit("")), F.lit(f" | {word}: "), F.coalesce(said, F.lit(""))), F.lit(" |"))
 
 
-def apply_exits(trades: DataFrame, requests: DataFrame, exit_day: Column) -> tuple[DataFrame, DataFrame]:
+def apply_exits(trades: DataFrame, requests: DataFrame, exit_day: Column, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(trades after the exits, outcome of each request). requests: request_id, user_id, ticker, shares_to_exit,
     sell_price, notes, ts.
 
     Exits of a user and ticker are taken in order of ts, each against the first open trade (by trade_id); one of more
     shares than that trade has is rejected and changes nothing. The fold runs over the arrays of one key: the key's
     open lots and requests, few even for a busy user. A full exit closes the row; a partial one leaves the rest open
-    and adds a closed row, whose risk isn't prorated.
+    and adds a closed row, a copy of the trade whose risk isn't prorated. Rows that an exit changes or adds get ``now`` as
+    updated_at, if trades have that column; created_at is the trade's.
+
+    The fold knows lots by id and shares alone. What it decides comes back to a trade by one join, and there a trade
+    becomes itself and the parts split off from it.
     """
     keys = ["user_id", "ticker"]
     lots = trades.where("status = 'open'").join(requests.select(*keys).distinct(), keys, "left_semi")
-    lots = lots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trade_id", "date", "buy_price", "shares", "risk", "risk_dollars", "notes"))).cast(f"array<{_LOT}>").alias("lots"))
+    lots = lots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trade_id", "shares"))).cast(f"array<{_LOT}>").alias("lots"))
     asked = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "request_id", "shares_to_exit", "sell_price", "notes"))).alias("asked"))
     both = asked.join(lots, keys, "left").withColumn("lots", F.coalesce("lots", F.array().cast(f"array<{_LOT}>")))
     start = F.struct(F.col("lots").alias("lots"), F.array().cast(f"array<{_DONE}>").alias("done"))
@@ -137,26 +148,31 @@ def apply_exits(trades: DataFrame, requests: DataFrame, exit_day: Column) -> tup
         rest = F.when(F.abs(lot["shares"] - x["shares_to_exit"]) < 1e-10, 0.0).otherwise(lot["shares"] - x["shares_to_exit"])
         outcome = F.when(F.size(acc["lots"]) == 0, "no open trade").when(x["shares_to_exit"] > lot["shares"], "too many shares").when(rest == 0, "full").otherwise("partial")
         some = outcome.isin("full", "partial")
-        notes = F.when(outcome == "full", F.when(F.length(F.coalesce(x["notes"], F.lit(""))) > 0, _noted(lot["notes"], "Exit", x["notes"])).otherwise(lot["notes"])).when(outcome == "partial", _noted(lot["notes"], "Partial exit", x["notes"]))
         entry = F.struct(
-            x["request_id"].alias("request_id"), outcome.alias("outcome"), F.when(some, lot["trade_id"]).alias("trade_id"), F.when(some, lot["date"]).alias("date"), F.when(some, lot["buy_price"]).alias("buy_price"), F.when(some, x["sell_price"]).alias("sell_price"),
-            F.when(some, x["shares_to_exit"]).alias("shares"), F.when(some, lot["risk"]).alias("risk"), F.when(some, lot["risk_dollars"]).alias("risk_dollars"), notes.alias("notes"),
+            x["request_id"].alias("request_id"), outcome.alias("outcome"), F.when(some, lot["trade_id"]).alias("trade_id"), F.when(some, x["shares_to_exit"]).alias("shares"), F.when(some, x["sell_price"]).alias("sell_price"),
+            F.when(some, x["notes"]).alias("said"), F.when(some, rest).alias("rest"),
         )
         others = F.slice(acc["lots"], 2, F.greatest(F.size(acc["lots"]) - 1, F.lit(0)))
         less = F.concat(F.array(lot.withField("shares", rest)), others)
         return F.struct(F.when(outcome == "full", others).when(outcome == "partial", less).otherwise(acc["lots"]).alias("lots"), F.concat(acc["done"], F.array(entry)).alias("done"))
 
-    folded = both.select(*keys, F.aggregate("asked", start, step).alias("r"))
-    done = folded.select(*keys, F.explode("r.done").alias("d")).select(*keys, "d.*")
-    left = folded.select(F.explode("r.lots").alias("lot")).select(F.col("lot.trade_id").alias("trade_id"), F.col("lot.shares").alias("_left"))
-    full = done.where("outcome = 'full'").select("trade_id", F.col("sell_price").alias("_sell"), F.col("shares").alias("_sold"), F.col("notes").alias("_notes"))
-    now = trades.join(left, "trade_id", "left").join(full, "trade_id", "left")
-    closed = F.col("_sold").isNotNull()
-    now = now.withColumns({
-        "shares": F.when(closed, F.col("_sold")).otherwise(F.coalesce("_left", "shares")), "status": F.when(closed, "closed").otherwise(F.col("status")), "sell_price": F.when(closed, F.col("_sell")).otherwise(F.col("sell_price")),
-        "exit_date": F.when(closed, exit_day).otherwise(F.col("exit_date")), "notes": F.when(closed, F.col("_notes")).otherwise(F.col("notes")),
-    }).drop("_left", "_sell", "_sold", "_notes")
-    parts = done.where("outcome = 'partial'").select(
-        F.concat_ws("/", "trade_id", "request_id").alias("trade_id"), "user_id", "date", exit_day.alias("exit_date"), "ticker", "buy_price", "sell_price", "shares", "risk", "risk_dollars", "notes", F.lit("closed").alias("status")
+    done = both.select(*keys, F.explode(F.aggregate("asked", start, step)["done"]).alias("d")).select(*keys, "d.*")
+    exit_ = F.struct("request_id", "shares", "sell_price", "said")
+    changes = done.where("trade_id is not null").groupBy("trade_id").agg(
+        F.max(F.when(F.col("outcome") == "full", exit_)).alias("_full"), F.array_sort(F.collect_list(F.when(F.col("outcome") == "partial", exit_))).alias("_parts"), F.min("rest").alias("_rest")
     )
-    return now.unionByName(parts, allowMissingColumns=True), done.select("request_id", "user_id", "ticker", "outcome", F.col("trade_id").alias("lot_id"), "shares")
+    stamp = F.current_timestamp() if now is None else now
+    closed, touched = F.col("_full").isNotNull(), F.col("_rest").isNotNull()
+    itself = {
+        "shares": F.when(closed, F.col("_full.shares")).otherwise(F.coalesce("_rest", "shares")), "status": F.when(closed, "closed").otherwise(F.col("status")), "sell_price": F.when(closed, F.col("_full.sell_price")).otherwise(F.col("sell_price")),
+        "exit_date": F.when(closed, exit_day).otherwise(F.col("exit_date")), "notes": F.when(closed & (F.length("_full.said") > 0), _noted(F.col("notes"), "Exit", F.col("_full.said"))).otherwise(F.col("notes")),
+        "updated_at": F.when(touched, stamp).otherwise(F.col("updated_at")) if "updated_at" in trades.columns else None,
+    }
+    part = lambda x: {
+        "trade_id": F.concat_ws("/", "trade_id", x["request_id"]), "shares": x["shares"], "status": F.lit("closed"), "sell_price": x["sell_price"], "exit_date": exit_day, "notes": _noted(F.col("notes"), "Partial exit", x["said"]), "updated_at": stamp,
+        "account_balance": F.lit(None),
+    }
+    row = lambda new: F.struct(*(new.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in trades.schema.fields))
+    rows = F.concat(F.array(row(itself)), F.transform(F.coalesce("_parts", F.array().cast("array<struct<request_id:string,shares:double,sell_price:double,said:string>>")), lambda x: row(part(x))))
+    after = trades.join(changes, "trade_id", "left").select(F.explode(rows).alias("row")).select("row.*")
+    return after, done.select("request_id", "user_id", "ticker", "outcome", F.col("trade_id").alias("lot_id"), "shares")

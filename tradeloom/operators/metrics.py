@@ -96,21 +96,29 @@ def period_stats(trades: DataFrame, weekly: bool = True, net: bool = False) -> D
     return _period_rows(rows.groupBy("user_id", "period").agg(*(c.alias(n) for n, c in win_loss_sums(F.col("_p")).items())))
 
 
-def _period_rows(sums: DataFrame) -> DataFrame:
+def _period_rows(sums: DataFrame, *more: str) -> DataFrame:
     rate, avg_win, avg_loss = ratio(F.col("wins"), F.col("n")) * 100, ratio(F.col("won"), F.col("wins")), ratio(F.col("lost"), F.col("losses"))
-    return sums.select("user_id", "period", F.col("total").alias("pnl"), rate.alias("win_rate"), (rate / 100 * avg_win - (100 - rate) / 100 * avg_loss).alias("expectancy"), F.col("n").alias("trades"))
+    return sums.select("user_id", "period", F.col("total").alias("pnl"), rate.alias("win_rate"), (rate / 100 * avg_win - (100 - rate) / 100 * avg_loss).alias("expectancy"), F.col("n").alias("trades"), *more)
 
 
-def period_choice(trades: DataFrame, limit_days: int = 90) -> DataFrame:
-    """Period statistics over all time, weekly or monthly by each user's span: the entry dates of the first and last
-    trade in order of exit. Both bucketings start from the same rows; the choice is a join on the user."""
+def period_choice(trades: DataFrame, limit_days: int = 90, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Period statistics, weekly or monthly: weekly if the span is limit_days or less.
+
+    With start and end (days): the span is theirs, the same for all users, and trades that were closed in between count.
+    Else over all time, by each user's span: the entry dates of the first and last trade in order of exit. Both
+    bucketings start from the same rows; the choice is a join on the user.
+    """
     rows = trades.where((F.col("status") == "closed") & given("sell_price")).withColumn("_day", any_exit_date())
-    key = F.struct("_day", "trade_id")
-    span = rows.groupBy("user_id").agg(F.datediff(F.max_by("date", key), F.min_by("date", key)).alias("span_days"))
-    chosen = rows.join(span, "user_id").withColumn("weekly", F.col("span_days") <= limit_days)
+    if start is not None and end is not None:
+        chosen = rows.where((F.col("_day") >= start) & (F.col("_day") <= end)).withColumn("span_days", F.datediff(end, start))
+    else:
+        key = F.struct("_day", "trade_id")
+        span = rows.groupBy("user_id").agg(F.datediff(F.max_by("date", key), F.min_by("date", key)).alias("span_days"))
+        chosen = rows.join(span, "user_id")
+    chosen = chosen.withColumn("weekly", F.col("span_days") <= limit_days)
     chosen = chosen.withColumns({"period": F.when(F.col("weekly"), week_start(F.col("_day"))).otherwise(month_start(F.col("_day"))), "_p": period_pnl(False)})
-    sums = chosen.groupBy("user_id", "period").agg(*(c.alias(n) for n, c in win_loss_sums(F.col("_p")).items()), F.max("weekly").alias("weekly"))
-    return _period_rows(sums).join(span, "user_id").withColumn("weekly", F.col("span_days") <= limit_days)
+    sums = chosen.groupBy("user_id", "period").agg(*(c.alias(n) for n, c in win_loss_sums(F.col("_p")).items()), F.max("weekly").alias("weekly"), F.max("span_days").alias("span_days"))
+    return _period_rows(sums, "span_days", "weekly")
 
 
 def monthly_totals(months: DataFrame) -> DataFrame:

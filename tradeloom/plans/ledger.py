@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..operators import ledger as O
 from ..sources.canonical import AS_OF, Journal
+from ..sources import store
 from ..sources.tracker import export_rows
 from .projections import GROSS
 from .registry import query
@@ -14,16 +15,16 @@ from .registry import query
 _day = lambda: F.lit(AS_OF).cast("date")
 _now = lambda: F.lit(f"{AS_OF} 00:00:00").cast("timestamp")
 
-# Tracker lines of the trades of every fifth customer: whole-number prices, so that text is the same everywhere; each
+# Tracker lines of all trades: whole-number prices, so that text is the same everywhere; each
 # closed line is there twice, and odd lines stand between.
 _PARSED = (
     "parsed AS (SELECT user_id, line_no, cast(date_trunc('month', date) AS DATE) AS date, ticker, floor(buy_price) AS buy_price, CASE WHEN floor(sell_price)>0 THEN floor(sell_price) END AS sell_price, shares, CASE WHEN trade_id LIKE '%-1-%' AND copy=1 THEN 20.0::DOUBLE END AS risk_dollars, CASE WHEN floor(sell_price)>0 THEN 'closed' ELSE 'open' END AS status, "
-    "CASE WHEN floor(sell_price)>0 THEN (floor(sell_price)-floor(buy_price))*shares END AS pnl, 'Imported from CSV - ' || strftime(date,'%B %Y') AS notes FROM (SELECT *, c.copy, trade_id || ':' || c.copy::VARCHAR AS line_no FROM trades, (VALUES (1),(2)) c(copy) WHERE user_id%5=0 AND (copy=1 OR status='closed')) WHERE floor(buy_price)>0 AND shares>0)"
+    "CASE WHEN floor(sell_price)>0 THEN (floor(sell_price)-floor(buy_price))*shares END AS pnl, 'Imported from CSV - ' || strftime(date,'%B %Y') AS notes FROM (SELECT *, c.copy, trade_id || ':' || c.copy::VARCHAR AS line_no FROM trades, (VALUES (1),(2)) c(copy) WHERE (copy=1 OR status='closed')) WHERE floor(buy_price)>0 AND shares>0)"
 )
 
 
 def _lines(j: Journal):
-    t = j.trades().where("user_id % 5 = 0").withColumn("copy", F.explode(F.when(F.col("status") == "closed", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    t = j.trades().withColumn("copy", F.explode(F.when(F.col("status") == "closed", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     whole = lambda c: F.coalesce(F.floor(c).cast("string"), F.lit(""))
     risk = F.when(F.col("trade_id").contains("-1-") & (F.col("copy") == 1), "20").otherwise("")
     cells = [F.date_format("date", "MMMM yyyy"), F.lower("ticker"), whole(F.coalesce("buy_price", F.lit(0.0))), whole("sell_price"), F.col("shares").cast("long").cast("string"), F.lit(""), risk, *[F.lit("")] * 6, F.lit("0"), F.lit(""), F.lit("")]
@@ -52,8 +53,10 @@ _MARKED = f"{_PARSED}, {_STORED}, marked AS (SELECT p.*, row_number() OVER (PART
 
 
 def _marked(j: Journal):
-    rows = O.parse_tracker(_lines(j), _day())
-    return O.mark_import(rows, rows.where("user_id % 10 = 0"))
+    """All lines; what users with a 0 at the end have in their journal already is on their tracker too."""
+    whole = F.floor("buy_price").cast("double")
+    stored = j.trades().where("user_id % 10 = 0 and floor(buy_price) > 0 and shares > 0").select("user_id", F.upper("ticker").alias("ticker"), F.trunc("date", "month").alias("date"), whole.alias("buy_price"))
+    return O.mark_import(O.parse_tracker(_lines(j), _day()), stored)
 
 
 @query("jn_import_dedup", "trades", f"WITH {_MARKED} SELECT line_no, accepted FROM marked")
@@ -71,17 +74,17 @@ def set_import_append(j: Journal):
     return O.append(j.trades(), _marked(j)).select("user_id", "ticker", "date", "buy_price", "status", "notes")
 
 
+_TEXT = lambda c: f"CASE WHEN coalesce({c}<>0,false) THEN {c}::VARCHAR ELSE '' END"
 
 
 @query(
     "snk_csv_export", "trades",
-    f"""SELECT trade_id, strftime(date,'%B %Y') AS "Month", ticker AS "Ticker", CASE WHEN status='closed' THEN printf('%.0f', floor({GROSS})) ELSE '0' END AS "whole_pl", CASE WHEN status='closed' THEN 'Closed' ELSE 'Open' END AS "Status" FROM trades""",
+    f"""SELECT user_id, trade_id, strftime(date,'%B %Y') AS "Month", ticker AS "Ticker", {_TEXT('buy_price')} AS "Buy price", {_TEXT('sell_price')} AS "Sell price", shares::VARCHAR AS "shares", printf('%.4f', CASE WHEN coalesce(buy_price<>0,false) THEN buy_price*shares ELSE 0.0::DOUBLE END) AS "$ value", coalesce(risk::VARCHAR,'') AS "Risk",
+    '' AS c8, '' AS c9, '' AS c10, '' AS c11, '' AS c12, '' AS c13, CASE WHEN status='closed' THEN printf('%.6f', {GROSS}) ELSE '0.00' END AS "P/L(Reward)", CASE WHEN status='closed' THEN printf('%.2f', CASE WHEN risk_dollars>0 AND {GROSS}<>0 THEN abs({GROSS})/risk_dollars ELSE 0.0::DOUBLE END) ELSE '0.00' END AS "R:R Ratio",
+    CASE WHEN status='closed' THEN 'Closed' ELSE 'Open' END AS "Status", '' AS c17, '' AS c18, '' AS c19, '' AS c20 FROM trades""",
 )
 def snk_csv_export(j: Journal):
-    """Detail rows of the export; the P/L is cut to whole dollars here, since engines print decimals differently."""
-    out = export_rows(j.trades().withColumn("sell_price", F.col("sell_price")))
-    whole = j.trades().select("trade_id", F.when(F.col("status") == "closed", F.format_string("%.0f", F.floor(K.gross_pnl()).cast("double"))).otherwise("0").alias("whole_pl"))
-    return out.select("trade_id", "Month", "Ticker", "Status").join(whole, "trade_id")
+    return export_rows(j.trades())
 
 
 @query("jn_owner_delete", "trades", "SELECT trade_id, user_id FROM trades WHERE NOT (shares=7 AND user_id%2=0)")
@@ -94,13 +97,17 @@ def jn_owner_delete(j: Journal):
 
 @query(
     "jn_update_patch", "trades",
-    "SELECT trade_id, CASE WHEN shares=3 THEN 'NEW' ELSE ticker END AS ticker, CASE WHEN shares=3 AND status='closed' AND coalesce(sell_price<>0,false) AND (coalesce(risk<>0,false) OR coalesce(risk_dollars<>0,false)) THEN 50.0::DOUBLE ELSE buy_price END AS buy_price, '' AS faults FROM trades WHERE false UNION ALL SELECT trade_id, CASE WHEN ok THEN 'NEW' ELSE ticker END, CASE WHEN ok THEN 50.0::DOUBLE ELSE buy_price END, CASE WHEN asked THEN concat_ws(',', CASE WHEN status='closed' AND NOT coalesce(sell_price<>0,false) THEN 'sell_price' END, CASE WHEN NOT (coalesce(risk<>0,false) OR coalesce(risk_dollars<>0,false)) THEN 'risk' END) ELSE '' END FROM (SELECT *, shares=3 AS asked, shares=3 AND (status<>'closed' OR coalesce(sell_price<>0,false)) AND (coalesce(risk<>0,false) OR coalesce(risk_dollars<>0,false)) AS ok FROM trades)",
+    f"""WITH u AS (SELECT *, shares=3 AS asked, coalesce(risk<>0,false) AS has_risk, coalesce(risk_dollars<>0,false) AS has_dollars FROM trades),
+    f AS (SELECT *, CASE WHEN NOT asked THEN '' WHEN user_id%5=3 THEN 'owner' ELSE concat_ws(',', CASE WHEN status='closed' AND NOT coalesce(sell_price<>0,false) THEN 'sell_price' END, CASE WHEN NOT (has_risk OR has_dollars) THEN 'risk' END) END AS faults FROM u), o AS (SELECT *, asked AND faults='' AS ok FROM f)
+    SELECT trade_id, CASE WHEN ok THEN 'NEW' ELSE ticker END AS ticker, CASE WHEN ok THEN 50.0::DOUBLE ELSE buy_price END AS buy_price, faults, CASE WHEN ok AND NOT has_risk AND account_balance>0 THEN risk_dollars/account_balance*100 ELSE risk END AS risk,
+    CASE WHEN ok AND NOT has_dollars AND account_balance>0 THEN risk/100*account_balance ELSE risk_dollars END AS risk_dollars, CASE WHEN ok THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2000-01-01' END AS updated_at FROM o""",
 )
 def jn_update_patch(j: Journal):
-    """Updates of all trades of three shares; an earlier update of the same trade is overruled."""
-    t = j.trades()
-    asked = t.where("shares = 3").select("trade_id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("old").alias("ticker"), F.lit(40.0).alias("buy_price")), F.struct(F.lit(2).alias("seq"), F.lit("new").alias("ticker"), F.lit(50.0).alias("buy_price")))).alias("u")).select("trade_id", "u.*")
-    return O.patch(t, asked, j.profiles(), _now()).select("trade_id", "ticker", "buy_price", "faults")
+    """Updates of all trades of three shares; an earlier update of the same trade is overruled, and some askers don't own it."""
+    t = j.trades().withColumn("updated_at", F.lit("2000-01-01").cast("timestamp"))
+    asker = F.when(F.col("user_id") % 5 == 3, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("asker")
+    asked = t.where("shares = 3").select("trade_id", asker, F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("old").alias("ticker"), F.lit(40.0).alias("buy_price")), F.struct(F.lit(2).alias("seq"), F.lit("new").alias("ticker"), F.lit(50.0).alias("buy_price")))).alias("u")).select("trade_id", "asker", "u.*")
+    return O.patch(t, asked, _now()).select("trade_id", "ticker", "buy_price", "faults", "risk", "risk_dollars", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query(
@@ -137,11 +144,12 @@ def set_upsert_fees(j: Journal):
 
 @query("snk_upsert", "trades", "SELECT trade_id, ticker, CASE WHEN user_id%100=0 THEN 'closed' ELSE status END AS status FROM trades")
 def snk_upsert(j: Journal):
-    """Rebuild by key: rows of every hundredth user replace the stored ones."""
-    t = j.trades()
-    change = t.where("user_id % 100 = 0").withColumn("status", F.lit("closed"))
-    merged = t.join(change.select("trade_id"), "trade_id", "left_anti").unionByName(change)
-    return merged.select("trade_id", "ticker", "status")
+    """Stored by month, then rebuilt by key: rows of every hundredth user replace the stored ones."""
+    folder = store.shared_folder(j.spark)
+    store.write_trades(j.trades(), f"{folder}/first")
+    old = j.spark.read.parquet(f"{folder}/first")
+    change = old.where("user_id % 100 = 0").withColumn("status", F.lit("closed"))
+    return j.spark.read.parquet(store.rebuild(old, change, ["trade_id"], folder)).select("trade_id", "ticker", "status")
 
 
 _FIRST = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ticker ORDER BY trade_id) AS k FROM trades WHERE status='open') WHERE k=1)"
@@ -170,7 +178,10 @@ _X = "x AS (SELECT trade_id AS lot, user_id%3 AS kind, floor((shares/3)*10000.0:
 
 @query(
     "set_exit_trades", "trades",
-    f"WITH {_FIRST}, {_X} SELECT trade_id, user_id, CASE WHEN kind=0 THEN shares-third ELSE shares END AS shares, CASE WHEN kind=1 THEN 'closed' ELSE status END AS status, CASE WHEN kind=1 THEN price ELSE sell_price END AS sell_price, CASE WHEN kind=1 THEN DATE '{AS_OF}' ELSE exit_date END AS exit_date, CASE WHEN kind=1 THEN trim(coalesce(notes,'') || ' | Exit: out', ' |') ELSE notes END AS notes FROM trades LEFT JOIN x ON trade_id=lot UNION ALL SELECT lot || '/r-' || lot, f.user_id, third, 'closed', price, DATE '{AS_OF}', trim(coalesce(notes,'') || ' | Partial exit: out', ' |') FROM x JOIN firsts f ON lot=trade_id WHERE kind=0",
+    f"WITH {_FIRST}, {_X} SELECT trade_id, user_id, CASE WHEN kind=0 THEN shares-third ELSE shares END AS shares, CASE WHEN kind=1 THEN 'closed' ELSE status END AS status, CASE WHEN kind=1 THEN price ELSE sell_price END AS sell_price, CASE WHEN kind=1 THEN DATE '{AS_OF}' ELSE exit_date END AS exit_date, CASE WHEN kind=1 THEN trim(coalesce(notes,'') || ' | Exit: out', ' |') ELSE notes END AS notes, date::TIMESTAMP AS created_at, CASE WHEN kind<2 THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2000-01-01' END AS updated_at, risk, account_balance FROM trades LEFT JOIN x ON trade_id=lot UNION ALL SELECT lot || '/r-' || lot, f.user_id, third, 'closed', price, DATE '{AS_OF}', trim(coalesce(notes,'') || ' | Partial exit: out', ' |'), date::TIMESTAMP, TIMESTAMP '{AS_OF}', risk, NULL FROM x JOIN firsts f ON lot=trade_id WHERE kind=0",
 )
 def set_exit_trades(j: Journal):
-    return O.apply_exits(j.trades(), exit_requests(j), _day())[0].select("trade_id", "user_id", "shares", "status", "sell_price", "exit_date", "notes")
+    t = j.trades().withColumns({"created_at": F.col("date").cast("timestamp"), "updated_at": F.lit("2000-01-01").cast("timestamp")})
+    after = O.apply_exits(t, exit_requests(j), _day(), _now())[0]
+    at = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")]
+    return after.select("trade_id", "user_id", "shares", "status", "sell_price", "exit_date", "notes", *at, "risk", "account_balance")

@@ -105,6 +105,18 @@ def agg_period_choice(j: Journal):
     return M.period_choice(j.trades())
 
 
+@query(
+    "agg_period_choice_range", "trades",
+    f"WITH c AS (SELECT * FROM trades WHERE {_DAY} BETWEEN DATE '1997-02-10' AND DATE '1997-05-10'), {_periods(_WEEK, _PP, 'c')}, d AS (SELECT * FROM trades WHERE {_DAY} BETWEEN DATE '1997-02-10' AND DATE '1997-05-12'), "
+    + _periods(f"cast(date_trunc('month', {_DAY}) AS DATE)", _PP, "d").replace("a AS (", "a2 AS (").replace("periods AS (", "periods2 AS (").replace("FROM a)", "FROM a2)")
+    + " SELECT *, 89 AS span_days, true AS weekly FROM periods UNION ALL SELECT *, 91, false FROM periods2",
+)
+def agg_period_choice_range(j: Journal):
+    """Two ranges given: one of 89 days, by weeks, and one of 91, by months."""
+    day = lambda d: F.lit(d).cast("date")
+    return M.period_choice(j.trades(), start=day("1997-02-10"), end=day("1997-05-10")).union(M.period_choice(j.trades(), start=day("1997-02-10"), end=day("1997-05-12")))
+
+
 _CAL = f"cal AS (SELECT trade_id, user_id, {EFF} AS day, CASE WHEN {COMPLETE} THEN {GROSS} ELSE 0.0::DOUBLE END AS p FROM trades), daily AS (SELECT user_id, day, {_m('p')} AS pnl, count(*) AS trade_count FROM cal GROUP BY user_id, day)"
 
 
