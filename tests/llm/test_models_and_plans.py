@@ -23,47 +23,64 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def _bits(text, trained, symbol):
+def _bits(text, trained, least):
     """Plain PPM, method C: counts in dictionaries, escapes followed order by order."""
     counts = defaultdict(Counter)
     for t in trained:
-        s = [L.START] * 3 + [symbol[b] for b in t]
-        for i in range(3, len(s)):
-            for k in range(4):
-                counts[tuple(s[i - k : i])][s[i]] += 1
-    total, s = 0.0, [L.START] * 3 + [symbol[b] for b in text]
-    for i in range(3, len(s)):
-        for k in (3, 2, 1, 0):
-            c = counts.get(tuple(s[i - k : i]))
-            if not c:
+        for i in range(len(t)):
+            for k in range(min(i, L.ORDER) + 1):
+                counts[t[i - k : i]][t[i]] += 1
+    total = 0.0
+    for i in range(len(text)):
+        for k in range(min(i, L.ORDER), -1, -1):
+            c = counts.get(text[i - k : i])
+            if not c or k and sum(c.values()) < least:
                 continue
             n, d = sum(c.values()), len(c)
-            if s[i] in c:
-                total -= math.log2(c[s[i]] / (n + d))
+            if text[i] in c:
+                total -= math.log2(c[text[i]] / (n + d))
                 break
             total -= math.log2(d / (n + d))
         else:
-            total += 6
+            total += 8
     return total
 
 
-def test_code_lengths_are_exact():
+def _counted(texts):
+    data, offsets = W.packed(pa.array(texts))
+    grams, depth = L._grams(data, offsets)
+    key, n = np.unique(grams & L._mask(L.ORDER) | depth.astype(np.int64) << 48, return_counts=True)
+    return key & L._mask(L.ORDER), key >> 48, n.astype(float)
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_code_lengths_are_exact(monkeypatch, least):
     rng = random.Random(2)
-    symbol = np.full(256, L.OTHER, np.uint8)
-    for i, b in enumerate(b"abcde "):
-        symbol[b] = i + 1
-    trained = {n: ["".join(rng.choices(letters, k=rng.randint(0, 40))).encode() for _ in range(15)] for n, letters in (("x", "abc "), ("y", "bcde "))}
-    grams = {}
-    for n, texts in trained.items():
-        data, offsets = W.packed(pa.array([t.decode() for t in texts]))
-        grams[n] = tuple(a.astype(t) for a, t in zip(np.unique(L._grams(symbol[data], offsets), return_counts=True), (np.int64, float), strict=True))
-    model = L.build_model(["x", "y"], symbol, grams)
-    tests = ["".join(rng.choices("abcdez ", k=rng.randint(0, 30))) for _ in range(20)]
+    trained = {n: ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(40)] for n, letters in (("x", "abc я"), ("y", "bcde "), ("z", "中文字"))}
+    model = L.build_model(["x", "y", "z"], {n: _counted(texts) for n, texts in trained.items()}, least)
+    tests = ["".join(rng.choices("abcdezя中 ", k=rng.randint(0, 40))) for _ in range(40)] + ["a", "", "b", "ab", "я", "\x00"]
     data, offsets = W.packed(pa.array(tests))
-    got = model.bits(data, offsets, model.places())
-    for i, t in enumerate(tests):
-        for j, n in enumerate(("x", "y")):
-            assert math.isclose(got[i, j], _bits(t.encode(), trained[n], symbol), rel_tol=1e-5, abs_tol=1e-4)
+    for chunk in (1 << 17, 7):
+        monkeypatch.setattr(L, "_CHUNK", chunk)
+        got = model.bits(data, offsets)
+        for i, t in enumerate(tests):
+            for j, n in enumerate(("x", "y", "z")):
+                assert math.isclose(got[i, j], _bits(t.encode(), [x.encode() for x in trained[n]], least), rel_tol=1e-5, abs_tol=1e-3)
+
+
+def test_fewer_orders_where_costs_would_be_too_many(monkeypatch):
+    texts = ["".join(random.Random(i).choices("abcdefgh", k=300)) for i in range(9)]
+    monkeypatch.setattr(L, "CELLS", 600)
+    assert len(L.build_model(["x"], {"x": _counted(texts)}).grams) < L.ORDER + 1
+
+
+def test_scripts_with_the_same_lead_bytes_are_told_apart(spark):
+    rng = random.Random(3)
+    words = {"ru": "это был один большой дом на берегу реки где жили люди".split(), "uk": "це був один великий будинок на березі річки де жили люди її".split(), "el": "αυτό ήταν ένα μεγάλο σπίτι στην όχθη του ποταμού".split(), "zh": "这是 河边 一座 大 房子 人们 住在 那里".split(), "ja": "これは 川辺 の 大きな 家 で 人々 が 住んで いた".split(), "EN": "this was a large house by the river where people lived".split()}
+    rows = [(i, " ".join(rng.choices(words[x], k=30)), x) for i, x in enumerate(sorted(words) * 60)]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {d: x for d, _, x in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in got) and sum(r.held_out for r in got) > 40
 
 
 def test_language_of_odd_rows(spark, docs, empty):

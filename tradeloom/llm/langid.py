@@ -1,13 +1,13 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a tree of byte contexts up to three bytes long holds frozen counts. A byte costs
--log2(count / (total + distinct)) in the longest context that has seen it, plus an escape of
--log2(distinct / (total + distinct)) for each longer known context that hasn't (method C, no exclusions, no
-updates). The language with the shortest code for the whole text wins.
-
-Bytes are symbols of six bits: the 62 most frequent of the sample (A-Z as a-z), one for all others, and one
-before the start of a text. So contexts and symbol make a number of 24 bits, and all languages' costs of a text
-are a few table look-ups per byte.
+For each language a tree of byte contexts of variable length, up to five bytes, holds frozen counts; a context is in the
+tree if it occurs often enough in the sample, so frequent ones are longer. A byte costs -log2(count / (total +
+distinct)) in the longest context of the tree that has seen it, plus an escape of -log2(distinct / (total + distinct))
+for each longer one that hasn't (method C, no exclusions, no updates), and 8 bits where no context has. The language
+with the shortest code for the whole text wins. All 256 byte values are symbols; only A-Z count as a-z.
+
+A context with its next byte is a number of 48 bits at most. The numbers that some language has seen are rows of a hash
+table with the finished costs for all languages, so most bytes take one look-up.
 """
 
 from __future__ import annotations
@@ -23,149 +23,184 @@ from pyspark.sql import types as T
 
 from . import words as W
 
-START, OTHER, KNOWN = 0, 63, 62
-ORDER = 3
-_CHUNK = 1 << 18
+#: Longest context in bytes; occurrences in the sample that a context needs; costs (rows x languages) held at most.
+ORDER, LEAST, CELLS = 5, 4, 1 << 26
+_CHUNK = 1 << 17
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def _symbols(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return codes[data]
+def _mask(order: int) -> int:
+    return (1 << 8 * (order + 1)) - 1
 
 
-def _grams(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte the three symbols before it in its text, and its own, as 24 bits."""
-    s = symbols.astype(np.int32)
-    out = s.copy()
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of lower-cased texts: itself after the five bytes before it, as one number, and how many of these
+    belong to its text."""
+    wide = data.astype(np.int64)
+    grams = wide.copy()
     for back in range(1, ORDER + 1):
-        before = np.zeros_like(s)
-        before[back:] = s[:-back]
-        for j in range(back):  # the first bytes of a text
-            at = offsets[:-1] + j
-            before[at[at < len(s)]] = START
-        out |= before << (6 * back)
-    return out
+        grams[back:] |= wide[:-back] << (8 * back)
+    depth = np.full(len(data), ORDER, np.int8)
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    for j in range(ORDER):  # the first bytes of a text, at the text's own end at most
+        at = heads + j
+        at = at[at < len(data)]
+        depth[at] = np.minimum(depth[at], j)
+    for h in heads[1:][np.diff(heads) < ORDER]:  # a text after a very short one
+        depth[h : h + ORDER] = np.minimum(depth[h : h + ORDER], np.arange(len(depth[h : h + ORDER])))
+    return grams, depth
+
+
+class _Places:
+    """A hash table: number -> its place in ``keys``, or -1."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(4 * max(len(keys), 1)).bit_length())
+        self.mask = np.int64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (W.mix(keys.astype(np.uint64)) >> np.uint64(7)).astype(np.int64) & self.mask
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(asked), -1, np.int32)
+        at = self._first(asked)
+        found = self.slots[at]
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != asked))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.keys[found[open_]] != asked[open_])]
+        return found
 
 
 @dataclass
 class PpmModel:
-    """Costs in bits, a column a language."""
+    """For each order: the numbers (context and byte) that some language has seen and their costs in bits, and the contexts
+    of some language and their escapes (0 for a language without the context). A column a language."""
 
     languages: list[str]
-    codes: np.ndarray  # byte -> symbol
-    keys: np.ndarray  # sorted 24-bit grams that some language has seen
-    costs: np.ndarray  # [key, language]
-    short: np.ndarray  # [18-bit gram, language]: contexts of two bytes or less
-    escape: np.ndarray  # [18-bit context, language]
-
-    def bits(self, data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """[text, language] code lengths. place: 24-bit gram -> row of costs + 1, or 0."""
+    grams: list[_Places]
+    costs: list[np.ndarray]
+    contexts: list[_Places]
+    escapes: list[np.ndarray]
+
+    def cost(self, order: int, grams: np.ndarray) -> np.ndarray:
+        """[number, language] costs of bytes after contexts of ``order`` bytes."""
+        if order < 0:
+            return np.full((len(grams), len(self.languages)), 8.0, np.float32)
+        row = self.grams[order].find(grams)
+        out = self.costs[order][row] if len(self.costs[order]) else np.zeros((len(grams), len(self.languages)), np.float32)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            context = self.contexts[order].find(grams[new] >> 8)
+            escape = np.where((context >= 0)[:, None], self.escapes[order][context], 0) if len(self.escapes[order]) else 0
+            out[new] = escape + self.cost(order - 1, grams[new] & _mask(order - 1))
+        return out
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """[text, language] code lengths of lower-cased texts."""
         total = np.zeros((len(offsets) - 1, len(self.languages)))
-        grams = _grams(_symbols(data, self.codes), offsets)
-        for at in range(0, len(grams), _CHUNK):
-            some = grams[at : at + _CHUNK]
-            row = place[some]
-            cost = self.costs[row - 1].astype(np.float64)
-            new = np.flatnonzero(row == 0)
-            cost[new] = self.escape[some[new] >> 6] + self.short[some[new] & 0x3FFFF]
+        grams, depth = _grams(data, offsets)
+        last = len(self.grams) - 1
+        step = max(1, _CHUNK // max(1, len(self.languages) // 8))
+        for at in range(0, len(grams), step):
+            some, deep = grams[at : at + step] & _mask(last), depth[at : at + step]
+            cost = self.cost(last, some).astype(np.float64)
+            for order in range(min(ORDER, last)):
+                short = np.flatnonzero(deep == order)
+                if len(short):
+                    cost[short] = self.cost(order, some[short] & _mask(order))
             a = np.searchsorted(offsets, at, side="right") - 1
-            b = np.searchsorted(offsets, min(at + _CHUNK, len(grams)), side="left")
+            b = np.searchsorted(offsets, min(at + step, len(grams)), side="left")
             heads = np.maximum(offsets[a:b] - at, 0)
             full = np.flatnonzero(np.diff(np.append(heads, len(some))) > 0)
             total[a + full] += np.add.reduceat(cost, heads[full], axis=0)
         return total
 
-    def places(self) -> np.ndarray:
-        place = np.zeros(1 << 24, np.int32)
-        place[self.keys] = np.arange(1, len(self.keys) + 1)
-        return place
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, place = np.unique(keys, return_inverse=True)
+    return unique, np.bincount(place, counts, len(unique))
 
-def _levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[context, symbol] counts -> cost of each symbol seen (inf: not seen), and each context's escape (0: unknown)."""
-    total, distinct = counts.sum(1), (counts > 0).sum(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cost = -np.log2(counts / (total + distinct)[:, None])
-        escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-    return np.where(counts > 0, cost, np.inf), escape
 
-
-def build_model(languages: list[str], codes: np.ndarray, grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
-    """grams: for each language its sorted 24-bit grams and their counts."""
-    keys = np.unique(np.concatenate([grams[x][0] for x in languages])).astype(np.int64)
+def build_model(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], least: int = LEAST) -> PpmModel:
+    """grams: for each language the numbers of its sample, how many bytes before each belong to the text, and counts."""
     n = len(languages)
-    costs, short, escapes = np.zeros((len(keys), n), np.float32), np.zeros((1 << 18, n), np.float32), np.zeros((1 << 18, n), np.float32)
-    for i, language in enumerate(languages):
-        key, count = grams[language]
-        three = np.bincount(key & 0x3FFFF, count, 1 << 18).reshape(-1, 64)
-        two = three.reshape(64, 64, 64).sum(0)
-        one = two.sum(0)[None]
-        below = np.full(64, 6.0)  # before any byte is known all symbols cost alike
-        cost, escape = _levels(one)
-        below = np.where(np.isinf(cost), escape[:, None] + below, cost)
-        cost, escape = _levels(two)
-        below = np.where(np.isinf(cost), escape[:, None] + below, cost)
-        cost, escape = _levels(three)
-        shorter = np.tile(below, (64, 1))
-        short[:, i] = np.where(np.isinf(cost), escape[:, None] + shorter, cost).ravel()
-        context = key >> 6
-        total, distinct = np.bincount(context, count, 1 << 18), np.bincount(context, minlength=1 << 18)
-        known = total > 0
-        escapes[known, i] = -np.log2(distinct[known] / (total[known] + distinct[known]))
-        own = escapes[keys >> 6, i] + short[keys & 0x3FFFF, i]
-        own[np.searchsorted(keys, key)] = -np.log2(count / (total[context] + distinct[context]))
-        costs[:, i] = own
-    return PpmModel(languages, codes, keys, costs, short, escapes)
-
-
-def train(docs: DataFrame, sample_docs: int = 400) -> PpmModel | None:
+    model = PpmModel(languages, [], [], [], [])
+    for order in range(ORDER + 1):
+        own = []
+        for x in languages:
+            key, depth, count = grams[x]
+            some = depth >= order
+            g, c = _summed(key[some] & _mask(order), count[some])
+            context, place = np.unique(g >> 8, return_inverse=True)
+            total, distinct = np.bincount(place, c, len(context)), np.bincount(place, minlength=len(context))
+            known = (total >= least) | (order == 0)
+            own.append((g[known[place]], c[known[place]], place[known[place]], context, known, total, distinct))
+        keys = np.unique(np.concatenate([o[0] for o in own]))
+        if order > 2 and len(keys) * n > CELLS:
+            break
+        contexts = np.unique(np.concatenate([o[3][o[4]] for o in own]))
+        escapes = np.zeros((len(contexts), n), np.float32)
+        for i, (_, _, _, context, known, total, distinct) in enumerate(own):
+            escapes[np.searchsorted(contexts, context[known]), i] = -np.log2(distinct[known] / (total[known] + distinct[known]))
+        costs = model.cost(order - 1, keys & _mask(order - 1) if order else keys)
+        costs += escapes[np.searchsorted(contexts, keys >> 8)] if len(keys) else 0
+        for i, (g, c, place, _, _, total, distinct) in enumerate(own):
+            costs[np.searchsorted(keys, g), i] = -np.log2(c / (total[place] + distinct[place]))
+        model.grams.append(_Places(keys))
+        model.costs.append(costs)
+        model.contexts.append(_Places(contexts))
+        model.escapes.append(escapes)
+    return model
+
+
+def train(docs: DataFrame, sample_docs: int = 400, most_languages: int = 256) -> PpmModel | None:
     """A model of the labelled documents that aren't held out, or None if there are none.
 
     sample_docs: about so many documents of each language, whole, the ones with the least hashes; all of a language
-    with fewer. Counting runs in Spark; the driver gets the distinct grams of the sample.
+    with fewer. most_languages: so many labels, the most frequent ones, are learned. Counting runs in Spark; the driver
+    gets the distinct numbers of the sample.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for language, n in sizes.items():
-        share = F.when(F.col("lang") == language, min(1.0, sample_docs / n)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-
-    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            total += np.bincount(W.lowered(W.packed(batch.column("text"))[0]), minlength=256)
-        yield pa.RecordBatch.from_pydict({"byte": np.arange(256), "n": total})
-
-    frequent = sample.select("text").mapInArrow(count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "byte").limit(KNOWN).collect()
-    codes = np.full(256, OTHER, np.uint8)
-    for i, r in enumerate(frequent):
-        codes[r.byte] = i + 1
-    codes[0x41:0x5B] = codes[0x61:0x7B]
+    languages = sorted(r.lang for r in sizes)
+    number = F.create_map(*(F.lit(v) for i, x in enumerate(languages) for v in (x, i)))
+    share = F.create_map(*(F.lit(v) for r in sizes for v in (r.lang, min(1.0, sample_docs / r.n))))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = np.array(batch.column("lang").to_pylist(), object)
-            for language in sorted(set(lang)):
-                data, offsets = W.packed(batch.column("text").take(pa.array(np.flatnonzero(lang == language))))
-                key, n = np.unique(_grams(_symbols(data, codes), offsets), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([language] * len(key), pa.string()), "gram": pa.array(key, pa.int32()), "n": pa.array(n, pa.int64())})
-
-    counted = sample.select("lang", "text").mapInArrow(count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(counted["lang"].to_pylist()))
-    lang = np.array(counted["lang"].to_pylist(), object)
-    key, n = counted["gram"].to_numpy().astype(np.int64), counted["n"].to_numpy()
+            for part in W.wide(batch):
+                lang = part.column("lang").to_numpy(zero_copy_only=False)
+                for language in np.unique(lang):
+                    data, offsets = W.packed(part.column("text").take(pa.array(np.flatnonzero(lang == language))))
+                    grams, depth = _grams(W.lowered(data), offsets)
+                    key, n = np.unique(grams & _mask(ORDER) | depth.astype(np.int64) << 8 * (ORDER + 1), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(key), language, np.int32)), "gram": pa.array(key), "n": pa.array(n, pa.int64())})
+
+    counted = sample.select(F.element_at(number, F.col("lang")).alias("lang"), "text").mapInArrow(count_grams, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, key, n = (counted[c].to_numpy() for c in ("lang", "gram", "n"))
     grams = {}
-    for language in languages:
-        some = lang == language
-        order = np.argsort(key[some])
-        grams[language] = key[some][order], n[some][order].astype(np.float64)
-    return build_model(languages, codes, grams) if languages else None
+    for i, language in enumerate(languages):
+        some = lang == i
+        if some.any():
+            grams[language] = key[some] & _mask(ORDER), key[some] >> 8 * (ORDER + 1), n[some].astype(np.float64)
+    return build_model(sorted(grams), grams) if grams else None
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -186,14 +221,13 @@ def predict(docs: DataFrame, model: PpmModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        place = model.places() if model else None
         for batch in batches:
             for part in W.slices(batch):
                 data, offsets = W.packed(part.column("text"))
                 found = _has_letter(data, offsets) if model else np.zeros(part.num_rows, bool)
                 lang, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
                 if found.any():
-                    bits = model.bits(data, offsets, place)
+                    bits = model.bits(W.lowered(data), offsets)
                     best = bits.argmin(1)
                     odds = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000))
                     lang[found] = np.array(model.languages, object)[best[found]]
@@ -218,6 +252,11 @@ def identify(docs: DataFrame, sample_docs: int = 400) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample_docs: int = 400, least_score: float = 0.3) -> DataFrame:
-    """The documents, with their own columns, whose language is found with a score of least_score or more."""
+    """The documents, with their own columns, whose language is found with a score of least_score or more.
+
+    Null, empty and letterless texts go; repeated rows are kept or go together; texts are scored whole, whatever their
+    length; an empty table gives an empty result, and so does one without a label to learn from. Columns of any names
+    go through, but for _lang_pred and _lang_score, which must not be there.
+    """
     found = predict(docs, train(docs, sample_docs))
     return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least_score)).drop("_lang_pred", "_lang_score")
