@@ -6,8 +6,8 @@ a group fits in memory. A group is held as its sorted fingerprints: equal ones a
 knows its least document. A word goes if any window that covers it has a smaller document; a longer repeat is
 covered by its windows. No suffix tree is built, and maximal repeats aren't found.
 
-The length of the fingerprints follows the number of windows (7 bytes up to some hundred million, then 8, then 16), so
-the odds of any false match stay below one in a hundred.
+Fingerprints have 8 bytes, whatever the number of windows, and meet only in their group, which comes from other hashes:
+n windows in g groups are expected to give n * n / (2 * g * 2**64) false matches, one or two in 100 TB.
 
 A passage may occur in a third of all documents. Each slice of a partition sends a label once, with its least
 document, and settles its other copies itself; so a hot node has as many entries as there are slices.
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .shared import kept, partitions
@@ -110,7 +111,6 @@ def _suffixes(texts: pa.Array, ids: np.ndarray, window: int, groups: PrefixGroup
     starts, ends, first = W.spans(data, offsets)
     words, at = W.span_hashes(data, starts, ends), W.window_starts(first, window)
     labels = W.window_hashes(words, window)[at]
-    second = W.window_hashes(words, window, seed=99)[at]
     ids = np.repeat(ids, np.maximum(np.diff(first) - window + 1, 0))
     order = np.lexsort((ids, labels))
     l, d = labels[order], ids[order]
@@ -122,34 +122,13 @@ def _suffixes(texts: pa.Array, ids: np.ndarray, window: int, groups: PrefixGroup
     sent = np.lexsort((labels[head], ids[head], group))
     rank = np.empty(len(sent), np.int64)
     rank[sent] = np.arange(len(sent))
-    return data, first, at, ids, rank[which], labels[head][sent], second[head][sent], ids[head][sent], group[sent]
+    return data, first, at, ids, rank[which], labels[head][sent], ids[head][sent], group[sent]
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
-def _label_bytes(suffixes: int, groups: int) -> int:
-    bits = 2 * np.log2(max(suffixes, 2)) + 7 - np.log2(groups)
-    return 7 if bits <= 56 else 8 if bits <= 64 else 16
-
-
-def _pack(labels: np.ndarray, second: np.ndarray, size: int) -> bytes:
-    wide = labels.view(np.uint8).reshape(-1, 8)
-    if size == 16:
-        wide = np.concatenate([wide, second.view(np.uint8).reshape(-1, 8)], axis=1)
-    return np.ascontiguousarray(wide[:, :size]).tobytes()
-
-
-def _unpack(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray | None]:
-    wide = np.frombuffer(raw, np.uint8).reshape(-1, size)
-    if size == 16:
-        return np.ascontiguousarray(wide[:, :8]).view(np.uint64)[:, 0], np.ascontiguousarray(wide[:, 8:]).view(np.uint64)[:, 0]
-    full = np.zeros((len(wide), 8), np.uint8)
-    full[:, :size] = wide
-    return full.view(np.uint64)[:, 0], None
-
-
 def _number() -> int:
     from pyspark import TaskContext
 
@@ -162,48 +141,46 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
 
     with_text adds kept_text (the words left, by single spaces) and removed (array of word spans, end exclusive:
     unions of windows that overlap or touch, maybe of different sources). Null, empty and short texts have no windows and stay whole; a null doc_id counts as
-    larger than any; rows with the same doc_id don't remove each other's words. Very long texts are one row of
+    larger than any, and doc_ids have to be whole numbers; rows with the same doc_id don't remove each other's words. Very long texts are one row of
     a slice. An empty table gives an empty result; further columns of docs are ignored. docs is read three
     times and has to be a stored table (the same rows in the same partitions each time).
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"doc_id has to be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = _prefix_counts(docs, window)
     total = int(counts[0].sum())
     n_groups = max(2 * partitions(docs.sparkSession), -(-total // GROUP_SUFFIXES))
     groups = PrefixGroups(counts, window, n_groups)
-    size = _label_bytes(total, n_groups)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _number()
         for batch in batches:
             for part in W.wide(batch):
                 number += 1
-                *_, labels, second, ids, group = _suffixes(part.column("text"), _ids(part.column("doc_id")), window, groups)
+                *_, labels, ids, group = _suffixes(part.column("text"), _ids(part.column("doc_id")), window, groups)
                 cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else [0]
                 rows = []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     here = ids[a:b]
                     at = np.concatenate([[0], np.flatnonzero(here[1:] != here[:-1]) + 1])
-                    rows.append((int(group[a]), number, _pack(labels[a:b], second[a:b], size), here[at].tobytes(), np.diff(at, append=b - a).astype(np.uint32).tobytes()))
+                    rows.append((int(group[a]), number, labels[a:b].tobytes(), here[at].tobytes(), np.diff(at, append=b - a).astype(np.uint32).tobytes()))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=["grp", "slice", "labels", "ids", "cnt"])
 
     def nodes(key: tuple, rows: pa.Table) -> pa.Table:
         raw = rows["labels"].to_pylist()
-        label, second = _unpack(b"".join(raw), size)
+        label = np.frombuffer(b"".join(raw), np.uint64)
         ids = np.repeat(np.frombuffer(b"".join(rows["ids"].to_pylist()), np.int64), np.frombuffer(b"".join(rows["cnt"].to_pylist()), np.uint32).astype(np.int64))
-        order = np.argsort(label, kind="stable") if second is None else np.lexsort((second, label))
+        order = np.argsort(label, kind="stable")
         l = label[order]
         new = np.concatenate([[True], l[1:] != l[:-1]])
-        if second is not None:
-            s = second[order]
-            new[1:] |= s[1:] != s[:-1]
         least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         smaller = np.zeros(len(ids), bool)
         smaller[order] = least < ids[order]
         out, at = [], 0
         for number, blob in zip(rows["slice"].to_pylist(), raw, strict=True):
-            here = smaller[at : at + len(blob) // size]
+            here = smaller[at : at + len(blob) // 8]
             at += len(here)
             if here.any():
                 out.append((number, key[0].as_py(), np.packbits(here).tobytes()))
@@ -223,7 +200,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = False)
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, text, found = (batch.column(n)[i] for n in ("doc_ids", "texts", "found"))
-                data, first, at, ids, rank, _, _, sent_ids, group = _suffixes(text.values, _ids(doc_ids.values), window, groups)
+                data, first, at, ids, rank, _, sent_ids, group = _suffixes(text.values, _ids(doc_ids.values), window, groups)
                 smaller = np.zeros(len(group), bool)
                 for x in found.as_py() or []:
                     a, b = np.searchsorted(group, [x["grp"], x["grp"] + 1])
