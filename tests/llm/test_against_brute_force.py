@@ -1,5 +1,7 @@
 """Operators on word windows and counts against plain Python, on odd rows and on the smallest given table."""
 
+import random
+
 import pytest
 
 from tests.llm import brute
@@ -61,11 +63,9 @@ def test_substrings(spark, docs, corpus, small_slices):
     assert rows(S.dedup_substrings(docs), 4) == sorted(brute.substring_dedup(known(corpus)), key=key)
 
 
-@pytest.mark.parametrize("size", [8, 16])
-def test_substrings_with_longer_labels(spark, docs, corpus, monkeypatch, size):
-    monkeypatch.setattr(S, "_label_bytes", lambda n, g: size)
-    docs = docs.where("doc_id is not null")
-    assert rows(S.dedup_substrings(docs), 4) == sorted(brute.substring_dedup(known(corpus)), key=key)
+def test_substrings_need_whole_numbers_as_ids(docs):
+    with pytest.raises(TypeError):
+        S.dedup_substrings(docs.withColumn("doc_id", docs["doc_id"].cast("string")))
 
 
 def test_substring_spans_and_texts(spark, docs, empty):
@@ -120,3 +120,29 @@ def test_neighbours_dont_change_a_verdict(spark, monkeypatch, limit):
     together = {r.doc_id: tuple(r) for r in Q.quality_rules(docs, with_text=True).collect()}
     monkeypatch.setattr(W.slices, "__defaults__", ("text", 1))
     assert together == {r.doc_id: tuple(r) for r in Q.quality_rules(docs, with_text=True).collect()}
+
+
+@pytest.mark.parametrize("tree,hashes", [(8, 4_000_000), (512, 900), (3, 300)])
+def test_chains_of_rare_and_common_ngrams(spark, monkeypatch, tree, hashes):
+    """Blocks far larger than a tree: texts chained by one n-gram each, families of near copies, an n-gram that all share."""
+    monkeypatch.setattr(N, "TREE", tree)
+    monkeypatch.setattr(N, "TREE_HASHES", hashes)
+    rng = random.Random(tree)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    common = [word() for _ in range(30)]
+    links = [[word() for _ in range(7)] for _ in range(121)]
+    rows = []
+    for i in range(120):  # most n-grams of these stand elsewhere too, so they stay candidates
+        body = links[i] + links[i + 1]
+        rows.append((i, " ".join(body + common[: rng.choice([0, 8, 30])])))
+    for f in range(12):
+        base = [word() for _ in range(rng.choice([20, 40, 60]))] + common
+        for c in range(rng.choice([2, 9, 25])):
+            v = list(base)
+            for j in rng.sample(range(len(v)), rng.randint(0, 3)):
+                v[j] = word()
+            rows.append((1000 + 100 * f + c, " ".join(v)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in N.ngram_jaccard(docs).collect())
+    assert got == sorted(brute.ngram_components(rows))
+    assert len({c for _, _, c in got}) < len(rows)

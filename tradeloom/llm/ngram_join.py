@@ -12,8 +12,10 @@
    near copies costs about m comparisons.
 
 A block larger than a tree is cut into chunks. Chunks are joined with themselves, then one representative for
-each component of a chunk is treated alike, again and again; at last every class outside its block's largest
-component meets all chunks of the block.
+each component of a chunk is treated alike, again and again: large groups are known then, though not all links. At
+last the classes that share an n-gram of step 3 and aren't all in one group make a tree for that n-gram. So no
+block is ever compared whole, and a class comes as often as it has such n-grams, however large its block. An n-gram of
+more classes than a tree holds is split by ranges of sizes and into chunks; only chunks whose sizes can link meet.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from . import words as W
 from .components import components
 from .shared import kept
 
-#: Classes in one signature tree; n-gram hashes in one part of the hash space, and the least number of parts.
-TREE = 4096
+#: Classes in one signature tree and hashes in it (a larger set is alone); n-gram hashes in one part of the hash space,
+#: and the least number of parts.
+TREE = 512
+TREE_HASHES = 4_000_000
 PART_HASHES = 4_000_000
 PARTS = 48
 FAN = 8
@@ -112,8 +116,8 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, k: int, parts: int) -> DataFrame:
-    """Rows of packed hashes: for each slice and part of the hash space the classes, their counts and the top 40
-    bits of their hashes there; and a row of its own part for each slice with the sizes of its classes."""
+    """Rows of packed hashes: for each slice and part of the hash space the classes, their counts and their hashes there;
+    and a row of its own part for each slice with the sizes of its classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,17 +137,17 @@ def _dealt(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 which = np.repeat(np.arange(len(fresh)), n)
                 part = (own % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                own, which, part = own[order] >> np.uint64(24), which[order], part[order]
+                own, which, part = own[order], which[order], part[order]
                 cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-                rows = [(-1 - number, number, _blob(cls), _blob(n.astype(np.uint32)), b"", b"")]
+                rows = [(-1 - number, number, _blob(cls), _blob(n.astype(np.uint32)), b"")]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     here = which[a:b]  # sorted
                     at = np.union1d(np.flatnonzero(here[1:] != here[:-1]) + 1, np.arange(0, b - a, 65535))  # counts of 16 bits
-                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint16)), _blob(own[a:b].astype(np.uint32)), _blob((own[a:b] >> np.uint64(32)).astype(np.uint8))))
+                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint16)), _blob(own[a:b])))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], names=["part", "slice", "cls", "cnt", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=["part", "slice", "cls", "cnt", "tok"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part long, slice long, cls binary, cnt binary, low binary, high binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part long, slice long, cls binary, cnt binary, tok binary")
 
 
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
@@ -153,7 +157,7 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     if part < 0:
         return pa.table({"slice": rows["slice"], "cls": rows["cls"], "cnt": rows["cnt"], "tok": pa.nulls(len(rows), pa.binary()), "df": pa.nulls(len(rows), pa.binary())})
     cls, cnt = _joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint16).astype(np.int64)
-    tok = _joined(rows["low"], np.uint32).astype(np.uint64) | _joined(rows["high"], np.uint8).astype(np.uint64) << np.uint64(32)
+    tok = _joined(rows["tok"], np.uint64)
     slices = np.repeat(rows["slice"].to_numpy(), [len(x) // 8 for x in rows["cls"].to_pylist()])
     order = np.lexsort((slices, cls))  # a class that several slices hold counts once, in its first slice
     new = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
@@ -173,7 +177,7 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     order, df = order[back], df[back]
     of, tok = of[order], tok[order]
     again = np.lexsort((tok, of, slices[of]))
-    of, tok, df = of[again], tok[again] + (np.uint64(part) << np.uint64(40)), df[again]
+    of, tok, df = of[again], tok[again], df[again]
     out = []
     if len(of):
         s = slices[of]
@@ -312,6 +316,12 @@ def tree_links(sizes: np.ndarray, tokens: list[np.ndarray], group: np.ndarray, o
             joined.join(a, b)
             links.append((int(order[a]), int(order[b])))
 
+    if len(sizes) <= FAN:  # a leaf: nothing to prune
+        for a in range(len(sizes)):
+            for b in range(a + 1, len(sizes)):
+                if (side is None or side[a] != side[b]) and limit.percent * int(sizes[b]) <= 100 * int(sizes[a]):
+                    compare(a, b)
+        return links
     tree = SignatureTree(sizes, tokens)
     step = 1
     while step < len(sizes) and side is None:  # sets of like sizes first: near copies join before the trees are descended
@@ -357,42 +367,60 @@ def _join_units(sets: DataFrame, limit: Threshold) -> DataFrame:
     return sets.select(*columns).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
 
 
-def _chunked(blocks: DataFrame, seed: int) -> DataFrame:
-    """blocks (class, block, ...) with chunk: hashed, about TREE classes each."""
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("in_block"))
-    return blocks.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(seed)), F.ceil(F.col("in_block") / TREE)))
+def _trees(count: str, hashes: str):
+    """How many trees so many classes with so many hashes need."""
+    return F.greatest(F.ceil(F.col(count) / TREE), F.ceil(F.col(hashes) / TREE_HASHES))
 
 
-def block_components(sets: DataFrame, blocks: DataFrame, limit: Threshold) -> DataFrame:
-    """(class, component) of the classes that links join to others. sets: class, n, tok; blocks: class, block."""
+def _chunked(blocks: DataFrame, seed: int) -> DataFrame:
+    """blocks (class, n, block, ...) with chunks (their number) and chunk: hashed, about a tree each."""
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("in_block"), F.sum("n").alias("hashes")).select("block", _trees("in_block", "hashes").alias("chunks"))
+    return blocks.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(seed)), F.col("chunks")))
+
+
+def _gram_units(held: DataFrame, limit: Threshold) -> DataFrame:
+    """unit, class, grp, outside of the classes that have to meet. held: gram, class, n, grp."""
+    grams = held.groupBy("gram").agg(F.count("*").alias("in_gram"), F.sum("n").alias("hashes"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b")
+    mixed = held.join(grams.select("gram", (_trees("in_gram", "hashes") > 1).alias("hot")), "gram")
+    few = mixed.where("not hot").select(F.xxhash64("gram", F.lit(7)).alias("unit"), "class", "grp", F.lit(None).cast("boolean").alias("outside"))
+    # sizes of linked sets lie in one band or in two neighbouring ones; a little wider, so that rounding does no harm
+    band = F.floor(F.log("n") / F.log(F.lit(101.0 / limit.percent))).cast("int")
+    hot = mixed.where("hot").drop("hot").withColumn("band", band)
+    bands = hot.groupBy("gram", "band").agg(F.count("*").alias("in_band"), F.sum("n").alias("hashes")).select("gram", "band", _trees("in_band", "hashes").alias("chunks"))
+    hot = hot.join(bands, ["gram", "band"]).withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(9)), F.col("chunks")))
+    cells = bands.select("gram", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    other = cells.select("gram", F.col("band").alias("band2"), F.col("chunk").alias("chunk2"))
+    pairs = cells.join(other, "gram").where("band2 = band + 1 or (band2 = band and chunk2 >= chunk)").withColumn("unit", F.xxhash64("gram", "band", "chunk", "band2", "chunk2"))
+    alone = (F.col("band") == F.col("band2")) & (F.col("chunk") == F.col("chunk2"))
+    left = hot.join(pairs, ["gram", "band", "chunk"]).select("unit", "class", "grp", F.when(~alone, True).alias("outside"))
+    right = hot.join(pairs.where(~alone).select("gram", F.col("band2").alias("band"), F.col("chunk2").alias("chunk"), "unit"), ["gram", "band", "chunk"]).select("unit", "class", "grp", F.lit(False).alias("outside"))
+    return few.unionByName(left).unionByName(right)
+
+
+def block_components(sets: DataFrame, blocks: DataFrame, held: DataFrame, limit: Threshold) -> DataFrame:
+    """(class, component) of the classes that links join to others. sets: class, n, tok; blocks: class, block; held: class,
+    gram (the n-grams that a class is joined on)."""
     unset = F.lit(None).cast("boolean").alias("outside")
-    chunked = kept(_chunked(blocks, 0))
+    chunked = kept(_chunked(blocks.join(sets.select("class", "n"), "class"), 0))
     units = chunked.select("class", F.xxhash64("block", "chunk").alias("unit"), F.col("class").alias("grp"), unset)
     links = kept(_join_units(sets.join(units, "class"), limit))
-    large = kept(chunked.where(F.col("in_block") > TREE).select("class", "block"))
+    large = kept(chunked.where("chunks > 1").select("class", "n", "block"))
     before = large.count()
     if not before:  # every block is one tree, and its stars are its components
         return links.select(F.col("u").alias("class"), F.col("v").alias("component"))
     seed, members = 0, before
     while True:  # representatives of the components, until they no longer get fewer
         seed += 1
-        group = kept(large.join(components(links).withColumnRenamed("id", "class"), "class", "left").select("class", "block", F.coalesce("component", "class").alias("grp")))
-        ones = group.groupBy("block", "grp").agg(F.min("class").alias("class"))
+        group = kept(large.join(components(links).withColumnRenamed("id", "class"), "class", "left").select("class", "n", "block", F.coalesce("component", "class").alias("grp")))
+        ones = group.groupBy("block", "grp").agg(F.min_by("n", "class").alias("n"), F.min("class").alias("class"))
         n = ones.count()
         if n > 0.9 * members or n <= large.select("block").distinct().count():
             break
         members = n
         units = _chunked(ones, seed).select("class", F.xxhash64("block", "chunk").alias("unit"), "grp", unset)
         links = kept(links.union(_join_units(sets.join(units, "class"), limit)))
-    main = group.groupBy("block", "grp").count().groupBy("block").agg(F.max_by("grp", F.struct("count", "grp")).alias("main"))
-    told = kept(group.join(main, "block").withColumn("out", F.col("grp") != F.col("main")))
-    some = _chunked(told.where("out").select("class", "block", "grp"), 101).select("class", "block", "grp", F.col("chunk").alias("a"))
-    every = _chunked(told.select("class", "block", "grp"), 102).select("class", "block", "grp", F.col("chunk").alias("b"))
-    pairs = kept(some.select("block", "a").distinct().join(every.select("block", "b").distinct(), "block"))
-    unit = F.xxhash64("block", "a", "b", F.lit(7)).alias("unit")
-    left = some.join(pairs, ["block", "a"]).select("class", unit, "grp", F.lit(True).alias("outside"))
-    right = every.join(pairs, ["block", "b"]).select("class", unit, "grp", F.lit(False).alias("outside"))
-    links = kept(links.union(_join_units(sets.join(left.union(right), "class"), limit)))
+    units = _gram_units(kept(held.join(group, "class").select("gram", "class", "n", "grp")), limit)
+    links = kept(links.union(_join_units(sets.join(units, "class"), limit)))
     return components(links).select(F.col("id").alias("class"), "component")
 
 
@@ -405,7 +433,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     texts are one set each, held whole. An empty table gives an empty result; further columns of docs are
     ignored. docs is read three times and has to be a stored table (the same rows each time).
 
-    Hashes of n-grams have 64 bits; to find common n-grams 40 bits and the part are used, in comparisons too.
+    N-grams go by hashes of 64 bits, classes by 64 bits of a digest of theirs.
     """
     limit = Threshold(percent)
     own = kept(sets_of(docs, k))
@@ -413,11 +441,11 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     parts = max(PARTS, -(-total // PART_HASHES))
     shared = _dealt(docs, k, parts).groupBy("part").applyInArrow(_shared, "slice long, cls binary, cnt binary, tok binary, df binary")
     sets = kept(shared.groupBy("slice").applyInArrow(_candidates(limit), "class long, n long, tok binary, prefix array<long>"))
-    held = sets.select("class", F.explode("prefix").alias("gram"))
+    held = sets.select("class", F.explode("prefix").alias("gram")).distinct()
     least = held.groupBy("gram").agg(F.min("class").alias("v"), F.count("*").alias("times")).where("times > 1")
     edges = held.join(least, "gram").where("class <> v").select(F.col("class").alias("u"), "v").distinct()
     blocks = kept(components(edges).select(F.col("id").alias("class"), F.col("component").alias("block")))
-    joined = block_components(sets.select("class", "n", "tok"), blocks, limit)
+    joined = block_components(sets.select("class", "n", "tok"), blocks, held, limit)
     ids = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     ids = ids.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = ids.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -429,8 +457,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The documents, with their own columns, one of each component: the one with the component's doc_id.
 
-    Documents without words stay, and so do rows without a doc_id. Where doc_ids repeat, rows that repeat a text too
-    are one document.
+    Null, empty and wordless texts stay, and so do rows without a doc_id. Where doc_ids repeat, rows that repeat a text too
+    are one document. Very long texts are compared whole; an empty table gives an empty result. Columns of any names go
+    through, but for _stay and _same, which must not be there.
     """
     found = kept(ngram_jaccard(docs.select("doc_id", "text"), k, percent))
     stay = found.where("doc_id = component_id or n_shingles = 0").select(F.col("doc_id").alias("_stay"))
