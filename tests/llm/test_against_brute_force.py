@@ -122,11 +122,12 @@ def test_neighbours_dont_change_a_verdict(spark, monkeypatch, limit):
     assert together == {r.doc_id: tuple(r) for r in Q.quality_rules(docs, with_text=True).collect()}
 
 
-@pytest.mark.parametrize("tree,hashes", [(8, 4_000_000), (512, 900), (3, 300)])
-def test_chains_of_rare_and_common_ngrams(spark, monkeypatch, tree, hashes):
+@pytest.mark.parametrize("tree,hashes,paired", [(8, 4_000_000, 0), (512, 900, 3), (3, 300, 1000)])
+def test_chains_of_rare_and_common_ngrams(spark, monkeypatch, tree, hashes, paired):
     """Blocks far larger than a tree: texts chained by one n-gram each, families of near copies, an n-gram that all share."""
     monkeypatch.setattr(N, "TREE", tree)
     monkeypatch.setattr(N, "TREE_HASHES", hashes)
+    monkeypatch.setattr(N, "PAIRED", paired)
     rng = random.Random(tree)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
     common = [word() for _ in range(30)]

@@ -13,9 +13,10 @@
 
 A block larger than a tree is cut into chunks. Chunks are joined with themselves, then one representative for
 each component of a chunk is treated alike, again and again: large groups are known then, though not all links. At
-last the classes that share an n-gram of step 3 and aren't all in one group make a tree for that n-gram. So no
-block is ever compared whole, and a class comes as often as it has such n-grams, however large its block. An n-gram of
-more classes than a tree holds is split by ranges of sizes and into chunks; only chunks whose sizes can link meet.
+last, in a block of a few chunks, every class outside its largest group meets all chunks. Larger blocks aren't compared
+whole: there the classes that share an n-gram of step 3 and aren't all in one group make a tree for that n-gram, so a
+class comes as often as it has such n-grams, however large its block. An n-gram of more classes than a tree holds is
+split by ranges of sizes and into chunks; only chunks whose sizes can link meet. Both ways find all links.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from .shared import kept
 
 #: Classes in one signature tree and hashes in it (a larger set is alone); n-gram hashes in one part of the hash space,
 #: and the least number of parts.
-TREE = 512
+TREE = 4096
 TREE_HASHES = 4_000_000
+#: Chunks of a block that still meet each other; beyond, a class would come more often than by its n-grams.
+PAIRED = 8
 PART_HASHES = 4_000_000
 PARTS = 48
 FAN = 8
@@ -378,6 +381,20 @@ def _chunked(blocks: DataFrame, seed: int) -> DataFrame:
     return blocks.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(seed)), F.col("chunks")))
 
 
+def _paired_units(every: DataFrame) -> DataFrame:
+    """unit, class, grp, outside: chunks of the classes outside their block's largest group, with all chunks of the block.
+    every: block, class, n, grp, chunk."""
+    main = every.groupBy("block", "grp").count().groupBy("block").agg(F.max_by("grp", F.struct("count", "grp")).alias("main"))
+    outside = every.join(main, "block").where("grp <> main").select("class", "n", "block", "grp")
+    some = kept(_chunked(outside, 101).select("class", "block", "grp", F.col("chunk").alias("a")))
+    every = every.select("class", "block", "grp", F.col("chunk").alias("b"))
+    pairs = kept(some.select("block", "a").distinct().join(every.select("block", "b").distinct(), "block"))
+    unit = F.xxhash64("block", "a", "b", F.lit(7)).alias("unit")
+    left = some.join(pairs, ["block", "a"]).select(unit, "class", "grp", F.lit(True).alias("outside"))
+    right = every.join(pairs, ["block", "b"]).select(unit, "class", "grp", F.lit(False).alias("outside"))
+    return left.unionByName(right)
+
+
 def _gram_units(held: DataFrame, limit: Threshold) -> DataFrame:
     """unit, class, grp, outside of the classes that have to meet. held: gram, class, n, grp."""
     grams = held.groupBy("gram").agg(F.count("*").alias("in_gram"), F.sum("n").alias("hashes"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b")
@@ -419,7 +436,12 @@ def block_components(sets: DataFrame, blocks: DataFrame, held: DataFrame, limit:
         members = n
         units = _chunked(ones, seed).select("class", F.xxhash64("block", "chunk").alias("unit"), "grp", unset)
         links = kept(links.union(_join_units(sets.join(units, "class"), limit)))
-    units = _gram_units(kept(held.join(group, "class").select("gram", "class", "n", "grp")), limit)
+    sizes = _chunked(group, 102)
+    few = sizes.where(F.col("chunks") <= PAIRED)
+    units = _paired_units(kept(few.drop("chunks")))
+    if sizes.where(F.col("chunks") > PAIRED).limit(1).count():
+        many = sizes.where(F.col("chunks") > PAIRED).select("class", "n", "grp")
+        units = units.unionByName(_gram_units(kept(held.join(many, "class").select("gram", "class", "n", "grp")), limit))
     links = kept(links.union(_join_units(sets.join(units, "class"), limit)))
     return components(links).select(F.col("id").alias("class"), "component")
 
