@@ -77,3 +77,20 @@ def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in QUERIES}
     assert names == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(QUERIES)
     assert "pipeline" in corpus_pipeline.QUERIES
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and empty texts, repeated rows and clashing columns through the first four stages, and empty tables."""
+    text = "the house by the river was large and the people who lived there were kind to all who came by"
+    rows = [(1, text, "en", 7, "x"), (1, text, "en", 7, "x"), (2, None, "en", 7, None), (3, "", None, 0, ""), (4, " 12 34 ", "en", 7, "y"), (5, text + " token=abcdefgh12345", "en", 7, "z"), (6, text.upper(), None, 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, class string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+        assert stage(spark, docs, FOLDER).columns == docs.columns, name
+    kept = corpus_pipeline.language_id(spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 5, 6]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, FOLDER).collect()) == [1, 1, 2, 3, 4, 5, 6]
+    clean = {r.doc_id: r for r in corpus_pipeline.secret_scans(spark, docs, FOLDER).collect()}
+    assert clean[5].text == text + " [SECRET]" and clean[5].n_chars == len(clean[5].text) and clean[2].text is None
+    assert sum(r.length for r in corpus_pipeline.packing(spark, docs.where("doc_id in (2, 3)"), FOLDER).collect()) == 2

@@ -213,7 +213,12 @@ def found_in(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, with their own columns; see found_in()."""
+    """The documents that are not contaminated, with their own columns; see found_in().
+
+    Null, empty and wordless texts stay; repeated rows stay or go together; very long texts are searched whole; an empty
+    table gives an empty result, an empty benchmark keeps all. Columns of any names go through, but for those that begin
+    with _hit_, _found or _text, which must not be there.
+    """
     return found_in(docs, benchmark, window, share).where(~F.col("_found.contaminated")).drop("_found")
 
 

@@ -27,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (tests, one machine) a local folder."""
+    """spark.checkpoint.dir of the session; only where that is unset and the master is local (tests) a local folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-", dir=os.environ.get("TMPDIR")))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-", dir=os.environ.get("TMPDIR")))
     return context._jsc.sc().getCheckpointDir().get()
 
 
