@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import kept
+from .shared import kept, release_shuffles
 
 #: Classes in one signature tree and hashes in it (a larger set is alone); n-gram hashes in one part of the hash space,
 #: and the least number of parts.
@@ -119,8 +119,8 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, k: int, parts: int) -> DataFrame:
-    """Rows of packed hashes: for each slice and part of the hash space the classes, their counts and their hashes there;
-    and a row of its own part for each slice with the sizes of its classes."""
+    """Rows of packed hashes: for each slice and part of the hash space the classes, their counts and the top 48 bits of
+    their hashes there; and a row of its own part for each slice with the sizes of its classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -146,7 +146,7 @@ def _dealt(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     here = which[a:b]  # sorted
                     at = np.union1d(np.flatnonzero(here[1:] != here[:-1]) + 1, np.arange(0, b - a, 65535))  # counts of 16 bits
-                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint16)), _blob(own[a:b])))
+                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint16)), _blob(own[a:b].view(np.uint8).reshape(-1, 8)[:, 2:])))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=["part", "slice", "cls", "cnt", "tok"])
 
@@ -160,7 +160,10 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     if part < 0:
         return pa.table({"slice": rows["slice"], "cls": rows["cls"], "cnt": rows["cnt"], "tok": pa.nulls(len(rows), pa.binary()), "df": pa.nulls(len(rows), pa.binary())})
     cls, cnt = _joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint16).astype(np.int64)
-    tok = _joined(rows["tok"], np.uint64)
+    raw = _joined(rows["tok"], np.uint8).reshape(-1, 6)
+    tok = np.zeros((len(raw), 8), np.uint8)
+    tok[:, 2:] = raw
+    tok = tok.view(np.uint64)[:, 0] | np.uint64(part)
     slices = np.repeat(rows["slice"].to_numpy(), [len(x) // 8 for x in rows["cls"].to_pylist()])
     order = np.lexsort((slices, cls))  # a class that several slices hold counts once, in its first slice
     new = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
@@ -455,7 +458,8 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     texts are one set each, held whole. An empty table gives an empty result; further columns of docs are
     ignored. docs is read three times and has to be a stored table (the same rows each time).
 
-    N-grams go by hashes of 64 bits, classes by 64 bits of a digest of theirs.
+    N-grams go by 48 bits of a hash and its part of the hash space, which holds about PART_HASHES: one in some 140 million
+    equals another by chance, whatever the size of docs. Classes go by 64 bits of a digest of theirs.
     """
     limit = Threshold(percent)
     own = kept(sets_of(docs, k))
@@ -463,7 +467,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     parts = max(PARTS, -(-total // PART_HASHES))
     shared = _dealt(docs, k, parts).groupBy("part").applyInArrow(_shared, "slice long, cls binary, cnt binary, tok binary, df binary")
     sets = kept(shared.groupBy("slice").applyInArrow(_candidates(limit), "class long, n long, tok binary, prefix array<long>"))
-    held = sets.select("class", F.explode("prefix").alias("gram")).distinct()
+    del shared
+    release_shuffles(docs.sparkSession)  # those of the hashes are larger than docs and not read again
+    held = sets.select("class", F.explode("prefix").alias("gram"))
     least = held.groupBy("gram").agg(F.min("class").alias("v"), F.count("*").alias("times")).where("times > 1")
     edges = held.join(least, "gram").where("class <> v").select(F.col("class").alias("u"), "v").distinct()
     blocks = kept(components(edges).select(F.col("id").alias("class"), F.col("component").alias("block")))

@@ -43,5 +43,10 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; it looks when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
