@@ -146,7 +146,7 @@ def _dealt(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     here = which[a:b]  # sorted
                     at = np.union1d(np.flatnonzero(here[1:] != here[:-1]) + 1, np.arange(0, b - a, 65535))  # counts of 16 bits
-                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint32)), _blob(own[a:b].view(np.uint8).reshape(-1, 8)[:, 2:])))
+                    rows.append((int(part[a]), number, _blob(cls[here[at]]), _blob(np.diff(at, append=b - a).astype(np.uint16)), _blob(own[a:b].view(np.uint8).reshape(-1, 8)[:, 2:])))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=["part", "slice", "cls", "cnt", "tok"])
 
@@ -159,7 +159,7 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     part = key[0].as_py()
     if part < 0:
         return pa.table({"slice": rows["slice"], "cls": rows["cls"], "cnt": rows["cnt"], "tok": pa.nulls(len(rows), pa.binary()), "df": pa.nulls(len(rows), pa.binary())})
-    cls, cnt = _joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint32).astype(np.int64)
+    cls, cnt = _joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint16).astype(np.int64)
     raw = _joined(rows["tok"], np.uint8).reshape(-1, 6)
     tok = np.zeros((len(raw), 8), np.uint8)
     tok[:, 2:] = raw
@@ -205,7 +205,7 @@ def _candidates(limit: Threshold):
         rows = rows.filter(pa.array([not x for x in own]))
         cls, n = _joined(sizes["cls"], np.int64), _joined(sizes["cnt"], np.uint32).astype(np.int64)
         size = dict(zip(cls.tolist(), n.tolist(), strict=True))
-        of = np.repeat(_joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint32).astype(np.int64))
+        of = np.repeat(_joined(rows["cls"], np.int64), _joined(rows["cnt"], np.uint16).astype(np.int64))
         tok, df = _joined(rows["tok"], np.uint64), _joined(rows["df"], np.uint32)
         order = np.lexsort((tok, df, of))
         of, tok = of[order], tok[order]
