@@ -490,6 +490,7 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     through, but for _stay and _same, which must not be there.
     """
     found = kept(ngram_jaccard(docs.select("doc_id", "text"), k, percent))
+    release_shuffles(docs.sparkSession)  # before the texts are shuffled
     stay = found.where("doc_id = component_id or n_shingles = 0").select(F.col("doc_id").alias("_stay"))
     rows = docs.join(stay.distinct(), F.col("doc_id") == F.col("_stay"), "left_semi")
     n, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that Spark hands to Python at once. Texts are long, and the default of 10,000 holds their bytes twice, outside
 #: the heap and in the worker.
 BATCH_ROWS = 1000
+#: Seconds in which Python's references to frames get to the JVM.
+RELEASE_S = 1.0
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -44,7 +48,12 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more; it looks when the driver collects garbage."""
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; it looks when the driver collects garbage.
+
+    Python gives its references to the JVM's frames back in a thread of its own, some time after they end; a collection before that
+    finds every frame in use. Nothing depends on the files going: where they stay, they only take room for longer."""
+    gc.collect()
+    time.sleep(RELEASE_S)
     spark.sparkContext._jvm.System.gc()
 
 
