@@ -88,6 +88,27 @@ def decontaminate(docs, items, k=13):
     return out
 
 
+def verbatim_matches(docs, items, k=13):
+    """(doc_id, start, words, item_id, item_start) of the matches that can't be longer on either side, of k words or the whole item."""
+    out = []
+    for d, text in docs:
+        w = ALNUM.findall(ascii_lower(text))
+        for item, other in items:
+            b = ALNUM.findall(ascii_lower(other))
+            n = min(k, len(b))
+            starts = defaultdict(list)
+            for j in range(len(b) - n + 1 if b else 0):
+                starts[tuple(b[j : j + n])].append(j)
+            pairs = {(i, j) for i in range(len(w) - n + 1 if b else 0) for j in starts.get(tuple(w[i : i + n]), ())}
+            for i, j in pairs:
+                if (i - 1, j - 1) not in pairs:
+                    m = 1
+                    while (i + m, j + m) in pairs:
+                        m += 1
+                    out.append((d, i, n + m - 1, str(item), j))
+    return out
+
+
 def quality(docs):
     out = []
     for d, text in docs:

@@ -88,6 +88,11 @@ def test_decontamination(spark, docs, empty, corpus, small_slices, monkeypatch):
     assert rows(D.contamination(docs, bench), 6) == want
     assert D.contamination(empty, bench).count() == 0
     assert D.contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
+    want_matches = sorted(brute.verbatim_matches(corpus, items(corpus)), key=key)
+    for bound in (500, 8 << 20):
+        monkeypatch.setattr(D, "BLOCK_BYTES", bound)
+        assert rows(D.verbatim_matches(docs, bench), 5) == want_matches and want_matches
+    assert D.verbatim_matches(empty, bench).count() == 0 and D.verbatim_matches(docs, bench.limit(0)).count() == 0
     left = D.decontaminate(docs, bench)
     assert left.columns == docs.columns and left.count() == sum(not r[5] for r in want)
 

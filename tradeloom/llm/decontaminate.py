@@ -24,7 +24,8 @@ from .shared import kept
 
 #: Bytes of test text searched at once.
 BLOCK_BYTES = 8 << 20
-_HITS = {"_hit_spans": T.BinaryType(), "_hit_items": T.ArrayType(T.StringType()), "_hit_longest": T.LongType()}
+_MATCHES = "array<struct<start: long, n_words: long, item_id: string, item_start: long>>"
+_ARROW_MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
 
 @dataclass
@@ -35,6 +36,7 @@ class Tests:
     start: np.ndarray
     length: np.ndarray  # words to compare: the window, or all of a shorter item
     item: np.ndarray
+    first: np.ndarray  # of each item: where its words begin
     names: list[str]
 
 
@@ -48,7 +50,7 @@ def tests_of(rows: list[tuple[object, str | None]], window: int) -> Tests:
     count = np.where(n >= window, n - window + 1, np.minimum(n, 1))
     item = np.repeat(np.arange(len(n)), count)
     start = first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-    return Tests(np.concatenate([hashes, np.zeros(window, np.uint64)]), start, np.minimum(n[item], window), item, [str(i) for i, _ in rows])
+    return Tests(np.concatenate([hashes, np.zeros(window, np.uint64)]), start, np.minimum(n[item], window), item, first[:-1], [str(i) for i, _ in rows])
 
 
 class SuffixArray:
@@ -120,40 +122,42 @@ class SuffixArray:
         return self.array[np.repeat(low, n) + np.arange(len(suffix)) - np.repeat(np.cumsum(n) - n, n)], suffix
 
 
-def _longest(place: np.ndarray, suffix: np.ndarray, tests: Tests, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Words of the longest verbatim match in each text: runs of matches along one diagonal."""
-    out = np.zeros(docs, np.int64)
-    if len(place):
-        diagonal = place - tests.start[suffix]
-        order = np.lexsort((place, diagonal, tests.item[suffix]))
-        d, p, i = diagonal[order], place[order], tests.item[suffix][order]
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (i[1:] != i[:-1])])
-        head = np.flatnonzero(new)
-        run = np.diff(head, append=len(p)) - 1 + tests.length[suffix][order][head]
-        np.maximum.at(out, doc[order][head], run)
-    return out
+def _runs(place: np.ndarray, suffix: np.ndarray, tests: Tests) -> tuple[np.ndarray, ...]:
+    """The longest verbatim matches: occurrences that follow each other on one diagonal are one. Place in the shard, words,
+    item, and the word of the item that each begins with."""
+    diagonal, item = place - tests.start[suffix], tests.item[suffix]
+    order = np.lexsort((place, diagonal, item))
+    d, p, i, suffix = diagonal[order], place[order], item[order], suffix[order]
+    head = np.flatnonzero((np.diff(d, prepend=0) != 0) | (np.diff(p, prepend=0) != 1) | (np.diff(i, prepend=-1) != 0))
+    words = np.diff(head, append=len(p)) - 1 + tests.length[suffix[head]]
+    return p[head], words, i[head], tests.start[suffix[head]] - tests.first[i[head]]
 
 
-_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("contaminated", pa.bool_())])
+_FOUND = f"struct<n_words: long, n_hit: long, items: array<string>, longest: long, contaminated: boolean, matches: {_MATCHES}>"
+_ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("contaminated", pa.bool_()), ("matches", _ARROW_MATCHES)])
 
 
-def _verdict(words: int, spans: bytes, items: list[str], longest: int, share: int) -> dict:
+def _verdict(words: int, matches: list[dict], share: int) -> dict:
     hit = 0
-    if spans:
+    if matches:
         edge = np.zeros(words + 1, np.int64)
-        pairs = np.frombuffer(spans, "<i8").reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, pairs[:, 0] + pairs[:, 1], -1)
+        start, size = (np.array([m[c] for m in matches]) for c in ("start", "n_words"))
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + size, -1)
         hit = int((np.cumsum(edge) > 0).sum())
-    return {"n_words": words, "n_hit": hit, "items": sorted(set(items)), "longest": longest, "contaminated": hit > 0 and share * hit >= words}
+    items, longest = sorted({m["item_id"] for m in matches}), max((m["n_words"] for m in matches), default=0)
+    matches = sorted(matches, key=lambda m: (m["start"], m["n_words"], m["item_id"], m["item_start"]))
+    return {"n_words": words, "n_hit": hit, "items": items, "longest": longest, "contaminated": hit > 0 and share * hit >= words, "matches": matches}
 
 
 def _search_block(docs: DataFrame, tests: Tests, window: int, share: int | None) -> DataFrame:
-    """docs with the hits of one block of tests joined to those of the blocks before; with a share, which ends the
-    search, as the verdict _found instead."""
+    """docs with the matches of one block of tests added to those of the blocks before (_hit_matches); with a share, which
+    ends the search, with the verdict _found instead."""
     shared = docs.sparkSession.sparkContext.broadcast(tests)
-    names = [n for n in docs.columns if n not in _HITS]
+    names = [n for n in docs.columns if n != "_hit_matches"]
     had = len(names) < len(docs.columns)
+    added, kind, arrow = ("_hit_matches", _MATCHES, _ARROW_MATCHES) if share is None else ("_found", _FOUND, _ARROW_FOUND)
+    schema = docs.select(*names).schema.add(added, T.DataType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = shared.value
@@ -163,35 +167,21 @@ def _search_block(docs: DataFrame, tests: Tests, window: int, share: int | None)
                 data = W.lowered(data)
                 starts, ends, first = W.spans(data, offsets, W.ALNUM)
                 array = SuffixArray(W.span_hashes(data, starts, ends), first, window)
-                place, suffix = array.matches(tests)
+                place, *rest = _runs(*array.matches(tests), tests)
                 doc = np.searchsorted(array.first, place, side="right") - 1
-                longest = _longest(place, suffix, tests, doc, part.num_rows)
-                spans, items = [b""] * part.num_rows, [[] for _ in range(part.num_rows)]
-                order = np.argsort(doc, kind="stable")
-                cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
-                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()[: len(cuts)], strict=True):
-                    here, d = order[a:b], int(doc[order[a]])
-                    pairs = np.unique(np.stack([place[here] - array.first[d], tests.length[suffix[here]]], 1), axis=0)
-                    spans[d] = pairs.astype("<i8").tobytes()
-                    items[d] = [tests.names[i] for i in np.unique(tests.item[suffix[here]])]
-                if had:
-                    spans = [x + y for x, y in zip(part.column("_hit_spans").to_pylist(), spans, strict=True)]
-                    items = [x + y for x, y in zip(part.column("_hit_items").to_pylist(), items, strict=True)]
-                    longest = np.maximum(longest, part.column("_hit_longest").to_numpy(zero_copy_only=False))
-                if share is None:
-                    out = dict(zip(_HITS, [pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest)], strict=True))
-                else:
-                    out = {"_found": pa.array([_verdict(*x, share) for x in zip(np.diff(first).tolist(), spans, items, longest.tolist(), strict=True)], _FOUND)}
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *out.values()], names=[*names, *out])
-
-    schema = docs.select(*names).schema
-    for n, kind in (_HITS if share is None else {"_found": T.StructType.fromDDL("n_words long, n_hit long, items array<string>, longest long, contaminated boolean")}).items():
-        schema = schema.add(n, kind)
+                matches = part.column("_hit_matches").to_pylist() if had else [[] for _ in range(part.num_rows)]
+                for d, start, words, item, item_start in zip(doc.tolist(), (place - array.first[doc]).tolist(), *(x.tolist() for x in rest), strict=True):
+                    matches[d].append({"start": start, "n_words": words, "item_id": tests.names[item], "item_start": item_start})
+                if share is not None:
+                    matches = [_verdict(n, m, share) for n, m in zip(np.diff(first).tolist(), matches, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(matches, arrow)], names=[*names, added])
+
     return docs.mapInArrow(run, schema)
 
 
 def found_in(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """All columns of docs, and _found: n_words, n_hit, items, longest (verbatim match, words), contaminated.
+    """All columns of docs, and _found: n_words, n_hit, items, longest (verbatim match, words), contaminated, and matches:
+    the longest verbatim matches, each by its first word in the document, its words, its item and its first word there.
 
     A window is ``window`` consecutive words (digits, a-z after lower-casing A-Z, non-ASCII) of a benchmark
     item, or a shorter item whole; a word of a document inside an occurrence is hit. contaminated: n_hit > 0
@@ -229,3 +219,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         "doc_id", F.col("_found.n_words").alias("n_words"), F.col("_found.n_hit").alias("n_hit"), F.size("_found.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_found.items", ",").cast("binary"), 256).alias("items_sha256"), F.col("_found.contaminated").alias("contaminated"), F.col("_found.longest").alias("longest_match"),
     )
+
+
+def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """doc_id, start, n_words, item_id, item_start: a row for each longest verbatim match of a benchmark item in a document.
+
+    start and item_start number the words (from 0) of the document and of the item. Documents without a match have no row;
+    for nulls, short items, repeated rows, very long texts and empty tables see found_in().
+    """
+    found = found_in(docs.select("doc_id", "text"), benchmark, window)
+    return found.select("doc_id", F.explode("_found.matches").alias("m")).select("doc_id", "m.*")
