@@ -65,3 +65,37 @@ q AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
   len(w) < {rules.min_words} OR coalesce(r.n, 0) > {num(rules.max_repeat)} * len(w) AS base_failed, coalesce(lost, 0)::BIGINT AS n_words_lost, coalesce(failed, 0)::BIGINT AS n_lines_failed FROM d LEFT JOIN r USING (rid) LEFT JOIN s USING (rid))
 SELECT *, NOT base_failed AND n_words_lost <= {num(rules.max_loss)} * n_words AS kept FROM q
 """
+
+
+FILTER_INTERACTIONS = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+first_ AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+lab AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 2 * length(w.text), 'D': regexp_matches(w.text, '[#$%&*|]'), 'E': coalesce(w.doc_id > least, false)}} AS x,
+  coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w JOIN first_ ON first_.text = w.text LEFT JOIN lab ON lab.doc_id = w.doc_id),
+c AS (SELECT part, (CASE WHEN x.A THEN 'A' ELSE '' END) || (CASE WHEN x.B THEN 'B' ELSE '' END) || (CASE WHEN x.C THEN 'C' ELSE '' END) || (CASE WHEN x.D THEN 'D' ELSE '' END) || (CASE WHEN x.E THEN 'E' ELSE '' END) AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE NOT contains(filter_order, f)),
+s AS (SELECT filter_order, k AS step, filter_order[k] AS f, filter_order[1:k-1] AS before FROM o, range(1, 6) r(k) WHERE length(filter_order) = 5),
+t AS (SELECT part, filter_order, step, f, sum(n) AS all_n, sum(n) FILTER (contains(fails, f)) AS failing, sum(n) FILTER (fails = f) AS only_f,
+  sum(n) FILTER (contains(fails, f) AND translate(fails, before, '') = fails) AS removed, sum(n) FILTER (translate(fails, before || f, '') <> fails) AS gone,
+  sum(good) FILTER (contains(fails, f) AND translate(fails, before, '') = fails) AS good, sum(toxic) FILTER (contains(fails, f) AND translate(fails, before, '') = fails) AS toxic FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, (all_n - coalesce(gone, 0))::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, (coalesce(failing, 0) - coalesce(removed, 0))::BIGINT AS redundant, coalesce(only_f, 0)::BIGINT AS unique_fails,
+  coalesce(good, 0)::BIGINT AS good_lost, coalesce(toxic, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM t
+"""
+
+
+def cluster_vectors(clusters: int = 16, rounds: int = 3, dimensions: int = 64, scale: int = 64) -> str:
+    """SQL of the rounds, each an exact comparison of every vector with every centroid."""
+    near = lambda c: f"SELECT rid, vec_id, q, min(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {clusters} + k) AS m FROM v, {c} GROUP BY ALL"
+    ctes = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, q AS c FROM (SELECT *, sha256('1:' || vec_id::VARCHAR) AS h FROM v ORDER BY h LIMIT {clusters}))",
+    ]
+    for i in range(rounds):
+        ctes.append(f"a{i} AS MATERIALIZED ({near(f'c{i}')})")
+        ctes.append(f"s{i} AS (SELECT m % {clusters} AS k, j, sum(q[j])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, {dimensions + 1}) t(j) GROUP BY ALL)")
+        ctes.append(f"u{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{i} GROUP BY k)")
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(u.c, o.c) AS c FROM c{i} o LEFT JOIN u{i} u ON u.k = o.k)")
+    return f"""WITH {', '.join(ctes)}, f AS ({near(f'c{rounds}')}),
+g AS (SELECT vec_id, (m % {clusters})::INTEGER AS cluster, (m // {clusters})::BIGINT AS distance FROM f)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM g JOIN c{rounds} ON k = cluster"""

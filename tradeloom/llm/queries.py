@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .centroid_clusters import cluster_vectors
 from .decontaminate import contamination
+from .filter_audit import filter_interactions
 from .html_extract import extract_main_text
 from .langid import identify
 from .licenses import scan_licenses
@@ -68,6 +70,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_secret_scans": op2_secret_scans,
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -86,4 +98,6 @@ SQL: dict[str, str] = {
     "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op7_decontamination": oracles.DECONTAMINATION,
     "op9_quality_rules": oracles.quality_rules(LineRules(), BOILERPLATE, END_MARKS),
+    "op12_filter_audit": oracles.FILTER_INTERACTIONS,
+    "op13_centroid_clusters": oracles.cluster_vectors(),
 }
