@@ -20,6 +20,7 @@ from .secrets import find_secrets
 from .sharding import minimax_shards
 from .shared import table
 from .substring_dedup import dedup_substrings
+from .toxicity import toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,6 +71,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_toxicity": op11_toxicity,
     "op12_filter_audit": op12_filter_audit,
     "op13_centroid_clusters": op13_centroid_clusters,
 }

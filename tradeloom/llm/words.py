@@ -114,6 +114,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+class Prefixes:
+    """Running sums over symbols (bytes or code points, as many as fit in memory), for hashes of any spans of them."""
+
+    def __init__(self, data: np.ndarray):
+        self._total = np.zeros(len(data) + 1, _U)
+        np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, len(data)), out=self._total[1:])
+        self._inverse = _power(_BASE_INVERSE, len(data) + 1)
+
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hash of each span, before mix()."""
+        return (self._total[ends] - self._total[starts]) * self._inverse[starts]
+
+
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """64-bit hash of each run of k word hashes (text borders are the caller's concern)."""
     m = len(words) - k + 1
