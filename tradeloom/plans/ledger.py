@@ -8,6 +8,7 @@ from ..functions import columns as K
 from ..operators import ledger as O
 from ..sources.canonical import AS_OF, Journal
 from ..sources import store
+from ..sources.versions import MonthTable
 from ..sources.tracker import export_rows
 from .projections import GROSS
 from .registry import query
@@ -142,14 +143,36 @@ def set_upsert_fees(j: Journal):
     return O.upsert(stored, batch, ["user_id"], _now()).select("user_id", "brokerage_percentage", "platform_fee_usd")
 
 
-@query("snk_upsert", "trades", "SELECT trade_id, ticker, CASE WHEN user_id%100=0 THEN 'closed' ELSE status END AS status FROM trades")
+_MERGED = (
+    "e AS (SELECT *, CASE WHEN status='closed' THEN coalesce(exit_date,date) ELSE date END AS day FROM trades), m AS (SELECT *, user_id%20=0 AND year(day)=1998 AS changed, shares=7 AND user_id%20<>0 AND strftime(day,'%Y-%m')='1997-06' AS gone FROM e), "
+    f"n AS (SELECT trade_id, ticker, CASE WHEN changed THEN 'closed' ELSE status END AS status, CASE WHEN changed THEN DATE '{AS_OF}' ELSE exit_date END AS exit_date, CASE WHEN changed THEN DATE '{AS_OF}' ELSE day END AS day, day AS old_day, changed, gone FROM m)"
+)
+
+
+def _merged(j: Journal) -> tuple[MonthTable, int]:
+    """Trades by month of their effective date; then every twentieth user's trades of 1998 close on the last day, so that
+    they move to its month, and some of June 1997 are deleted."""
+    table = MonthTable(j.spark, store.shared_folder(j.spark), ["trade_id"], K.effective_date())
+    table.create(j.trades())
+    stored = table.read()
+    change = stored.where((F.col("user_id") % 20 == 0) & (F.year(K.effective_date()) == 1998)).withColumns({"status": F.lit("closed"), "exit_date": _day()})
+    gone = stored.where((F.col("shares") == 7) & (F.col("user_id") % 20 != 0) & (F.date_format(K.effective_date(), "yyyy-MM") == "1997-06")).select("trade_id")
+    return table, table.merge(change, delete=gone)
+
+
+@query("snk_upsert", "trades", f"WITH {_MERGED} SELECT trade_id, ticker, status, exit_date FROM n WHERE NOT gone")
 def snk_upsert(j: Journal):
-    """Stored by month, then rebuilt by key: rows of every hundredth user replace the stored ones."""
-    folder = store.shared_folder(j.spark)
-    store.write_trades(j.trades(), f"{folder}/first")
-    old = j.spark.read.parquet(f"{folder}/first")
-    change = old.where("user_id % 100 = 0").withColumn("status", F.lit("closed"))
-    return j.spark.read.parquet(store.rebuild(old, change, ["trade_id"], folder)).select("trade_id", "ticker", "status")
+    table, version = _merged(j)
+    return table.read(version).select("trade_id", "ticker", "status", "exit_date")
+
+
+@query("snk_upsert_months", "trades", f"WITH {_MERGED}, t AS (SELECT strftime(old_day,'%Y-%m') AS month, 0 AS n, changed OR gone AS touched FROM n UNION ALL SELECT strftime(day,'%Y-%m'), 1, changed FROM n WHERE NOT gone) SELECT month, sum(n)::BIGINT AS trades, bool_or(touched) AS rewritten FROM t GROUP BY month HAVING sum(n)>0")
+def snk_upsert_months(j: Journal):
+    """For each month whether the merge wrote it anew; the others' files are those of the version before."""
+    table, version = _merged(j)
+    before, after = table.state(version - 1)["months"], table.state(version)["months"]
+    new = [m for m in after if before.get(m) != after[m]]
+    return table.read(version, with_month=True).groupBy("month").agg(F.count("*").alias("trades")).withColumn("rewritten", F.col("month").isin(new))
 
 
 _FIRST = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ticker ORDER BY trade_id) AS k FROM trades WHERE status='open') WHERE k=1)"
