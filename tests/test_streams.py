@@ -10,6 +10,8 @@ from tradeloom.operators import calendar
 from tradeloom.sources import schemas
 from tradeloom.sources.versions import MonthTable
 from tradeloom.streaming import twins
+from tradeloom.streaming.exits import ROCKSDB, exit_apply
+from tradeloom.streaming.imports import import_lines, new_rows, stored_trades
 from tradeloom.streaming.windows import Lateness, keep_windows
 
 DELAY = timedelta(days=30)
@@ -149,3 +151,142 @@ def test_sessions_come_out_once_and_late_events_join_them(spark, files):
     out = twins.run_available(twins.usage_sessions(files.stream()), "append")
     got = sorted((r.user_id, r.started.day, r.started.hour, r.started.minute, r.ended.hour, r.ended.minute, r.n) for r in out.collect())
     assert got == [(1, 1, 10, 0, 11, 30, 3), (1, 4, 8, 0, 8, 50, 2), (2, 1, 9, 45, 10, 30, 2), (3, 4, 8, 0, 8, 30, 1), (5, 4, 8, 0, 8, 30, 1)]
+
+
+def tracker(spark, *rows):
+    """(user, line, minute of arrival)"""
+    found = [(u, f"{m:05d}-{i}", line, datetime(2024, 6, 1) + timedelta(minutes=m)) for i, (u, line, m) in enumerate(rows)]
+    return spark.createDataFrame(found, "user_id long, line_no string, line string, arrived timestamp")
+
+
+def imported(spark, files, table):
+    now = F.lit("2024-07-01").cast("timestamp")
+    query = import_lines(files.stream(), table, now.cast("date"), now, timedelta(minutes=30), f"{files.path}/state")
+    query.awaitTermination()
+    return query
+
+
+AAPL, TSLA, MSFT = "August 2025,aapl,150,165,100,,200", "August 2025,TSLA,210.5,,10,,", "May 2025,MSFT,100,90,5,,50"
+
+
+def stored_keys(table):
+    return sorted((r.user_id, r.ticker, str(r.date), r.buy_price, r.shares) for r in table.read().collect())
+
+
+def test_keys_come_in_once_over_batches_restarts_and_beyond_the_horizon(spark, files):
+    table = stored_trades(spark, f"{files.path}/trades")
+    table.create(spark.createDataFrame([("old", 1, "TSLA", date(2025, 8, 1), 210.5, 10.0)], "trade_id string, user_id long, ticker string, date date, buy_price double, shares double"))
+    files.add(tracker(spark, (1, AAPL, 0), (1, "August 2025,AAPL,150,1,7,,", 1), (1, TSLA, 2), (2, TSLA, 2), (1, "a,b,1,2,3", 3)))
+    files.add(tracker(spark, (1, AAPL, 10), (1, MSFT, 11)))  # a second upload soon after
+    query = imported(spark, files, table)
+    first = [(1, "AAPL", "2025-08-01", 150.0, 100.0), (1, "MSFT", "2025-05-01", 100.0, 5.0), (1, "TSLA", "2025-08-01", 210.5, 10.0), (2, "TSLA", "2025-08-01", 210.5, 10.0)]
+    assert stored_keys(table) == first and table.state()["marks"]["import"]["imported"] == 3
+    dropped = lambda q: sum(p["stateOperators"][0]["customMetrics"].get("numDroppedDuplicateRows", 0) for p in q.recentProgress if p["stateOperators"])
+    assert dropped(query) == 1  # the state dropped the second upload, the table the rest
+    files.add(tracker(spark, (2, "no comma", 9000)))  # a restart from the checkpoint; the watermark moves on
+    imported(spark, files, table)
+    files.add(tracker(spark, (1, AAPL, 9001), (3, MSFT, 9000), (1, "May 2025,MSFT,100,90,99,,50", 9000)))
+    query = imported(spark, files, table)  # the state has forgotten, the table hasn't
+    assert stored_keys(table) == sorted([*first, (3, "MSFT", "2025-05-01", 100.0, 5.0)]) and dropped(query) == 0
+    assert table.state()["marks"]["import"]["imported"] == 4 and table.state()["marks"]["import"]["rows"] == 8
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert sizes[-1] <= 4  # lines of earlier days are forgotten
+    assert len({r.trade_id for r in table.read().collect()}) == 5
+
+
+def test_an_import_reads_and_writes_only_its_months(spark, files):
+    table = stored_trades(spark, f"{files.path}/trades")
+    table.create(spark.createDataFrame([(f"t{m}", 1, "A", date(2025, m, 1), 1.0) for m in range(1, 8)], "trade_id string, user_id long, ticker string, date date, buy_price double"))
+    before = table.state()["months"]
+    files.add(tracker(spark, (1, MSFT, 0)))
+    imported(spark, files, table)
+    after = table.state()["months"]
+    assert [m for m in after if after[m] != before.get(m)] == ["2025-05"]
+    rows, months = new_rows(tracker(spark, (1, MSFT, 0), (1, AAPL, 0)), table, F.current_date())
+    assert months == ["2025-05", "2025-08"] and [r.ticker for r in rows.collect()] == ["AAPL"]
+    read = [f for f in table.read(months=months).inputFiles()]
+    assert read and all("month=2025-05" in f for f in read)
+
+
+def test_an_import_that_is_run_again_changes_nothing(spark, files):
+    table = stored_trades(spark, f"{files.path}/trades")
+    table.create(spark.createDataFrame([], "trade_id string, user_id long, ticker string, date date, buy_price double"))
+    files.add(tracker(spark, (1, AAPL, 0), (1, TSLA, 0)))
+    imported(spark, files, table)
+    version = table.version()
+    now = F.lit("2024-07-01").cast("timestamp")
+    import_lines(files.stream(), table, now.cast("date"), now, timedelta(minutes=30), f"{files.path}/other").awaitTermination()
+    assert table.version() == version and len(stored_keys(table)) == 2
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    yield
+    spark.conf.set(key, before)
+
+
+def messages(spark, *rows):
+    """(user, ticker, kind, id, shares, day of January, hour)"""
+    found = [(u, t, k, i, s, datetime(2024, 1, d, h)) for u, t, k, i, s, d, h in rows]
+    return spark.createDataFrame(found, "user_id long, ticker string, kind string, id string, shares double, ts timestamp")
+
+
+def outcomes(df):
+    return sorted((r.request_id, r.outcome, r.lot_id, r.shares) for r in df.collect())
+
+
+def test_exits_of_one_lot_over_several_files_in_the_wrong_order(spark, files, rocksdb):
+    files.add(messages(spark, (1, "A", "lot", "b", 10.0, 1, 0), (1, "A", "exit", "e3", 3.0, 5, 3)))
+    files.add(messages(spark, (1, "A", "exit", "e1", 6.0, 5, 1), (1, "A", "exit", "e2", 5.0, 5, 2), (2, "B", "exit", "f1", 1.0, 5, 1)))
+    files.add(messages(spark, (1, "A", "lot", "a", 2.0, 5, 4), (1, "A", "exit", "e3", 3.0, 5, 3)))  # a lot opened later, an exit delivered twice
+    files.add(messages(spark, (1, "A", "exit", "e4", 2.0, 5, 5), (1, "A", "exit", "e5", 1.0, 5, 6)))
+    files.add(messages(spark, (9, "Z", "clock", "", 0.0, 20, 0)))
+    files.add(messages(spark, (1, "A", "exit", "late", 1.0, 5, 7), (9, "Z", "clock", "", 0.0, 21, 0)))
+    files.add(messages(spark, (1, "A", "exit", "later", 1.0, 5, 7), (9, "Z", "clock", "", 0.0, 22, 0)))
+    got = outcomes(twins.run_available(exit_apply(files.stream()), "append"))
+    assert [g for g in got if not g[0].startswith("late")] == [
+        ("e1", "partial", "b", 6.0), ("e2", "too many shares", None, None), ("e3", "partial", "b", 3.0), ("e4", "full", "a", 2.0), ("e5", "full", "b", 1.0), ("f1", "no open trade", None, None),
+    ]
+    assert ("later", "no open trade", None, None) not in got  # from behind the watermark
+
+
+def _folded(lots, exits):
+    """Exits in order of time, each against the first lot that was open by then."""
+    lots, out = {i: [s, at] for i, s, at in lots}, []
+    for at, name, shares in sorted((at, n, s) for n, s, at in exits):
+        lot = next((i for i in sorted(lots) if lots[i][1] <= at), None)
+        if lot is None or shares > lots[lot][0]:
+            out.append((name, "no open trade" if lot is None else "too many shares", None, None))
+            continue
+        rest = lots[lot][0] - shares
+        full = abs(rest) < 1e-10
+        out.append((name, "full" if full else "partial", lot, shares))
+        if full:
+            del lots[lot]
+        else:
+            lots[lot][0] = rest
+    return sorted(out), lots
+
+
+def test_random_exits_equal_a_fold_and_closed_positions_leave_no_state(spark, files, rocksdb):
+    rng, rows, want, left = random.Random(6), [], [], 0
+    for user in range(1, 5):
+        lots = [(f"{user}-l{i}", float(rng.randint(1, 5)), rng.randint(0, 5)) for i in range(3)]
+        exits = [(f"{user}-e{i}", float(rng.randint(1, 4)), rng.randint(6, 23)) for i in range(12)]
+        done, rest = _folded(lots, exits)
+        want += done
+        left += len(rest)
+        rows += [(user, "A", "lot", i, s, 2, at) for i, s, at in lots] + [(user, "A", "exit", n, s, 2, at) for n, s, at in exits]
+    rng.shuffle(rows)
+    for at in range(0, len(rows), 20):
+        files.add(messages(spark, *rows[at : at + 20]))
+    files.add(messages(spark, (9, "Z", "clock", "", 0.0, 25, 0)))
+    query = exit_apply(files.stream()).writeStream.outputMode("append").format("parquet").option("path", f"{files.path}/out").option("checkpointLocation", f"{files.path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert outcomes(spark.read.parquet(f"{files.path}/out")) == sorted(want)
+    states = spark.read.format("statestore").option("path", f"{files.path}/c").option("stateVarName", "lots").load()
+    waiting = spark.read.format("statestore").option("path", f"{files.path}/c").option("stateVarName", "waiting").load()
+    assert (states.count(), waiting.count()) == (left, 0)

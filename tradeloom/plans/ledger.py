@@ -49,15 +49,18 @@ def val_csv_row(j: Journal):
     return O.parse_tracker(_lines(j), _day()).groupBy("user_id").agg(F.count("*").alias("rows"))
 
 
-_STORED = "stored AS (SELECT DISTINCT user_id, ticker, date, buy_price FROM parsed WHERE hash(user_id) IS NOT NULL AND user_id%10=0)"
+_STORED = "stored AS (SELECT DISTINCT user_id, ticker, date, buy_price FROM parsed WHERE user_id%10=0)"
 _MARKED = f"{_PARSED}, {_STORED}, marked AS (SELECT p.*, row_number() OVER (PARTITION BY p.user_id, p.ticker, p.date, p.buy_price ORDER BY line_no)=1 AND s.user_id IS NULL AS accepted FROM parsed p LEFT JOIN stored s ON p.user_id=s.user_id AND p.ticker=s.ticker AND p.date=s.date AND p.buy_price=s.buy_price)"
 
 
-def _marked(j: Journal):
-    """All lines; what users with a 0 at the end have in their journal already is on their tracker too."""
+def _stored(j: Journal):
+    """What users with a 0 at the end have in their journal already; it is on their tracker too."""
     whole = F.floor("buy_price").cast("double")
-    stored = j.trades().where("user_id % 10 = 0 and floor(buy_price) > 0 and shares > 0").select("user_id", F.upper("ticker").alias("ticker"), F.trunc("date", "month").alias("date"), whole.alias("buy_price"))
-    return O.mark_import(O.parse_tracker(_lines(j), _day()), stored)
+    return j.trades().where("user_id % 10 = 0 and floor(buy_price) > 0 and shares > 0").select("user_id", F.upper("ticker").alias("ticker"), F.trunc("date", "month").alias("date"), whole.alias("buy_price"))
+
+
+def _marked(j: Journal):
+    return O.mark_import(O.parse_tracker(_lines(j), _day()), _stored(j))
 
 
 @query("jn_import_dedup", "trades", f"WITH {_MARKED} SELECT line_no, accepted FROM marked")
