@@ -209,8 +209,8 @@ def test_stored_documents_and_lossy_csv_round_trip(spark, tmp_path):
     assert (got["a"].date, got["a"].exit_date, got["a"].created_at.hour, got["a"].notes) == (D(2024, 1, 15), D(2024, 2, 1), 10, None)
     assert (got["b"].date, got["b"].created_at) == (None, None)
     t = trades(spark, {"date": D(2024, 1, 15), "buy_price": 10.0, "sell_price": 12.0, "shares": 3.0, "status": "closed", "exit_date": D(2024, 1, 20), "risk": 2.0, "notes": "n"})
-    tracker.write_export(t, str(tmp_path / "out"))
-    lines = tracker.read_lines(spark, str(tmp_path / "out" / "user_id=1"), 1)
+    tracker.write_export(tracker.export_lines(t), str(tmp_path / "out"))
+    lines = tracker.read_export(spark, str(tmp_path / "out"))
     back = one(ledger.parse_tracker(lines, F.lit("2025-01-01").cast("date")))
     assert (back.date, back.buy_price, back.sell_price, back.shares, back.pnl, back.status) == (D(2024, 1, 1), 10.0, 12.0, 3.0, 6.0, "closed")  # the day and the exit's day are lost
     assert back.notes == "Imported from CSV - January 2024" and back.risk_dollars == 2.0  # a percentage comes back as dollars

@@ -9,7 +9,8 @@ from ..operators import ledger as O
 from ..sources.canonical import AS_OF, Journal
 from ..sources import store
 from ..sources.versions import MonthTable
-from ..sources.tracker import export_rows
+from ..sources.tracker import TITLES, export_lines, export_rows, read_export, read_files, write_export, write_lines
+from .metrics import EXPORT_SUMMARY
 from .projections import GROSS
 from .registry import query
 
@@ -17,26 +18,37 @@ _day = lambda: F.lit(AS_OF).cast("date")
 _now = lambda: F.lit(f"{AS_OF} 00:00:00").cast("timestamp")
 
 # Tracker lines of all trades: whole-number prices, so that text is the same everywhere; each
-# closed line is there twice, and odd lines stand between.
+# closed line is there twice, and four odd lines follow each; file_line is a line's number among all of its user's.
 _PARSED = (
-    "parsed AS (SELECT user_id, line_no, cast(date_trunc('month', date) AS DATE) AS date, ticker, floor(buy_price) AS buy_price, CASE WHEN floor(sell_price)>0 THEN floor(sell_price) END AS sell_price, shares, CASE WHEN trade_id LIKE '%-1-%' AND copy=1 THEN 20.0::DOUBLE END AS risk_dollars, CASE WHEN floor(sell_price)>0 THEN 'closed' ELSE 'open' END AS status, "
-    "CASE WHEN floor(sell_price)>0 THEN (floor(sell_price)-floor(buy_price))*shares END AS pnl, 'Imported from CSV - ' || strftime(date,'%B %Y') AS notes FROM (SELECT *, c.copy, trade_id || ':' || c.copy::VARCHAR AS line_no FROM trades, (VALUES (1),(2)) c(copy) WHERE (copy=1 OR status='closed')) WHERE floor(buy_price)>0 AND shares>0)"
+    "parsed AS (SELECT user_id, line_no, file_line, cast(date_trunc('month', date) AS DATE) AS date, ticker, floor(buy_price) AS buy_price, CASE WHEN floor(sell_price)>0 THEN floor(sell_price) END AS sell_price, shares, CASE WHEN trade_id LIKE '%-1-%' AND copy=1 THEN 20.0::DOUBLE END AS risk_dollars, CASE WHEN floor(sell_price)>0 THEN 'closed' ELSE 'open' END AS status, "
+    "CASE WHEN floor(sell_price)>0 THEN (floor(sell_price)-floor(buy_price))*shares END AS pnl, 'Imported from CSV - ' || strftime(date,'%B %Y') AS notes FROM (SELECT *, c.copy, trade_id || ':' || c.copy::VARCHAR AS line_no, 5 * row_number() OVER (PARTITION BY user_id ORDER BY trade_id || ':' || c.copy::VARCHAR) - 4 AS file_line FROM trades, (VALUES (1),(2)) c(copy) WHERE (copy=1 OR status='closed')) WHERE floor(buy_price)>0 AND shares>0)"
 )
 
 
+_ODD = ["Month,Ticker,Buy price,Sell price,shares,$ value,Risk", "a,b,1,2,3", "no comma", "Pnl May,1,,,,,,,"]
+
+
 def _lines(j: Journal):
-    t = j.trades().withColumn("copy", F.explode(F.when(F.col("status") == "closed", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    """Lines with their order (line_no, k): a trade's line, twice if it is closed, and odd lines after each."""
     whole = lambda c: F.coalesce(F.floor(c).cast("string"), F.lit(""))
-    risk = F.when(F.col("trade_id").contains("-1-") & (F.col("copy") == 1), "20").otherwise("")
-    cells = [F.date_format("date", "MMMM yyyy"), F.lower("ticker"), whole(F.coalesce("buy_price", F.lit(0.0))), whole("sell_price"), F.col("shares").cast("long").cast("string"), F.lit(""), risk, *[F.lit("")] * 6, F.lit("0"), F.lit(""), F.lit("")]
-    lines = t.select("user_id", F.concat_ws(":", "trade_id", "copy").alias("line_no"), F.concat_ws(",", *cells).alias("line"))
-    odd = t.select("user_id", F.concat(F.lit("~"), F.concat_ws(":", "trade_id", "copy")).alias("line_no"), F.explode(F.array(F.lit("Month,Ticker,Buy price,Sell price,shares,$ value,Risk"), F.lit("a,b,1,2,3"), F.lit("no comma"), F.lit("Pnl May,1,,,,,,,"))).alias("line"))
-    return lines.union(odd)
+    twenty = F.col("trade_id").contains("-1-")
+
+    def lines(copy: int):
+        name = F.concat(F.col("trade_id"), F.lit(f":{copy}"))
+        risk = F.when(twenty, "20").otherwise("") if copy == 1 else F.lit("")
+        cells = [F.date_format("date", "MMMM yyyy"), F.lower("ticker"), whole(F.coalesce("buy_price", F.lit(0.0))), whole("sell_price"), F.col("shares").cast("long").cast("string"), F.lit(""), risk, *[F.lit("")] * 6, F.lit("0"), F.lit(""), F.lit("")]
+        return [F.struct(name.alias("line_no"), F.lit(k).alias("k"), x.alias("line")) for k, x in enumerate([F.concat_ws(",", *cells), *map(F.lit, _ODD)])]
 
+    some = F.when(F.col("status") == "closed", F.array(*lines(1), *lines(2))).otherwise(F.array(*lines(1)))
+    return j.trades().select("user_id", F.explode(some).alias("x")).select("user_id", "x.*")
 
-@query("src_csv_tracker", "trades", f"WITH {_PARSED} SELECT * FROM parsed")
+
+@query("src_csv_tracker", "trades", f"WITH {_PARSED} SELECT * EXCLUDE (line_no, file_line), file_line AS line_no FROM parsed")
 def src_csv_tracker(j: Journal):
-    return O.parse_tracker(_lines(j), _day())
+    """The lines as files, one for each user, and read from there: line_no is a line's number in its file."""
+    folder = store.shared_folder(j.spark)
+    write_lines(_lines(j), folder, ["line_no", "k"])
+    return O.parse_tracker(read_files(j.spark, folder), _day())
 
 
 @query("prj_import_row", "trades", f"WITH {_PARSED} SELECT line_no, ticker, status, sell_price, risk_dollars, pnl, notes FROM parsed")
@@ -91,6 +103,33 @@ def snk_csv_export(j: Journal):
     return export_rows(j.trades())
 
 
+_FIX = lambda x, d: f"printf('%.{d}f', floor(({x})*1e{d}::DOUBLE+0.5::DOUBLE)/1e{d}::DOUBLE)"
+_ROW = f"""strftime(date,'%B %Y') || ',' || ticker || ',' || {_TEXT('buy_price')} || ',' || {_TEXT('sell_price')} || ',' || shares::VARCHAR || ',' || printf('%.4f', CASE WHEN coalesce(buy_price<>0,false) THEN buy_price*shares ELSE 0.0::DOUBLE END) || ',' || coalesce(risk::VARCHAR,'') || ',,,,,,,'
+    || CASE WHEN status='closed' THEN printf('%.6f', {GROSS}) ELSE '0.00' END || ',' || CASE WHEN status='closed' THEN printf('%.2f', CASE WHEN risk_dollars>0 AND {GROSS}<>0 THEN abs({GROSS})/risk_dollars ELSE 0.0::DOUBLE END) ELSE '0.00' END || ',' || CASE WHEN status='closed' THEN 'Closed' ELSE 'Open' END"""
+
+
+@query(
+    "snk_csv_export_files", "trades",
+    f"""WITH s AS ({EXPORT_SUMMARY}), c AS (SELECT user_id, count(*) AS rows FROM trades GROUP BY user_id), b AS (SELECT s.*, rows FROM s JOIN c USING (user_id)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date, trade_id) AS k FROM trades),
+    l AS (SELECT user_id, k + 3 AS line_no, {_ROW} || CASE WHEN k=1 THEN ',Average RR,' || {_FIX('avg_rr', 2)} || ',AvgWin,' || {_FIX('avg_win', 8)} ELSE ',,,,' END AS line FROM t JOIN b USING (user_id)
+    UNION ALL SELECT user_id, 1, 'Pnl All,' || {_FIX('total_pnl', 6)} || repeat(',', 18) FROM b
+    UNION ALL SELECT user_id, 2, '{",".join(TITLES)},Average Reward,' || {_FIX('avg_reward', 8)} || ',Win %,' || {_FIX('win_rate', 10)} FROM b
+    UNION ALL SELECT user_id, 3, repeat(',', 16) || 'Average Risk,' || {_FIX('avg_risk', 8)} || ',Loss %,' || {_FIX('loss_rate', 10)} FROM b
+    UNION ALL SELECT user_id, rows + 4, repeat(',', 18) || 'AvgLoss,' || {_FIX('avg_loss', 7)} FROM b
+    UNION ALL SELECT user_id, rows + 5, repeat(',', 16) || 'Green days,' || green_days::VARCHAR || ',,' FROM b
+    UNION ALL SELECT user_id, rows + 6, repeat(',', 16) || 'Red days,' || red_days::VARCHAR || ',Expectancy,' || {_FIX('expectancy', 9)} FROM b
+    UNION ALL SELECT user_id, rows + 7, repeat(',', 16) || 'Win percent,' || {_FIX('win_rate*100', 8)} || ',,' FROM b
+    UNION ALL SELECT user_id, rows + 8, repeat(',', 16) || 'Risk to take,' || {_FIX('avg_risk', 8)} || ',,' FROM b)
+    SELECT user_id, floor((line_no - 1) / 40)::INTEGER AS file_no, line_no::BIGINT AS line_no, line FROM l""",
+)
+def snk_csv_export_files(j: Journal):
+    """Every user's export with its statistics, in files of forty lines, read back from the written text."""
+    folder = store.shared_folder(j.spark)
+    write_export(export_lines(j.trades(), "All", 40), folder)
+    return read_export(j.spark, folder)
+
+
 @query("jn_owner_delete", "trades", "SELECT trade_id, user_id FROM trades WHERE NOT (shares=7 AND user_id%2=0)")
 def jn_owner_delete(j: Journal):
     """Requests for all trades of seven shares; of odd users' trades the asker isn't the owner."""

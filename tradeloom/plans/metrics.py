@@ -63,10 +63,12 @@ def agg_trades_stats(j: Journal):
     return M.trades_stats(j.trades())
 
 
-@query(
-    "agg_export_summary", "trades",
-    f"""WITH a AS (SELECT user_id, {_sums(GROSS, "status='closed'")}, count(*) AS rows, {_m("CASE WHEN coalesce(risk<>0,false) THEN risk END")} AS risks FROM trades GROUP BY user_id) SELECT user_id, total AS total_pnl, {_r('wins', 'n')} AS win_rate, {_r('losses', 'n')} AS loss_rate, {_r('won', 'wins')} AS avg_win, {_r('lost', 'losses')} AS avg_loss, {_r('total', 'n')} AS avg_reward, risks/rows AS avg_risk, CASE WHEN losses>0 AND lost>0 THEN ({_r('won', 'wins')})/(lost/losses) ELSE 0.0::DOUBLE END AS avg_rr, ({_r('wins', 'n')})*({_r('won', 'wins')})-({_r('losses', 'n')})*({_r('lost', 'losses')}) AS expectancy, wins AS green_days, losses AS red_days FROM a""",
+EXPORT_SUMMARY = (
+    f"""WITH a AS (SELECT user_id, {_sums(GROSS, "status='closed'")}, count(*) AS rows, {_m("CASE WHEN coalesce(risk<>0,false) THEN risk END")} AS risks FROM trades GROUP BY user_id) SELECT user_id, total AS total_pnl, {_r('wins', 'n')} AS win_rate, {_r('losses', 'n')} AS loss_rate, {_r('won', 'wins')} AS avg_win, {_r('lost', 'losses')} AS avg_loss, {_r('total', 'n')} AS avg_reward, risks/rows AS avg_risk, CASE WHEN losses>0 AND lost>0 THEN ({_r('won', 'wins')})/(lost/losses) ELSE 0.0::DOUBLE END AS avg_rr, ({_r('wins', 'n')})*({_r('won', 'wins')})-({_r('losses', 'n')})*({_r('lost', 'losses')}) AS expectancy, wins AS green_days, losses AS red_days FROM a"""
 )
+
+
+@query("agg_export_summary", "trades", EXPORT_SUMMARY)
 def agg_export_summary(j: Journal):
     return M.export_summary(j.trades())
 
