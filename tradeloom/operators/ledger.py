@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import filled_risk, given, normal_shares, parsed_month, parsed_number
@@ -20,28 +23,34 @@ def intake(new: DataFrame, profiles: DataFrame, now: Column) -> tuple[DataFrame,
     return good, checked.where(F.size("faults") > 0)
 
 
-def parse_tracker(lines: DataFrame, as_of: Column) -> DataFrame:
-    """Rows of tracker CSV lines (user_id, line_no, line): fields by plain commas, quotes mean nothing.
+def tracker_rows(lines: DataFrame, as_of: Column) -> DataFrame:
+    """All tracker CSV lines (user_id, line_no, line) as rows, with fault: fields by plain commas, quotes mean nothing.
 
-    Lines without a comma and header or summary lines are ignored; rows with too few fields, no month or ticker, or
-    no positive price and shares are dropped.
+    fault is NULL for a trade. `ignored`: a line without a comma, a header or a summary line. `fields`: too few of them;
+    `month` and `ticker`: empty; `buy_price` and `shares`: not above 0. The first that holds is told.
     """
     head = F.col("line").startswith("Pnl") | F.col("line").startswith("Month") | F.col("line").startswith("Average")
-    rows = lines.where(F.col("line").contains(",") & ~head).withColumn("f", F.transform(F.split("line", ",", -1), lambda x: F.trim(x)))
+    ignored = ~F.col("line").contains(",") | head
+    rows = lines.withColumns({"_ignored": F.coalesce(ignored, F.lit(True)), "f": F.transform(F.split("line", ",", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))})
     field = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
     number = lambda i: parsed_number(field(i))
-    rows = rows.where(F.size("f") >= 7).select(
-        "user_id", "line_no", field(0).alias("month"), F.upper(field(1)).alias("ticker"), number(2).alias("buy_price"), number(3).alias("_sell"), number(4).alias("shares"), number(6).alias("_risk"), number(13).alias("_pnl")
+    fault = F.when(F.col("_ignored"), "ignored").when(F.size("f") < 7, "fields").when(field(0) == "", "month").when(field(1) == "", "ticker").when(~(number(2) > 0), "buy_price").when(~(number(4) > 0), "shares")
+    rows = rows.select(
+        "user_id", "line_no", fault.alias("fault"), field(0).alias("month"), F.upper(field(1)).alias("ticker"), number(2).alias("buy_price"), number(3).alias("_sell"), number(4).alias("shares"), number(6).alias("_risk"), number(13).alias("_pnl")
     )
-    rows = rows.where("month <> '' and ticker <> '' and buy_price > 0 and shares > 0")
     sold = F.col("_sell") > 0
     return rows.select(
-        "user_id", "line_no", parsed_month("month", as_of).alias("date"), "ticker", "buy_price", F.when(sold, F.col("_sell")).alias("sell_price"), "shares", F.when(F.col("_risk") > 0, F.col("_risk")).alias("risk_dollars"),
+        "user_id", "line_no", "fault", parsed_month("month", as_of).alias("date"), "ticker", "buy_price", F.when(sold, F.col("_sell")).alias("sell_price"), "shares", F.when(F.col("_risk") > 0, F.col("_risk")).alias("risk_dollars"),
         F.when(sold, "closed").otherwise("open").alias("status"), F.when(sold, F.when(F.col("_pnl") != 0, F.col("_pnl")).otherwise((F.col("_sell") - F.col("buy_price")) * F.col("shares"))).alias("pnl"),
         F.concat(F.lit("Imported from CSV - "), "month").alias("notes"),
     )
 
 
+def parse_tracker(lines: DataFrame, as_of: Column) -> DataFrame:
+    """The trades of tracker CSV lines; other lines and rows with a fault are dropped (see tracker_rows)."""
+    return tracker_rows(lines, as_of).where("fault is null").drop("fault")
+
+
 IMPORT_KEY = ["user_id", "ticker", "date", "buy_price"]
 
 
@@ -62,6 +71,20 @@ def append(stored: DataFrame, marked: DataFrame) -> DataFrame:
     return stored.unionByName(marked.where("accepted").drop("accepted", "line_no"), allowMissingColumns=True)
 
 
+def import_counted(lines: DataFrame, stored: DataFrame, as_of: Column) -> tuple[DataFrame, Observation, Observation]:
+    """(rows to append, what the lines were, what became of the rows): the counts come with the pass that writes the rows.
+
+    The first observation has lines, ignored and rejected, the second imported and skipped; they can be read once the rows
+    have been written. Nothing is parsed twice.
+    """
+    seen, done = Observation(), Observation()
+    rows = tracker_rows(lines, as_of)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("fault") == "ignored").alias("ignored"), F.count_if(F.col("fault") != "ignored").alias("rejected"))
+    marked = mark_import(rows.where("fault is null").drop("fault"), stored)
+    marked = marked.observe(done, F.count_if("accepted").alias("imported"), F.count_if(~F.col("accepted")).alias("skipped"))
+    return marked.where("accepted").drop("accepted", "line_no"), seen, done
+
+
 def patch(trades: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
     """Trades with partial updates applied (trade_id and the fields to change, NULL: unchanged), and faults.
 
@@ -115,48 +138,63 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], now: Column, or
     return rows.select(*keys, *(F.coalesce(f"_{c}", c).alias(c) for c in fields), *(v.alias(n) for n, v in stamp.items() if n in stored.columns))
 
 
-_LOT = "struct<trade_id:string,shares:double>"
-_DONE = "struct<request_id:string,outcome:string,trade_id:string,shares:double,sell_price:double,said:string,rest:double>"
+_DONE = "user_id long, ticker string, request_id string, outcome string, trade_id string, shares double, sell_price double, said string, rest double"
 
 
 def _noted(notes: Column, word: str, said: Column) -> Column:
     return F.btrim(F.concat(F.coalesce(notes, F.lit("")), F.lit(f" | {word}: "), F.coalesce(said, F.lit(""))), F.lit(" |"))
 
 
+def _fold_exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes of exits in order; rows come sorted by key, a key's lots first."""
+    key, lots, place, left = None, [], 0, 0.0
+    for batch in batches:
+        out = []
+        for user, ticker, kind, name, shares, price, said in zip(*(batch[c].tolist() for c in ("user_id", "ticker", "kind", "id", "shares", "sell_price", "notes")), strict=True):
+            if (user, ticker) != key:
+                key, lots, place, left = (user, ticker), [], 0, 0.0
+            if kind == 0:
+                left = left if lots else shares
+                lots.append((name, shares))
+            elif place == len(lots):
+                out.append((user, ticker, name, "no open trade", None, None, None, None, None))
+            elif shares > left:
+                out.append((user, ticker, name, "too many shares", None, None, None, None, None))
+            else:
+                lot = lots[place][0]
+                left = 0.0 if abs(left - shares) < 1e-10 else left - shares
+                out.append((user, ticker, name, "partial" if left else "full", lot, shares, price, said, left))
+                if not left:
+                    place += 1
+                    left = lots[place][1] if place < len(lots) else 0.0
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "ticker", "request_id", "outcome", "trade_id", "shares", "sell_price", "said", "rest"])
+
+
 def apply_exits(trades: DataFrame, requests: DataFrame, exit_day: Column, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(trades after the exits, outcome of each request). requests: request_id, user_id, ticker, shares_to_exit,
     sell_price, notes, ts.
 
     Exits of a user and ticker are taken in order of ts, each against the first open trade (by trade_id); one of more
-    shares than that trade has is rejected and changes nothing. The fold runs over the arrays of one key: the key's
-    open lots and requests, few even for a busy user. A full exit closes the row; a partial one leaves the rest open
+    shares than that trade has is rejected and changes nothing. A full exit closes the row; a partial one leaves the rest open
     and adds a closed row, a copy of the trade whose risk isn't prorated. Rows that an exit changes or adds get ``now`` as
     updated_at, if trades have that column; created_at is the trade's.
 
-    The fold knows lots by id and shares alone. What it decides comes back to a trade by one join, and there a trade
+    What an exit finds depends on those before it, so a key's exits are one pass: partitions by key, sorted so that a key's
+    lots come before its exits. The pass holds the lots of one key, a place among them and what is left there, and gives
+    outcomes as it goes, however many exits a key has. What it decides comes back to a trade by one join, and there a trade
     becomes itself and the parts split off from it.
     """
     keys = ["user_id", "ticker"]
     lots = trades.where("status = 'open'").join(requests.select(*keys).distinct(), keys, "left_semi")
-    lots = lots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trade_id", "shares"))).cast(f"array<{_LOT}>").alias("lots"))
-    asked = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "request_id", "shares_to_exit", "sell_price", "notes"))).alias("asked"))
-    both = asked.join(lots, keys, "left").withColumn("lots", F.coalesce("lots", F.array().cast(f"array<{_LOT}>")))
-    start = F.struct(F.col("lots").alias("lots"), F.array().cast(f"array<{_DONE}>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        lot = F.get(acc["lots"], F.lit(0))
-        rest = F.when(F.abs(lot["shares"] - x["shares_to_exit"]) < 1e-10, 0.0).otherwise(lot["shares"] - x["shares_to_exit"])
-        outcome = F.when(F.size(acc["lots"]) == 0, "no open trade").when(x["shares_to_exit"] > lot["shares"], "too many shares").when(rest == 0, "full").otherwise("partial")
-        some = outcome.isin("full", "partial")
-        entry = F.struct(
-            x["request_id"].alias("request_id"), outcome.alias("outcome"), F.when(some, lot["trade_id"]).alias("trade_id"), F.when(some, x["shares_to_exit"]).alias("shares"), F.when(some, x["sell_price"]).alias("sell_price"),
-            F.when(some, x["notes"]).alias("said"), F.when(some, rest).alias("rest"),
-        )
-        others = F.slice(acc["lots"], 2, F.greatest(F.size(acc["lots"]) - 1, F.lit(0)))
-        less = F.concat(F.array(lot.withField("shares", rest)), others)
-        return F.struct(F.when(outcome == "full", others).when(outcome == "partial", less).otherwise(acc["lots"]).alias("lots"), F.concat(acc["done"], F.array(entry)).alias("done"))
-
-    done = both.select(*keys, F.explode(F.aggregate("asked", start, step)["done"]).alias("d")).select(*keys, "d.*")
+    empty = {n: F.lit(None).cast(t) for n, t in (("ts", "timestamp"), ("sell_price", "double"), ("notes", "string"))}
+    both = lots.select(*keys, F.lit(0).alias("kind"), empty["ts"].alias("ts"), F.col("trade_id").alias("id"), "shares", empty["sell_price"].alias("sell_price"), empty["notes"].alias("notes")).unionByName(
+        requests.select(*keys, F.lit(1).alias("kind"), "ts", F.col("request_id").alias("id"), F.col("shares_to_exit").alias("shares"), "sell_price", "notes")
+    )
+    # by a hash of its own: an exchange by the keys themselves can be dropped in favour of the joins' partitions, which the
+    # adaptive plan may change afterwards
+    dealt = both.withColumn("_to", F.xxhash64(*keys)).repartition("_to").sortWithinPartitions(*keys, "kind", "ts", "id")
+    done = dealt.drop("ts", "_to").mapInPandas(_fold_exits, _DONE)
     exit_ = F.struct("request_id", "shares", "sell_price", "said")
     changes = done.where("trade_id is not null").groupBy("trade_id").agg(
         F.max(F.when(F.col("outcome") == "full", exit_)).alias("_full"), F.array_sort(F.collect_list(F.when(F.col("outcome") == "partial", exit_))).alias("_parts"), F.min("rest").alias("_rest")

@@ -56,9 +56,16 @@ def prj_import_row(j: Journal):
     return O.parse_tracker(_lines(j), _day()).select("line_no", "ticker", "status", "sell_price", "risk_dollars", "pnl", "notes")
 
 
-@query("val_csv_row", "trades", f"WITH {_PARSED} SELECT user_id, count(*) AS rows FROM parsed GROUP BY user_id")
+_FAULTS = (
+    "lines AS (SELECT user_id, trade_id || ':' || c.copy::VARCHAR AS line_no, CASE WHEN floor(coalesce(buy_price,0))<=0 THEN 'buy_price' WHEN floor(shares)<=0 THEN 'shares' END AS fault FROM trades, (VALUES (1),(2)) c(copy) WHERE (copy=1 OR status='closed')), "
+    "faults AS (SELECT * FROM lines UNION ALL SELECT user_id, line_no, CASE WHEN k=2 THEN 'fields' ELSE 'ignored' END FROM lines, range(1, 5) r(k))"
+)
+
+
+@query("val_csv_row", "trades", f"WITH {_FAULTS} SELECT user_id, line_no, fault FROM faults")
 def val_csv_row(j: Journal):
-    return O.parse_tracker(_lines(j), _day()).groupBy("user_id").agg(F.count("*").alias("rows"))
+    """Every line and what is wrong with it."""
+    return O.tracker_rows(_lines(j), _day()).select("user_id", "line_no", "fault")
 
 
 _STORED = "stored AS (SELECT DISTINCT user_id, ticker, date, buy_price FROM parsed WHERE user_id%10=0)"
@@ -85,6 +92,16 @@ def agg_import_report(j: Journal):
     return O.import_report(_marked(j))
 
 
+@query("agg_import_totals", "trades", f"WITH {_MARKED}, {_FAULTS} SELECT count(*) AS lines, count(*) FILTER (fault='ignored') AS ignored, count(*) FILTER (fault<>'ignored') AS rejected, (SELECT count(*) FILTER (accepted) FROM marked) AS imported, (SELECT count(*) FILTER (NOT accepted) FROM marked) AS skipped FROM faults")
+def agg_import_totals(j: Journal):
+    """The importer's closing report: counts that the pass which writes the new trades has made on its way."""
+    folder = store.shared_folder(j.spark)
+    rows, seen, done = O.import_counted(_lines(j), _stored(j), _day())
+    rows.write.parquet(folder)
+    counts = {**seen.get, **done.get}
+    return j.spark.createDataFrame([tuple(counts[n] for n in ("lines", "ignored", "rejected", "imported", "skipped"))], "lines long, ignored long, rejected long, imported long, skipped long")
+
+
 @query("set_import_append", "trades", f"WITH {_MARKED} SELECT user_id, ticker, date, buy_price, status, notes FROM trades UNION ALL SELECT user_id, ticker, date, buy_price, status, notes FROM marked WHERE accepted")
 def set_import_append(j: Journal):
     return O.append(j.trades(), _marked(j)).select("user_id", "ticker", "date", "buy_price", "status", "notes")
@@ -130,12 +147,22 @@ def snk_csv_export_files(j: Journal):
     return read_export(j.spark, folder)
 
 
-@query("jn_owner_delete", "trades", "SELECT trade_id, user_id FROM trades WHERE NOT (shares=7 AND user_id%2=0)")
-def jn_owner_delete(j: Journal):
-    """Requests for all trades of seven shares; of odd users' trades the asker isn't the owner."""
+def _deleted(j: Journal):
+    """Requests for all trades of seven shares; of odd users' trades the asker isn't the owner, and some trades aren't there."""
     t = j.trades()
     asked = t.where("shares = 7").select("trade_id", F.when(F.col("user_id") % 2 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("user_id"))
-    return O.owner_delete(t, asked)[0].select("trade_id", "user_id")
+    missing = t.where("shares = 8").select(F.concat(F.lit("no-"), "trade_id").alias("trade_id"), "user_id")
+    return O.owner_delete(t, asked.union(missing))
+
+
+@query("jn_owner_delete", "trades", "SELECT trade_id, user_id FROM trades WHERE NOT (shares=7 AND user_id%2=0)")
+def jn_owner_delete(j: Journal):
+    return _deleted(j)[0].select("trade_id", "user_id")
+
+
+@query("jn_owner_delete_outcomes", "trades", "SELECT trade_id, user_id + user_id%2 AS user_id, CASE WHEN user_id%2=0 THEN 'deleted' ELSE 'forbidden' END AS outcome FROM trades WHERE shares=7 UNION ALL SELECT 'no-' || trade_id, user_id, 'missing' FROM trades WHERE shares=8")
+def jn_owner_delete_outcomes(j: Journal):
+    return _deleted(j)[1].select("trade_id", "user_id", "outcome")
 
 
 @query(
@@ -250,3 +277,24 @@ def set_exit_trades(j: Journal):
     after = O.apply_exits(t, exit_requests(j), _day(), _now())[0]
     at = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")]
     return after.select("trade_id", "user_id", "shares", "status", "sell_price", "exit_date", "notes", *at, "risk", "account_balance")
+
+
+_SECOND = (
+    "o AS (SELECT *, row_number() OVER (PARTITION BY user_id, ticker ORDER BY trade_id) AS k FROM trades WHERE status='open'), "
+    "p AS (SELECT a.user_id, a.ticker, a.trade_id AS lot, a.shares, b.trade_id AS lot2, b.shares AS shares2, a.user_id%3 AS kind, floor((a.shares/3)*10000.0::DOUBLE+0.5::DOUBLE)/10000.0::DOUBLE AS third FROM o a LEFT JOIN o b ON a.user_id=b.user_id AND a.ticker=b.ticker AND b.k=2 WHERE a.k=1), "
+    "q AS (SELECT *, CASE WHEN kind=1 THEN lot2 ELSE lot END AS now_lot, CASE kind WHEN 0 THEN shares-third WHEN 1 THEN shares2 ELSE shares END AS held FROM p)"
+)
+
+
+@query(
+    "set_exit_outcomes", "trades",
+    f"""WITH {_SECOND} SELECT 'r-' || lot AS request_id, user_id, ticker, CASE kind WHEN 0 THEN 'partial' WHEN 1 THEN 'full' ELSE 'too many shares' END AS outcome, CASE WHEN kind<2 THEN lot END AS lot_id, CASE kind WHEN 0 THEN third WHEN 1 THEN shares END AS shares FROM p
+    UNION ALL SELECT 's-' || lot, user_id, ticker, CASE WHEN now_lot IS NULL THEN 'no open trade' WHEN 1.0>held THEN 'too many shares' WHEN abs(held-1.0)<1e-10 THEN 'full' ELSE 'partial' END, CASE WHEN held>=1.0 THEN now_lot END, CASE WHEN held>=1.0 THEN 1.0::DOUBLE END FROM q
+    UNION ALL SELECT DISTINCT 'n-' || user_id::VARCHAR, user_id, 'NONE', 'no open trade', NULL, NULL::DOUBLE FROM p""",
+)
+def set_exit_outcomes(j: Journal):
+    """What became of each request: the first of a position, one of a single share after it, and one for a ticker not held."""
+    first = exit_requests(j)
+    second = first.withColumns({"request_id": F.regexp_replace("request_id", "^r-", "s-"), "shares_to_exit": F.lit(1.0), "ts": F.col("ts") + F.expr("interval 1 hour")})
+    none = first.select("user_id").distinct().select(F.concat(F.lit("n-"), "user_id").alias("request_id"), "user_id", F.lit("NONE").alias("ticker"), F.lit(1.0).alias("shares_to_exit"), F.lit(2.0).alias("sell_price"), F.lit("").alias("notes"), _now().alias("ts"))
+    return O.apply_exits(j.trades(), first.unionByName(second).unionByName(none), _day(), _now())[1]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..operators.joins import rate_as_of, with_balance, with_fees
 from ..sources.canonical import AS_OF, Journal
+from ..sources.schemas import TRADES
+from ..sources.store import accepted, ingest, quarantined, shared_folder
 from .registry import query
 
 B, S = "coalesce(buy_price<>0,false)", "coalesce(sell_price<>0,false)"
@@ -33,6 +35,37 @@ def src_trades(j: Journal):
     return j.trades().select("trade_id", "user_id", iso("date"), iso("exit_date"), "ticker", "buy_price", "sell_price", "shares", "status")
 
 
+# Documents of all trades as JSON text; by their shares some are cut off, lack a field, hold a bad one or have more.
+_DOCUMENTS = (
+    "d AS (SELECT *, CASE WHEN shares=1 THEN 'not an object' WHEN shares=2 THEN 'ticker: missing' WHEN shares=3 THEN 'buy_price: not a double' WHEN shares=4 THEN 'date: not a date,status: unknown' END AS reasons FROM trades)"
+)
+
+
+def _documents(j: Journal):
+    shares = F.col("shares")
+    at = F.when(shares == 6, F.concat(F.col("date").cast("string"), F.lit("T10:30:00+00:00"))).when(shares == 4, "soon").otherwise(F.col("date").cast("string"))
+    fields = F.struct(
+        "trade_id", "user_id", at.alias("date"), F.col("exit_date").cast("string").alias("exit_date"), F.when(shares != 2, F.col("ticker")).alias("ticker"), F.when(shares == 3, "abc").otherwise(F.col("buy_price").cast("string")).alias("buy_price"),
+        "sell_price", "shares", F.when(shares == 4, "pending").otherwise(F.col("status")).alias("status"), F.when(shares == 5, "red").alias("color"),
+    )
+    text = F.to_json(fields)
+    folder = shared_folder(j.spark)
+    j.trades().select(F.when(shares == 1, F.left(text, F.length(text) - 1)).otherwise(text).alias("value")).write.text(folder)
+    return ingest(j.spark, folder, TRADES)
+
+
+@query("src_trades_documents", "trades", f"WITH {_DOCUMENTS} SELECT trade_id, user_id, date, exit_date, ticker, buy_price, sell_price, shares, status, CASE WHEN shares=5 THEN 'red' END AS color FROM d WHERE reasons IS NULL")
+def src_trades_documents(j: Journal):
+    """Stored documents as trades: ISO text and numbers as text become days and numbers, unknown fields are kept."""
+    return accepted(_documents(j)).select("trade_id", "user_id", "date", "exit_date", "ticker", "buy_price", "sell_price", "shares", "status", F.col("extra")["color"].alias("color"))
+
+
+@query("src_trades_quarantine", "trades", f"WITH {_DOCUMENTS} SELECT CASE WHEN shares>1 THEN user_id END AS user_id, reasons, count(*) AS documents FROM d WHERE reasons IS NOT NULL GROUP BY ALL")
+def src_trades_quarantine(j: Journal):
+    """Documents that can't be stored, with the reasons."""
+    return quarantined(_documents(j)).groupBy("user_id", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("documents"))
+
+
 @query("src_users", "users", "SELECT uid, email, display_name, last_sign_in FROM users WHERE email IS NOT NULL AND email<>''")
 def src_users(j: Journal):
     return j.users().where("email is not null and email <> ''")
