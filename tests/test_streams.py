@@ -6,12 +6,13 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tradeloom.operators import calendar
+from tradeloom.operators import calendar, filters, joins
 from tradeloom.sources import schemas
 from tradeloom.sources.versions import MonthTable
 from tradeloom.streaming import twins
 from tradeloom.streaming.exits import ROCKSDB, exit_apply
 from tradeloom.streaming.imports import import_lines, new_rows, stored_trades
+from tradeloom.streaming.rates import running_rates
 from tradeloom.streaming.windows import Lateness, keep_windows
 
 DELAY = timedelta(days=30)
@@ -290,3 +291,42 @@ def test_random_exits_equal_a_fold_and_closed_positions_leave_no_state(spark, fi
     states = spark.read.format("statestore").option("path", f"{files.path}/c").option("stateVarName", "lots").load()
     waiting = spark.read.format("statestore").option("path", f"{files.path}/c").option("stateVarName", "waiting").load()
     assert (states.count(), waiting.count()) == (left, 0)
+
+
+def test_rates_for_requests_wait_for_late_rates(spark, tmp_path, rocksdb):
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    at = lambda m: start + timedelta(seconds=60 * m)
+    rates = [(c, float(i), at(rng.uniform(0, 200))) for i in range(60) for c in ("INR", "EUR")]
+    asked = [(f"q{i}", rng.choice(["INR", "EUR", "SGD"]), at(rng.uniform(0, 200))) for i in range(80)]
+    a, b = Files(spark, tmp_path / "a"), Files(spark, tmp_path / "b")
+    for k in range(4):  # by time, but shuffled across the borders of files, within the delay
+        near = lambda rows, i: [r for r in rows if int(((r[i] - start).total_seconds() / 60 + rng.uniform(0, 4)) // 51) == k]
+        late = lambda rows, i: sorted(near(rows, i), key=lambda r: rng.random())
+        state = rng.getstate()
+        a.add(spark.createDataFrame(late(asked, 2), "request_id string, currency string, ts timestamp"))
+        b.add(spark.createDataFrame(late(rates, 2), "currency string, rate_per_usdt double, fetched_at timestamp"))
+        rng.setstate(state)
+    given = [r for p in (a,) for r in spark.read.parquet(f"{p.path}/in/part=*").collect()]
+    told = spark.read.parquet(f"{b.path}/in/part=*").collect()
+    clock = [datetime(2024, 1, 3)]
+    a.add(spark.createDataFrame([("end", "SGD", clock[0])], "request_id string, currency string, ts timestamp"))
+    b.add(spark.createDataFrame([("SGD", 1.0, clock[0])], "currency string, rate_per_usdt double, fetched_at timestamp"))
+    out = running_rates(a.stream(), b.stream(), 300, "30 minutes")
+    query = out.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.request_id: r.rate for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    asked_df = spark.createDataFrame([(r.request_id, r.currency, r.ts) for r in given], "request_id string, currency string, ts timestamp")
+    rates_df = spark.createDataFrame([(r.currency, r.rate_per_usdt, r.fetched_at) for r in told], "currency string, rate_per_usdt double, fetched_at timestamp")
+    want = {r.request_id: r.rate for r in joins.rate_as_of(asked_df, rates_df, 300).collect()}
+    assert got == want and None in want.values() and len({v for v in want.values() if v is not None}) > 10
+    left = spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "waiting").load()
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "rates").load()
+    assert (left.count(), held.count()) == (1, 2)  # the last request and its rate's two spans
+
+
+def test_a_range_without_trades_falls_back_by_user(spark):
+    t = trades(spark, ("a", 1, date(2024, 1, 5), 1.0), ("b", 1, date(2024, 1, 25), 1.0), ("c", 2, date(2024, 1, 25), 1.0), ("d", 2, date(2024, 2, 1), 1.0), ("e", 3, date(2023, 1, 1), 1.0))
+    got = filters.metrics_range(t, F.lit("2024-01-01").cast("date"), F.lit("2024-01-10").cast("date"))
+    assert sorted(r.trade_id for r in got.collect()) == ["a", "c"] and got.columns == t.columns
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()

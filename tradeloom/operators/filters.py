@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import complete, effective_date, given
@@ -15,12 +15,18 @@ def in_range(day: Column, start: Column, end: Column) -> Column:
 
 def metrics_range(trades: DataFrame, start: Column, end: Column) -> DataFrame:
     """Trades whose effective date and entry date both lie in the range; for a user with none of these, the trades
-    entered in the month of start (of end, if there is no start). No branch on the driver."""
+    entered in the month of start (of end, if there is no start). No branch on the driver.
+
+    Which users have any is one aggregation that leaves a row per user with one in the range; candidates of both kinds then
+    meet it by a join, so no user's rows have to be together.
+    """
     entered = F.col("date").isNotNull() & in_range(F.col("date"), start, end)
     inside = F.coalesce(in_range(effective_date(), start, end) & entered, F.lit(False))
-    month = F.trunc("date", "month") == F.trunc(F.coalesce(start, end), "month")
-    some = F.max(inside).over(Window.partitionBy("user_id"))
-    return trades.withColumns({"_in": inside, "_any": some}).where(F.col("_in") | (~F.col("_any") & F.coalesce(month, F.lit(False)))).drop("_in", "_any")
+    month = F.coalesce(F.trunc("date", "month") == F.trunc(F.coalesce(start, end), "month"), F.lit(False))
+    rows = trades.withColumns({"_in": inside, "_month": month}).where("_in or _month")
+    some = rows.where("_in").select(F.col("user_id").alias("_user")).distinct()
+    both = rows.join(some, F.col("user_id").eqNullSafe(F.col("_user")) & ~F.col("_in"), "left_anti")
+    return both.drop("_in", "_month")
 
 
 def metrics_range_totals(trades: DataFrame, start: Column, end: Column, aggregates: dict[str, Column]) -> DataFrame:
