@@ -10,7 +10,9 @@ from ..operators import curves as CUR
 from ..operators import metrics as M
 from ..operators.filters import metrics_range_totals
 from ..operators.joins import with_fees
+from ..operators.upkeep import calendar_days, equity_days
 from ..sources.canonical import AS_OF, Journal
+from ..sources.store import shared_folder
 from .filters import _RANGED, END, START
 from .projections import COMPLETE, EFF, FEED, FEES, GROSS, NET, S, with_returns
 from .registry import query
@@ -187,3 +189,33 @@ def win_period_change(j: Journal):
 )
 def win_account_curve(j: Journal):
     return CUR.account_curve(j.monthly_returns(), j.trades(), F.lit(AS_OF).cast("date"))
+
+
+_CHANGED = (
+    "c AS (SELECT trade_id, user_id, date, exit_date, buy_price, CASE WHEN shares=10 THEN buy_price+1 ELSE sell_price END AS sell_price, shares, CASE WHEN shares=10 THEN 'closed' ELSE status END AS status FROM trades WHERE shares<>9 AND user_id%4=0 "
+    "UNION ALL SELECT trade_id, user_id, date, exit_date, buy_price, sell_price, shares, status FROM trades WHERE user_id%4<>0 UNION ALL SELECT 'new-' || trade_id, user_id, date, exit_date, buy_price, sell_price, shares, status FROM trades WHERE shares=11 AND user_id%4=0)"
+)
+_DAYS = lambda day, where: f"WITH {_CHANGED}, d AS (SELECT user_id, {day} AS day, sum(floor(CASE WHEN {COMPLETE} THEN (sell_price-buy_price)*shares ELSE 0.0::DOUBLE END*100000000.0::DOUBLE+0.5::DOUBLE)::DECIMAL(38,0)) AS u, count(*) AS trades FROM c WHERE {where} GROUP BY ALL) SELECT user_id, day, u::DOUBLE/100000000.0::DOUBLE AS pnl, trades, (sum(u) OVER (PARTITION BY user_id ORDER BY day))::DOUBLE/100000000.0::DOUBLE AS running FROM d"
+
+
+def _kept_days(j: Journal, make):
+    """Daily sums of all trades; then a quarter of the users delete trades, edit some and add some."""
+    days = make(j.spark, shared_folder(j.spark))
+    t = j.trades().select("trade_id", "user_id", "date", "exit_date", "buy_price", "sell_price", "shares", "status")
+    days.create(t)
+    some = t.where("user_id % 4 = 0")
+    edited = some.where("shares = 10").withColumns({"sell_price": F.col("buy_price") + 1, "status": F.lit("closed")})
+    days.change(some.where("shares in (9, 10)"), edited.unionByName(some.where("shares = 11")))
+    return days.read()
+
+
+@query("win_equity_days", "trades", _DAYS("date", COMPLETE))
+def win_equity_days(j: Journal):
+    """The equity curve by day, kept up to date by changes."""
+    return _kept_days(j, equity_days)
+
+
+@query("agg_calendar_kept", "trades", _DAYS(EFF, "true"))
+def agg_calendar_kept(j: Journal):
+    """The calendar's days with a running total, kept up to date by changes."""
+    return _kept_days(j, calendar_days)
