@@ -75,7 +75,7 @@ def test_run_equals_the_stages(spark, stages):
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert names == {f"op{i}" for i in range(1, 14)} and set(SQL) <= set(QUERIES)
     assert "pipeline" in corpus_pipeline.QUERIES
 
 
