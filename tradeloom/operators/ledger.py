@@ -23,6 +23,10 @@ def intake(new: DataFrame, profiles: DataFrame, now: Column) -> tuple[DataFrame,
     return good, checked.where(F.size("faults") > 0)
 
 
+#: The white space around a field.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def tracker_rows(lines: DataFrame, as_of: Column) -> DataFrame:
     """All tracker CSV lines (user_id, line_no, line) as rows, with fault: fields by plain commas, quotes mean nothing.
 
@@ -31,8 +35,8 @@ def tracker_rows(lines: DataFrame, as_of: Column) -> DataFrame:
     """
     head = F.col("line").startswith("Pnl") | F.col("line").startswith("Month") | F.col("line").startswith("Average")
     ignored = ~F.col("line").contains(",") | head
-    rows = lines.withColumns({"_ignored": F.coalesce(ignored, F.lit(True)), "f": F.transform(F.split("line", ",", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))})
-    field = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
+    rows = lines.withColumns({"_ignored": F.coalesce(ignored, F.lit(True)), "f": F.split("line", ",", -1)})
+    field = lambda i: F.btrim(F.coalesce(F.get("f", F.lit(i)), F.lit("")), F.lit(WHITE))
     number = lambda i: parsed_number(field(i))
     fault = F.when(F.col("_ignored"), "ignored").when(F.size("f") < 7, "fields").when(field(0) == "", "month").when(field(1) == "", "ticker").when(~(number(2) > 0), "buy_price").when(~(number(4) > 0), "shares")
     rows = rows.select(

@@ -31,16 +31,10 @@ _ODD = ["Month,Ticker,Buy price,Sell price,shares,$ value,Risk", "a,b,1,2,3", "n
 def _lines(j: Journal):
     """Lines with their order (line_no, k): a trade's line, twice if it is closed, and odd lines after each."""
     whole = lambda c: F.coalesce(F.floor(c).cast("string"), F.lit(""))
-    twenty = F.col("trade_id").contains("-1-")
-
-    def lines(copy: int):
-        name = F.concat(F.col("trade_id"), F.lit(f":{copy}"))
-        risk = F.when(twenty, "20").otherwise("") if copy == 1 else F.lit("")
-        cells = [F.date_format("date", "MMMM yyyy"), F.lower("ticker"), whole(F.coalesce("buy_price", F.lit(0.0))), whole("sell_price"), F.col("shares").cast("long").cast("string"), F.lit(""), risk, *[F.lit("")] * 6, F.lit("0"), F.lit(""), F.lit("")]
-        return [F.struct(name.alias("line_no"), F.lit(k).alias("k"), x.alias("line")) for k, x in enumerate([F.concat_ws(",", *cells), *map(F.lit, _ODD)])]
-
-    some = F.when(F.col("status") == "closed", F.array(*lines(1), *lines(2))).otherwise(F.array(*lines(1)))
-    return j.trades().select("user_id", F.explode(some).alias("x")).select("user_id", "x.*")
+    t = j.trades().withColumn("copy", F.explode(F.when(F.col("status") == "closed", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    risk = F.when(F.col("trade_id").contains("-1-") & (F.col("copy") == 1), "20").otherwise("")
+    cells = [F.date_format("date", "MMMM yyyy"), F.lower("ticker"), whole(F.coalesce("buy_price", F.lit(0.0))), whole("sell_price"), F.col("shares").cast("long").cast("string"), F.lit(""), risk, *[F.lit("")] * 6, F.lit("0"), F.lit(""), F.lit("")]
+    return t.select("user_id", F.concat_ws(":", "trade_id", "copy").alias("line_no"), F.posexplode(F.array(F.concat_ws(",", *cells), *map(F.lit, _ODD))).alias("k", "line"))
 
 
 @query("src_csv_tracker", "trades", f"WITH {_PARSED} SELECT * EXCLUDE (line_no, file_line), file_line AS line_no FROM parsed")
