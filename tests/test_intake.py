@@ -72,7 +72,7 @@ def test_counts_come_with_the_write(spark, tmp_path):
     assert (done.get["imported"], done.get["skipped"]) == tuple(report) == (5, 4)
     assert spark.read.parquet(str(tmp_path / "new")).count() == 5
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("transform(split(line") == 1  # parsed once
+    assert plan.count("Repartition 3") == 1 and plan.count("CollectMetrics") == 2  # the lines are read once
 
 
 def _plain(lots, exits):
