@@ -116,6 +116,49 @@ def test_quality_verdicts_on_labelled_documents(spark):
     assert r.clean_text == "\nA sentence stands here.\nNotes\nMore\nText."
 
 
+PROSE = ["Plain words stand here and they end well for all who read them." for _ in range(9)]
+KEPT = {
+    "chinese": ["我们今天去了河边看见很多人。", "他说：“明天还会下雨吗？”", "孩子们在树下玩耍，", "老人坐在门前的长椅上……"] * 15,
+    "thai": ["เด็กนักเรียนทั้งหมดเดินทางไปโรงเรียนด้วยรถโดยสารประจำทางทุกวัน"] * 2 + [f"ประชาชนจำนวนมากเดินทางไปเที่ยวทะเลในวันหยุดสุดสัปดาห์ที่ผ่านมา{i}" for i in range(60)],
+    "german": ["Er sagte: „Nein.“", "Sie fragte: »Warum?«", "„Komm jetzt!“", "(Er ging.)"] * 20,
+    "english": ['He said, "No."', "‘Why not?’", '"Stop!" "Go!"', "[She left.]"] * 20,
+    "poem": [f"still water {w}" for w in "runs deep under old stone walls where no wind ever came to call the birds home at dusk again".split()],
+    "poem within prose": [*PROSE, *[f"still water {w}" for w in "runs deep under stone".split()], *PROSE],
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_short_lines_of_prose_are_no_menu(spark, name):
+    r = Q.quality_rules(spark.createDataFrame([(1, "\n".join(KEPT[name]))], "doc_id long, text string"), with_text=True).first()
+    assert r.n_lines_failed == 0 and r.clean_text == "\n".join(KEPT[name])
+
+
+def test_menus_at_an_edge_repeated_or_of_links_go(spark):
+    menu = ["Home", "About us", "Contact (new)", "关于我们"]
+    links = ["one http://a.b", "two http://c.d", "three http://e.f", "four"]
+    texts = [[*menu, *PROSE], [*PROSE, *menu], [*PROSE, *menu, *PROSE, *menu, *PROSE], [*PROSE, *links, *PROSE]]
+    got = Q.quality_rules(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), with_text=True).collect()
+    for r in got:
+        assert r.clean_text == "\n".join(x for x in texts[r.doc_id] if x in PROSE)
+
+
+def test_line_rules_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tradeloom.llm.queries import SQL
+
+    rng = random.Random(4)
+    pool = ["Home", "About us", "关于我们", "他说。”", '"', "”)", "A b.", "x http://y", "", " \t", "Plain words stand here and end well.", "é…", "word word word", "a b c)", "l" * 31, "l" * 30, "| a | b", "BUY NOW THIS GREAT OFFER", "news\x0bitems"]
+    texts = [(i, "\n".join(rng.choices(pool[: rng.randint(3, len(pool))], k=rng.randint(0, 25)))) for i in range(600)] + [(900, None), (901, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(Q.quality_rules(docs).columns)} FROM ({SQL['op9_quality_rules']})").fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in Q.quality_rules(docs).collect())
+    assert sum(r[-1] for r in want) > 500
+
+
 @pytest.mark.parametrize("limit", [40, 300, 1 << 20])
 def test_neighbours_dont_change_a_verdict(spark, monkeypatch, limit):
     texts = ["see our privacy ", "policy of the house", "http:", "//x.y http://z.w", "Home", "About", "News", "More", "all rights", " reserved", None, "", "A", "menu\nlist", "of\nitems", "| a |", "b | c"]

@@ -43,20 +43,22 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN m USING (rid) LEFT JOIN v USING (rid)
 """
 
 
-def quality_rules(rules, phrases: tuple[bytes, ...], marks: str) -> str:
+def quality_rules(rules, phrases: tuple[bytes, ...], marks: str, closers: str) -> str:
     """SQL of the line rules with the given limits (see quality.LineRules)."""
     n_of = lambda cls: f"length(regexp_replace(line, '[^{cls}]', '', 'g'))"
     boiler = " OR ".join(f"contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{p.decode()}')" for p in phrases)
     num = lambda x: f"{x!r}::DOUBLE"
+    last = "rtrim(lw[-1], '{}')".format(closers.replace("'", "''"))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i+1], w[i+2]) AS times FROM d, unnest(range(1, len(w) - 1)) t(i) WHERE len(w) >= 3),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM g, unnest(range(i, i + 3)) t(p) WHERE times > 1 GROUP BY rid),
 a AS (SELECT rid, i, lines[i] AS line FROM (SELECT rid, string_split(text, chr(10)) AS lines FROM d), unnest(range(1, len(lines) + 1)) t(i)),
 l AS (SELECT rid, i, line, regexp_extract_all(line, '{_SPACED}') AS lw FROM a),
-m AS (SELECT *, len(lw) > 0 AS worded, len(lw) > 0 AND len(lw) <= {rules.menu_words} AND NOT contains('{marks}', right(lw[-1], 1)) AS short FROM l),
+m AS (SELECT *, len(lw) > 0 AS worded, len(lw) > 0 AND len(lw) <= {rules.menu_words} AND length(array_to_string(lw, '')) <= {rules.menu_chars} AND NOT contains('{marks}', right({last}, 1)) AS short, min(CASE WHEN len(lw) > 0 THEN i END) OVER (PARTITION BY rid) AS low_i, max(CASE WHEN len(lw) > 0 THEN i END) OVER (PARTITION BY rid) AS high_i,
+  count(*) OVER (PARTITION BY rid, line) > 1 OR contains(line, '://') AS shown, sum(len(lw)) OVER (PARTITION BY rid) AS all_words FROM l),
 u AS (SELECT *, row_number() OVER (PARTITION BY rid, worded ORDER BY i) - row_number() OVER (PARTITION BY rid, worded, short ORDER BY i) AS run FROM m),
-v AS (SELECT *, short AND count(*) OVER (PARTITION BY rid, worded, short, run) >= {rules.menu_lines} AS menu FROM u),
+v AS (SELECT *, short AND count(*) OVER r >= {rules.menu_lines} AND (2 * count(*) FILTER (shown) OVER r >= count(*) OVER r OR (bool_or(i = low_i OR i = high_i) OVER r AND sum(len(lw)) OVER r <= {num(rules.menu_share)} * all_words)) AS menu FROM u WINDOW r AS (PARTITION BY rid, worded, short, run)),
 c AS (SELECT rid, line, menu, (length(line) - length(replace(line, '://', ''))) / 3 AS links, len(lw) AS n, len(list_distinct(lw)) AS dist, {n_of('#*$%&|<>')} AS sym, {n_of('!')} AS bang, {n_of('|')} AS bars, {n_of('A-Z')} AS up, {n_of('a-z')} AS low FROM v),
 f AS (SELECT *, (sym >= 2 AND sym >= {num(rules.symbols_per_word)} * greatest(n, 1)) OR (bang >= 3 AND bang >= {num(rules.shouts_per_word)} * greatest(n, 1)) OR (n >= 5 AND up >= {num(rules.capitals)} * (up + low) AND up >= 10)
   OR menu OR (links >= 2 AND links >= {num(rules.links_per_word)} * greatest(n, 1)) OR (bars >= 2 AND bars >= {num(rules.separators_per_word)} * greatest(n, 1)) OR (n >= 10 AND dist <= {num(rules.distinct)} * n) OR (n <= {rules.boilerplate_words} AND ({boiler})) AS fails FROM c),

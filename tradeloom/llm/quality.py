@@ -5,7 +5,9 @@ The rules of a line (all over the bytes of the whole text, no pattern engine):
 * punctuation: a third or more of its words come with a symbol of `#*$%&|<>`, or a third with an exclamation mark;
 * shouting: nearly all its ASCII letters are capitals, in five words or more;
 * navigation: two or more `|` separators, at least one in six words; or two links or more, at least one in two words; or
-  one of four lines in a row (blank ones aside) of three words at most that end without an end mark;
+  one of four or more labels in a row (blank lines aside) that show themselves as a menu: half of them stand in the text
+  again or hold a link, or they stand at the text's beginning or end and hold a third of its words at most. A label is a
+  line of three words and 30 characters at most without an end mark, of any script, before its closing quotes and brackets;
 * repetition: ten words or more of which few are different;
 * boilerplate: a short line that holds a fixed phrase of site furniture.
 
@@ -71,8 +73,9 @@ BOILERPLATE = tuple(
         "saltar al contenido",
     )
 )
-#: Last characters of a line that is a sentence, or part of one.
-END_MARKS = ".!?:;,"
+#: Last characters of a line that is a sentence, or part of one, and what may close it after them. Fixed values.
+END_MARKS = ".!?:;,…—–。！？：；，、．｡､؟؛،۔।॥։።၊။"
+CLOSERS = "\"'”’»›“‘„‚«‹)]}）］｝〕」』】》〉"
 
 _ASCII = np.arange(256)
 _SYMBOL = np.isin(_ASCII, list(b"#*$%&|<>"))
@@ -91,7 +94,9 @@ class LineRules:
     separators_per_word: float = 1 / 6
     links_per_word: float = 1 / 2
     menu_words: int = 3
+    menu_chars: int = 30
     menu_lines: int = 4
+    menu_share: float = 1 / 3
     distinct: float = 0.34
     boilerplate_words: int = 20
     min_words: int = 50
@@ -130,6 +135,32 @@ def _finds(text: bytes, phrase: bytes, line_starts: np.ndarray, line_ends: np.nd
     return lines[places + len(phrase) <= line_ends[lines]]
 
 
+def _last_points(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code point before each end, and the byte where it begins."""
+    at = ends - 1
+    for _ in range(3):
+        at = at - ((data[at] & 0xC0) == 0x80)
+    lead = data[at].astype(np.int64)
+    point = np.where(lead < 0x80, lead, np.where(lead < 0xE0, lead & 0x1F, np.where(lead < 0xF0, lead & 0x0F, lead & 0x07)))
+    for j in range(1, 4):
+        more = at + j < ends
+        point = np.where(more, point << 6 | data[np.minimum(at + j, len(data) - 1)] & 0x3F, point)
+    return point, at
+
+
+def _unended(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words that hold something before their closing quotes and brackets and don't end with an end mark there."""
+    marks, closers = (np.array([ord(c) for c in x]) for x in (END_MARKS, CLOSERS))
+    ends, out, left = ends.copy(), np.zeros(len(starts), bool), np.arange(len(starts))
+    while len(left):
+        point, at = _last_points(data, ends[left])
+        closing = np.isin(point, closers)
+        out[left[~closing]] = ~np.isin(point[~closing], marks)
+        ends[left] = at
+        left = left[closing & (at > starts[left])]
+    return out
+
+
 def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> dict[str, np.ndarray]:
     """Counts, verdicts and failing lines of the texts of one slice."""
     docs = len(offsets) - 1
@@ -172,11 +203,21 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> dict[str,
     links = np.bincount(_finds(data.tobytes(), b"://", ls, le), minlength=len(ls))
     fails |= (links >= 2) & (links >= rules.links_per_word * words)
     if len(full):
-        last = data[ends[np.cumsum(lwords)[full] - 1] - 1]  # of each line with words
-        short = (lwords[full] <= rules.menu_words) & ~np.isin(last, list(END_MARKS.encode()))
-        new = np.concatenate([[True], (short[1:] != short[:-1]) | (line_doc[full][1:] != line_doc[full][:-1])])
-        run = np.diff(np.flatnonzero(new), append=len(full))[np.cumsum(new) - 1]
-        fails[full[short & (run >= rules.menu_lines)]] = True
+        final = np.cumsum(lwords)[full] - 1  # the last word of each line with words
+        lpoints = np.bincount(line_of, _counts(_POINT[data], starts, ends), len(ls))
+        short = (lwords[full] <= rules.menu_words) & (lpoints[full] <= rules.menu_chars)
+        short[short] = _unended(data, starts[final[short]], ends[final[short]])
+        _, same, times = np.unique(lhash, return_inverse=True, return_counts=True)
+        shown = (times[same] > 1) | (links[full] > 0)
+        fdoc = line_doc[full]
+        turn = fdoc[1:] != fdoc[:-1]
+        edge_line = np.concatenate([[True], turn]) | np.concatenate([turn, [True]])
+        new = np.concatenate([[True], (short[1:] != short[:-1]) | turn])
+        head, run = np.flatnonzero(new), np.cumsum(new) - 1
+        size, total = np.diff(head, append=len(full)), np.add.reduceat(lwords[full], head)
+        menu = 2 * np.add.reduceat(shown.astype(np.int64), head) >= size
+        menu |= np.logical_or.reduceat(edge_line, head) & (total <= rules.menu_share * n_words[fdoc[head]])
+        fails[full[short & (menu & (size >= rules.menu_lines))[run]]] = True
     text = W.lowered(data).tobytes()
     for phrase in BOILERPLATE:
         line = _finds(text, phrase, ls, le)

@@ -15,7 +15,7 @@ from .langid import identify
 from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard
 from .packing import pack
-from .quality import BOILERPLATE, END_MARKS, LineRules, quality_rules
+from .quality import BOILERPLATE, CLOSERS, END_MARKS, LineRules, quality_rules
 from .secrets import find_secrets
 from .sharding import minimax_shards
 from .shared import table
@@ -103,7 +103,7 @@ SQL: dict[str, str] = {
     "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op7_decontamination": oracles.DECONTAMINATION,
-    "op9_quality_rules": oracles.quality_rules(LineRules(), BOILERPLATE, END_MARKS),
+    "op9_quality_rules": oracles.quality_rules(LineRules(), BOILERPLATE, END_MARKS, CLOSERS),
     "op12_filter_audit": oracles.FILTER_INTERACTIONS,
     "op13_centroid_clusters": oracles.cluster_vectors(),
 }
