@@ -1,7 +1,9 @@
 """Operators on word windows and counts against plain Python, on odd rows and on the smallest given table."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -89,14 +91,42 @@ def test_decontamination(spark, docs, empty, corpus, small_slices, monkeypatch):
     assert D.contamination(empty, bench).count() == 0
     assert D.contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
     want_matches = sorted(brute.verbatim_matches(corpus, items(corpus)), key=key)
-    for bound in (500, 8 << 20):
+    for bound, pairs in ((500, 1 << 20), (8 << 20, 1 << 20), (8 << 20, 0), (500, 3)):
         monkeypatch.setattr(D, "BLOCK_BYTES", bound)
+        monkeypatch.setattr(D, "PAIRS", pairs)
+        assert rows(D.contamination(docs, bench), 6) == want
         assert rows(D.verbatim_matches(docs, bench), 5) == want_matches and want_matches
     assert D.verbatim_matches(empty, bench).count() == 0 and D.verbatim_matches(docs, bench.limit(0)).count() == 0
     left = D.decontaminate(docs, bench)
     assert left.columns == docs.columns and left.count() == sum(not r[5] for r in want)
 
 
+@pytest.mark.parametrize("pairs", [0, 5, 1 << 20])
+def test_decontamination_of_repeats(spark, monkeypatch, pairs):
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    rng = random.Random(6)
+    text = lambda n, k: " ".join(rng.choices("abcdef"[:k], k=n))
+    texts = [(i, text(rng.randint(0, 60), rng.choice([1, 2, 3]))) for i in range(40)]
+    tests = [(i, text(rng.choice([1, 5, 12, 13, 14, 30]), rng.choice([1, 2, 3]))) for i in range(12)]
+    tests += [(3, tests[5][1]), (90, None), (91, "")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2), spark.createDataFrame(tests, "item_id long, text string")
+    assert rows(D.contamination(docs, bench), 6) == sorted(brute.decontaminate(texts, tests), key=key)
+    want = sorted(brute.verbatim_matches(texts, tests), key=key)
+    assert rows(D.verbatim_matches(docs, bench), 5) == want and len(want) > 100
+    longest = {d: max((m[2] for m in want if m[0] == d), default=0) for d, _ in texts}
+    assert {r.doc_id: r.longest_match for r in D.contamination(docs, bench).collect()} == longest
+
+
+def test_one_word_half_a_million_times():
+    array = D.SuffixArray(np.full(500_000, 7, np.uint64), np.array([0, 500_000]), 13)
+    tests = D.Tests(np.concatenate([np.full(1000, 7, np.uint64), np.zeros(13, np.uint64)]), np.arange(988), np.full(988, 13), np.zeros(988, np.int64), np.zeros(1, np.int64), ["i"])
+    began = time.monotonic()
+    found = array.search(tests)
+    assert array.covered(tests, found).sum() == 500_000 and [x.tolist() for x in array.holders(tests, found)] == [[0], [0]]
+    lengths = np.concatenate([words for _, words, _, _ in array.runs(tests, found)])
+    assert lengths.max() == 1000 and len(lengths) == 500_000 - 12 + 988 - 1 and time.monotonic() - began < 60
+
+
 def test_quality_counts(spark, docs, empty, corpus, small_slices):
     assert rows(Q.quality_rules(docs), 7) == sorted(brute.quality(corpus), key=key)
     assert Q.quality_rules(empty).count() == 0
