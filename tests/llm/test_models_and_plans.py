@@ -1,6 +1,7 @@
 """Language ID, packing and sharding: held-out accuracy, exact code lengths, round trips, least capacity."""
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -53,8 +54,9 @@ def _counted(texts):
     return key & L._mask(L.ORDER), key >> 48, n.astype(float)
 
 
-@pytest.mark.parametrize("least", [1, 4])
-def test_code_lengths_are_exact(monkeypatch, least):
+@pytest.mark.parametrize("least,cells", [(1, 1 << 24), (4, 1 << 24), (1, 0), (4, 0), (4, 300)])
+def test_code_lengths_are_exact(monkeypatch, least, cells):
+    monkeypatch.setattr(L, "CELLS", cells)
     rng = random.Random(2)
     trained = {n: ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(40)] for n, letters in (("x", "abc я"), ("y", "bcde "), ("z", "中文字"))}
     model = L.build_model(["x", "y", "z"], {n: _counted(texts) for n, texts in trained.items()}, least)
@@ -68,10 +70,22 @@ def test_code_lengths_are_exact(monkeypatch, least):
                 assert math.isclose(got[i, j], _bits(t.encode(), [x.encode() for x in trained[n]], least), rel_tol=1e-5, abs_tol=1e-3)
 
 
-def test_fewer_orders_where_costs_would_be_too_many(monkeypatch):
-    texts = ["".join(random.Random(i).choices("abcdefgh", k=300)) for i in range(9)]
-    monkeypatch.setattr(L, "CELLS", 600)
-    assert len(L.build_model(["x"], {"x": _counted(texts)}).grams) < L.ORDER + 1
+def test_256_languages_have_all_orders():
+    texts, names = {}, [f"l{i:03}" for i in range(256)]
+    for i, name in enumerate(names):
+        rng = random.Random(i)
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(400)]
+        texts[name] = [" ".join(rng.choices(words, k=200)) for _ in range(6)]
+    model = L.build_model(names, {n: _counted(t[:5]) for n, t in texts.items()})
+    assert len(model.grams) + len(model.further) == L.ORDER + 1 and model.further
+    asked = [texts[n][5] for n in names[::16]]
+    data, offsets = W.packed(pa.array(asked))
+    got = model.bits(data, offsets)
+    assert (got.argmin(1) == np.arange(256)[::16]).all()
+    for i, t in enumerate(asked[:3]):
+        for j in (0, 16, 100, 255):
+            assert math.isclose(got[i, j], _bits(t.encode(), [x.encode() for x in texts[names[j]][:5]], L.LEAST), rel_tol=1e-5)
+    assert len(pickle.dumps(model)) < 200 << 20
 
 
 def test_scripts_with_the_same_lead_bytes_are_told_apart(spark):

@@ -7,7 +7,10 @@ for each longer one that hasn't (method C, no exclusions, no updates), and 8 bit
 with the shortest code for the whole text wins. All 256 byte values are symbols; only A-Z count as a-z.
 
 A context with its next byte is a number of 48 bits at most. The numbers that some language has seen are rows of a hash
-table with the finished costs for all languages, so most bytes take one look-up.
+table with the finished costs for all languages, so most bytes take one look-up. Where such a table of an order would
+grow too large (many languages), that order and the longer ones are kept as differences to the next shorter one, for
+those languages alone that know the context or the number: the code lengths are the same, whatever the number of
+languages.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import types as T
 
 from . import words as W
 
-#: Longest context in bytes; occurrences in the sample that a context needs; costs (rows x languages) held at most.
-ORDER, LEAST, CELLS = 5, 4, 1 << 26
+#: Longest context in bytes; occurrences in the sample that a context needs; costs (rows x languages) in a table at most.
+ORDER, LEAST, CELLS = 5, 4, 1 << 24
 _CHUNK = 1 << 17
 
 
@@ -85,16 +88,49 @@ class _Places:
         return found
 
 
+@dataclass
+class _Sparse:
+    """Numbers in order, and for each a run of languages with bits."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    language: np.ndarray
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, keys: list[np.ndarray], bits: list[np.ndarray]) -> _Sparse:
+        """From the numbers and bits of each language."""
+        language = np.repeat(np.arange(len(keys), dtype=np.int16), [len(k) for k in keys])
+        every, values = np.concatenate(keys), np.concatenate(bits).astype(np.float32)
+        order = np.argsort(every, kind="stable")
+        unique, start = np.unique(every[order], return_index=True)
+        return cls(unique, np.append(start, len(every)), language[order], values[order])
+
+    def add(self, asked: np.ndarray, text: np.ndarray, total: np.ndarray) -> None:
+        """Adds the bits of each number asked to the row of total that ``text`` names."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        some = self.keys[at] == asked
+        at, text = at[some], text[some]
+        n = self.start[at + 1] - self.start[at]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.start[at], n)
+        cell = np.repeat(text, n) * total.shape[1] + self.language[place]
+        total += np.bincount(cell, self.bits[place], total.size).reshape(total.shape)
+
+
 @dataclass
 class PpmModel:
     """For each order: the numbers (context and byte) that some language has seen and their costs in bits, and the contexts
-    of some language and their escapes (0 for a language without the context). A column a language."""
+    of some language and their escapes (0 for a language without the context). A column a language. Orders after these
+    have differences to the order before: what a known context adds, and what a seen number adds to that."""
 
     languages: list[str]
     grams: list[_Places]
     costs: list[np.ndarray]
     contexts: list[_Places]
     escapes: list[np.ndarray]
+    further: list[tuple[_Sparse, _Sparse]]
 
     def cost(self, order: int, grams: np.ndarray) -> np.ndarray:
         """[number, language] costs of bytes after contexts of ``order`` bytes."""
@@ -127,6 +163,12 @@ class PpmModel:
             heads = np.maximum(offsets[a:b] - at, 0)
             full = np.flatnonzero(np.diff(np.append(heads, len(some))) > 0)
             total[a + full] += np.add.reduceat(cost, heads[full], axis=0)
+            text = np.repeat(full, np.diff(np.append(heads[full], len(some))))
+            for order, (escapes, seen) in enumerate(self.further, last + 1):
+                enough = np.flatnonzero(deep >= order)
+                asked = grams[at : at + step][enough] & _mask(order)
+                escapes.add(asked >> 8, text[enough], total[a:b])
+                seen.add(asked, text[enough], total[a:b])
         return total
 
 
@@ -138,7 +180,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def build_model(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], least: int = LEAST) -> PpmModel:
     """grams: for each language the numbers of its sample, how many bytes before each belong to the text, and counts."""
     n = len(languages)
-    model = PpmModel(languages, [], [], [], [])
+    model = PpmModel(languages, [], [], [], [], [])
+    shorter: list[tuple[np.ndarray, np.ndarray]] = []  # of each language: the numbers of the order before and their costs
     for order in range(ORDER + 1):
         own = []
         for x in languages:
@@ -149,17 +192,23 @@ def build_model(languages: list[str], grams: dict[str, tuple[np.ndarray, np.ndar
             total, distinct = np.bincount(place, c, len(context)), np.bincount(place, minlength=len(context))
             known = (total >= least) | (order == 0)
             own.append((g[known[place]], c[known[place]], place[known[place]], context, known, total, distinct))
+        costs_of = [-np.log2(c / (total[place] + distinct[place])) for _, c, place, _, _, total, distinct in own]
+        escapes_of = [-np.log2(distinct / (total + distinct)) for *_, total, distinct in own]
+        before, shorter = shorter, [(o[0], x) for o, x in zip(own, costs_of, strict=True)]
         keys = np.unique(np.concatenate([o[0] for o in own]))
-        if order > 2 and len(keys) * n > CELLS:
-            break
+        if model.further or order > 2 and len(keys) * n > CELLS:
+            # a number seen after a context was seen after the shorter one too, so its shorter cost is the language's own
+            added = [x - cost[np.searchsorted(key, o[0] & _mask(order - 1))] - e[o[2]] for o, x, e, (key, cost) in zip(own, costs_of, escapes_of, before, strict=True)]
+            model.further.append((_Sparse.of([o[3][o[4]] for o in own], [e[o[4]] for o, e in zip(own, escapes_of, strict=True)]), _Sparse.of([o[0] for o in own], added)))
+            continue
         contexts = np.unique(np.concatenate([o[3][o[4]] for o in own]))
         escapes = np.zeros((len(contexts), n), np.float32)
-        for i, (_, _, _, context, known, total, distinct) in enumerate(own):
-            escapes[np.searchsorted(contexts, context[known]), i] = -np.log2(distinct[known] / (total[known] + distinct[known]))
+        for i, o in enumerate(own):
+            escapes[np.searchsorted(contexts, o[3][o[4]]), i] = escapes_of[i][o[4]]
         costs = model.cost(order - 1, keys & _mask(order - 1) if order else keys)
         costs += escapes[np.searchsorted(contexts, keys >> 8)] if len(keys) else 0
-        for i, (g, c, place, _, _, total, distinct) in enumerate(own):
-            costs[np.searchsorted(keys, g), i] = -np.log2(c / (total[place] + distinct[place]))
+        for i, o in enumerate(own):
+            costs[np.searchsorted(keys, o[0]), i] = costs_of[i]
         model.grams.append(_Places(keys))
         model.costs.append(costs)
         model.contexts.append(_Places(contexts))
