@@ -107,6 +107,16 @@ def test_spans_are_cut_out_of_candidates(spark):
     assert got == ["hex:0:32,entropy_base64:32:57", "entropy_base64:0:32", ""]
 
 
+def test_a_sample_word_clears_no_long_run_beside_it(spark):
+    run = "qZ8xW3vN5bT1mK9pL2rY7cD4fG6hJs"
+    texts = [f"https://x.y/samples/example/{run}", f"example/{run[:20]}/abc1", "example/" + "abcdefghijklmnopqrstuvwxyzabcd", f"placeholder-{run}", "sample_key_123/for-docs"]
+    got = [r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [wanted(t) for t in texts]
+    assert ["entropy" in x for x in got] == [True, False, False, True, False]
+    clean = [r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(run not in x for x in clean)
+
+
 def test_texts_of_a_megabyte(spark):
     rng = random.Random(1)
     low = "".join(rng.choices("g1", k=1 << 20))  # no window reaches the limit, all are looked at

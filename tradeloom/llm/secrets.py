@@ -39,14 +39,15 @@ CLASSES = (
 )
 
 #: Candidates that are no secrets: without a digit or without a letter; UUIDs; words or short numbers joined by
-#: one of `/_-=`; dates with times; samples that say so in a part of their own, or at their end.
+#: one of `/_-=`; dates with times; samples that say so in a part of their own (unless another part is a longer run than a
+#: window: 25 letters and digits, with a digit) or at their end.
 ALLOWED = (
     r"^[^0-9]*+$",
     r"^[^A-Za-z]*+$",
     r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
     r"^[/_=-]*+(?:(?:[A-Za-z]++|[0-9]{1,4}+)(?:[/_=-]++|$))++$",
     r"^[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9-]++Z?$",
-    r"(?i)(?:^|[/_=-])(?:example|sample|placeholder|x{6,}|1234567890?)(?:[/_=-]|$)",
+    r"(?i)^(?!.*?(?<![A-Z0-9])(?=[A-Z]*+[0-9])[A-Z0-9]{25}).*?(?:^|[/_=-])(?:example|sample|placeholder|x{6,}|1234567890?)(?:[/_=-]|$)",
     r"EXAMPLE(?:KEY)?$",
 )
 #: Kinds in their order for equal starts.
