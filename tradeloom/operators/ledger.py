@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled_risk, given, normal_shares, parsed_month, parsed_number
+from ..functions.columns import filled_risk, given, normal_shares, parsed_month
 from .filters import trade_faults
 from .joins import with_balance
 
@@ -35,13 +35,17 @@ def tracker_rows(lines: DataFrame, as_of: Column) -> DataFrame:
     """
     head = F.col("line").startswith("Pnl") | F.col("line").startswith("Month") | F.col("line").startswith("Average")
     ignored = ~F.col("line").contains(",") | head
-    rows = lines.withColumns({"_ignored": F.coalesce(ignored, F.lit(True)), "f": F.split("line", ",", -1)})
+    # A generator computes what it holds once; a projection's columns would be computed again wherever they are named.
+    once = lambda df, x, name: df.select("*", F.explode(F.array(x)).alias(name))
+    rows = once(lines.select("user_id", "line_no", F.coalesce(ignored, F.lit(True)).alias("_ignored"), "line"), F.split("line", ",", -1), "f")
     field = lambda i: F.btrim(F.coalesce(F.get("f", F.lit(i)), F.lit("")), F.lit(WHITE))
-    number = lambda i: parsed_number(field(i))
-    fault = F.when(F.col("_ignored"), "ignored").when(F.size("f") < 7, "fields").when(field(0) == "", "month").when(field(1) == "", "ticker").when(~(number(2) > 0), "buy_price").when(~(number(4) > 0), "shares")
-    rows = rows.select(
-        "user_id", "line_no", fault.alias("fault"), field(0).alias("month"), F.upper(field(1)).alias("ticker"), number(2).alias("buy_price"), number(3).alias("_sell"), number(4).alias("shares"), number(6).alias("_risk"), number(13).alias("_pnl")
+    number = lambda i: F.coalesce(field(i).try_cast("double"), F.lit(0.0))  # noqa: E731  # a field has no commas
+    fields = F.struct(
+        F.size("f").alias("n"), field(0).alias("month"), F.upper(field(1)).alias("ticker"), number(2).alias("buy_price"), number(3).alias("_sell"), number(4).alias("shares"), number(6).alias("_risk"), number(13).alias("_pnl")
     )
+    rows = once(rows, F.when(~F.col("_ignored") & (F.size("f") >= 7), fields), "x").select("user_id", "line_no", "_ignored", "x.*")
+    fault = F.when(F.col("_ignored"), "ignored").when(F.col("n").isNull(), "fields").when(F.col("month") == "", "month").when(F.col("ticker") == "", "ticker").when(~(F.col("buy_price") > 0), "buy_price").when(~(F.col("shares") > 0), "shares")
+    rows = rows.withColumn("fault", fault)
     sold = F.col("_sell") > 0
     return rows.select(
         "user_id", "line_no", "fault", parsed_month("month", as_of).alias("date"), "ticker", "buy_price", F.when(sold, F.col("_sell")).alias("sell_price"), "shares", F.when(F.col("_risk") > 0, F.col("_risk")).alias("risk_dollars"),

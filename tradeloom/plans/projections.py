@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as K
-from ..operators.joins import rate_as_of, with_balance, with_fees
+from ..operators.joins import parsed_rates, rate_as_of, with_balance, with_fees
 from ..sources.canonical import AS_OF, Journal
 from ..sources.schemas import TRADES
 from ..sources.store import accepted, ingest, quarantined, shared_folder
@@ -254,3 +254,16 @@ def jn_fx_rate(j: Journal):
     rates = events.where("action = 'error'").groupBy("currency", F.col("ts").alias("fetched_at")).agg(F.min("value").alias("rate_per_usdt"))
     asked = events.where("action <> 'error'").select("user_id", "ts", "action", "currency")
     return rate_as_of(asked, rates, 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    "jn_fx_responses", "usage_events",
+    "SELECT currency, CASE currency WHEN 'USD' THEN 1.0::DOUBLE WHEN 'INR' THEN value WHEN 'EUR' THEN 0.9::DOUBLE ELSE 1.3::DOUBLE END AS rate_per_usdt, ts AS fetched_at FROM usage_events, (VALUES ('USD'), ('INR'), ('EUR'), ('SGD')) c(currency) WHERE action='error' AND value<>0 AND user_id%5>=2",
+)
+def jn_fx_responses(j: Journal):
+    """Rates of JSON responses; those without one of the four rates, with a rate of 0, or that are no JSON give none."""
+    one = F.lit(1.0)
+    tether = F.struct(one.alias("usd"), F.col("value").alias("inr"), F.lit(0.9).alias("eur"), F.when(F.col("user_id") % 5 != 0, F.lit(1.3)).alias("sgd"))
+    body = F.when(F.col("user_id") % 5 == 1, "no json").otherwise(F.to_json(F.struct(tether.alias("tether"))))
+    responses = j.usage_events().where("action = 'error'").select(body.alias("body"), F.col("ts").cast("timestamp").alias("fetched_at"))
+    return parsed_rates(responses).withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
