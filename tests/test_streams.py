@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tradeloom import plans
 from tradeloom.operators import calendar, filters, joins
 from tradeloom.sources import schemas
 from tradeloom.sources.versions import MonthTable
@@ -154,6 +155,22 @@ def test_sessions_come_out_once_and_late_events_join_them(spark, files):
     assert got == [(1, 1, 10, 0, 11, 30, 3), (1, 4, 8, 0, 8, 50, 2), (2, 1, 9, 45, 10, 30, 2), (3, 4, 8, 0, 8, 30, 1), (5, 4, 8, 0, 8, 30, 1)]
 
 
+def test_all_sessions_of_a_table_come_out(spark, tmp_path):
+    at = lambda d, h, m, year=2024: datetime(year, 1, d, h, m)
+    rows = [(1, at(1, 10, 0)), (1, at(1, 10, 30)), (1, at(1, 11, 1)), (2, at(1, 23, 50)), (2, at(2, 0, 5)), (None, at(2, 0, 5)), (3, at(5, 0, 0, 1965)), (3, at(5, 0, 1, 1965)), (2, None), (2, None), (None, None)]
+    table = spark.createDataFrame([(i, ts, u, "view", 1.0, "{}") for i, (u, ts) in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    for n, part in (("all", table), ("none", table.where("false")), ("untimed", table.where("ts IS NULL"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+    out = {n: plans.QUERIES["st_usage_sessions"](spark, f"{tmp_path}/{n}") for n in ("all", "none", "untimed")}
+    timed = [
+        (1, at(1, 10, 0), at(1, 11, 0), 2), (1, at(1, 11, 1), at(1, 11, 31), 1), (2, at(1, 23, 50), at(2, 0, 35), 2),
+        (3, at(5, 0, 0, 1965), at(5, 0, 31, 1965), 2), (None, at(2, 0, 5), at(2, 0, 35), 1),
+    ]
+    untimed = [(2, None, None, 2), (None, None, None, 1)]
+    assert content(out["all"]) == sorted(timed + untimed, key=str)
+    assert content(out["none"]) == [] and content(out["untimed"]) == sorted(untimed, key=str)
+
+
 def tracker(spark, *rows):
     """(user, line, minute of arrival)"""
     found = [(u, f"{m:05d}-{i}", line, datetime(2024, 6, 1) + timedelta(minutes=m)) for i, (u, line, m) in enumerate(rows)]
