@@ -13,7 +13,7 @@ from tradeloom.sources.versions import MonthTable
 from tradeloom.streaming import twins
 from tradeloom.streaming.exits import ROCKSDB, exit_apply
 from tradeloom.streaming.imports import import_lines, new_rows, stored_trades
-from tradeloom.streaming.rates import running_rates
+from tradeloom.streaming.rates import RateProcessor, running_rates
 from tradeloom.streaming.windows import Lateness, keep_windows
 
 DELAY = timedelta(days=30)
@@ -347,3 +347,48 @@ def test_a_range_without_trades_falls_back_by_user(spark):
     got = filters.metrics_range(t, F.lit("2024-01-01").cast("date"), F.lit("2024-01-10").cast("date"))
     assert sorted(r.trade_id for r in got.collect()) == ["a", "c"] and got.columns == t.columns
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+class _State:
+    """A state variable that counts its calls."""
+
+    def __init__(self, calls):
+        self.rows, self.calls = [], calls
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name == "appendValue":
+                self.rows.append(given[0])
+            elif name in ("put", "clear"):
+                self.rows = list(given[0]) if given else []
+            return iter(list(self.rows))
+
+        return call
+
+
+def test_calls_to_the_state_of_rates_do_not_grow_with_the_requests():
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        getListState = getMapState = lambda self, *given: _State(calls)
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(("timer", at))
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 1000
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+    processor = RateProcessor(300)
+    processor.init(Handle())
+    asked = [("request", f"q{i}", 1000 * i + 7, 0.0) for i in range(2000)]
+    rows = pd.DataFrame([("rate", "", 0, 1.5), *asked, asked[3], ("rate", "", 500_000, 2.5)], columns=["kind", "id", "at", "rate"])
+    assert list(processor.handleInputRows(("INR", 0), iter([rows]), Clock())) == []
+    out = pd.concat(processor.handleExpiredTimer(("INR", 0), Clock(), Clock()))
+    assert sorted(zip(out["request_id"], out["rate"], strict=True)) == sorted((f"q{i}", 1.5 if i < 500 else 2.5) for i in range(1000))
+    assert len(calls) < 15 and ("timer", 0) in calls and ("timer", 1000) in calls  # the earliest, then the earliest that is left

@@ -16,49 +16,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 
-_AT = T.StructType([T.StructField("at", T.LongType())])
-_RATE = T.StructType([T.StructField("rate", T.DoubleType())])
-_REQUEST = T.StructType([T.StructField("at", T.LongType()), T.StructField("id", T.StringType())])
-_NOTHING = T.StructType([T.StructField("any", T.BooleanType())])
+_TIMES = T.StructField("at", T.ArrayType(T.LongType()))
+_RATES = T.StructType([_TIMES, T.StructField("rate", T.ArrayType(T.DoubleType()))])
+_REQUESTS = T.StructType([_TIMES, T.StructField("id", T.ArrayType(T.StringType()))])
 ANSWER = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("currency", T.StringType()), T.StructField("rate", T.DoubleType())])
 
 
+def _rows(state: ListState) -> Iterator[tuple]:
+    """Rows of a list whose values are columns."""
+    for columns in state.get():
+        yield from zip(*columns, strict=True)
+
+
 class RateProcessor(StatefulProcessor):
-    """One currency and span. Times are microseconds; timers are milliseconds, rounded up."""
+    """One currency and span. Times are microseconds; timers are milliseconds.
+
+    What comes goes to lists of columns, all of a batch in one call: a call for each row took most of the time. A key has
+    a timer for its earliest request, not for each, and when it goes off all requests from before the watermark are
+    answered together.
+    """
 
     def __init__(self, max_age_seconds: int):
         self._age = max_age_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._rates = handle.getMapState("rates", _AT, _RATE)
-        self._waiting = handle.getMapState("waiting", _REQUEST, _NOTHING)
+        self._rates = handle.getListState("rates", _RATES)
+        self._waiting = handle.getListState("waiting", _REQUESTS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        earliest = None
         for some in rows:
-            for kind, name, at, rate in zip(some["kind"], some["id"], some["at"].tolist(), some["rate"].tolist(), strict=True):
-                if kind == "rate":
-                    self._rates.updateValue((at,), (rate,))
-                else:
-                    self._waiting.updateValue((at, name), (True,))
-                    self._handle.registerTimer(-(-at // 1000))
+            is_rate = (some["kind"] == "rate").to_numpy()
+            told, asked = some[is_rate], some[~is_rate]
+            if len(told):
+                self._rates.appendValue((told["at"].tolist(), told["rate"].tolist()))
+            if len(asked):
+                at = asked["at"].tolist()
+                self._waiting.appendValue((at, asked["id"].tolist()))
+                earliest = min(at) if earliest is None else min(earliest, *at)
+        if earliest is not None:
+            self._handle.registerTimer(earliest // 1000)
         self._handle.registerTimer((key[1] + 1) * self._age // 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((k[0], k[1]) for k, _ in self._waiting.iterator() if k[0] <= now)
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = set(_rows(self._waiting))  # one that was delivered twice is one
+        due = sorted(w for w in waiting if w[0] < now)
         out = []
         if due:
-            rates = sorted((k[0], v[0]) for k, v in self._rates.iterator())
+            rates = sorted(dict(_rows(self._rates)).items())  # of two at one time the later delivery
             times = [t for t, _ in rates]
             for at, name in due:
-                self._waiting.removeKey((at, name))
                 i = bisect_right(times, at) - 1
                 # ages are told by whole seconds, as in the batch job
                 fresh = i >= 0 and (at // 1_000_000 - times[i] // 1_000_000) * 1_000_000 < self._age
                 out.append((name, key[0], rates[i][1] if fresh else None))
+            later = sorted(waiting.difference(due))
+            if later:
+                self._waiting.put([([at for at, _ in later], [name for _, name in later])])
+                self._handle.registerTimer(later[0][0] // 1000)
+            else:
+                self._waiting.clear()
         if now >= (key[1] + 1) * self._age:  # nothing of this span can come any more
             self._rates.clear()
         if out:
