@@ -118,3 +118,16 @@ def test_a_hundred_thousand_exits_of_one_position(spark):
     began = time.time()
     got = {(r.outcome, r.lot_id): r.n for r in ledger.apply_exits(t, asked, F.lit("2024-02-01").cast("date"))[1].groupBy("outcome", "lot_id").agg(F.count("*").alias("n")).collect()}
     assert got == {("partial", "l0"): 59_999, ("full", "l0"): 1, ("partial", "l1"): 40_000} and time.time() - began < 30
+
+
+def test_documents_are_parsed_once_and_stored_compressed(spark, monkeypatch):
+    from tradeloom.plans import projections
+    from tradeloom.sources.canonical import Journal
+
+    seen = []
+    monkeypatch.setattr(projections, "ingest", lambda *given: seen.append(given[1]) or store.ingest(*given))
+    documents = projections._documents(Journal(spark, "/root/testdata/sf0.001"))
+    for some in (store.accepted(documents), store.quarantined(documents)):
+        # what is parsed comes out of generators, and no projection above them parses it again for each field
+        assert some._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 3
+    assert seen and all(f.endswith(".lz4") for f in spark.read.text(seen[0]).inputFiles())
