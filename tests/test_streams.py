@@ -118,6 +118,22 @@ def test_weekly_windows_are_kept_alike(spark, files):
     assert content(table.read()) == content(twins.run_available(twins.weekly_rolling(files.stream()), "complete"))
 
 
+def test_weeks_are_made_of_stored_days(spark, files, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"t{i}", 1 + i % 3, date(2024, 1, 1) + timedelta(days=rng.randrange(25)), float(rng.randint(-9, 9))) for i in range(120)]
+    for i in range(0, 120, 40):
+        files.add(trades(spark, *rows[i : i + 40]))
+    table = calendar_table(spark, files)
+    keep_windows(twins.weekly_rows(files.stream()), twins.entry_day_sums, "ts", F.date_add(F.col("ts").cast("date"), 1).cast("timestamp"), DELAY, table, f"{files.path}/late", f"{files.path}/state").awaitTermination()
+    assert table.read().count() == len({r[1:3] for r in rows})  # a row for a day, not for each of its seven weeks
+    weeks = twins.weeks_of_days(table.read())
+    assert content(weeks) == content(twins.weekly_sums(twins.weekly_rows(trades(spark, *rows))).select(weeks.columns))
+    seen = []
+    monkeypatch.setattr(plans.streams, "_kept", lambda j, rows, sums, keys, day: seen.append((sums, keys)) or table.read())
+    plans.QUERIES["st_weekly_rolling"](spark, "/root/testdata/sf0.001")
+    assert seen == [(twins.entry_day_sums, ["user_id", "day"])]
+
+
 def test_a_batch_that_is_run_again_changes_nothing(spark, files):
     """The table holds batch 0, the checkpoint doesn't: a new run begins with batch 0 and leaves it."""
     table = calendar_table(spark, files)
