@@ -228,6 +228,21 @@ def test_keys_come_in_once_over_batches_restarts_and_beyond_the_horizon(spark, f
     assert len({r.trade_id for r in table.read().collect()}) == 5
 
 
+def test_lines_that_are_no_trades_are_not_kept_in_the_state(spark, files, monkeypatch):
+    table = stored_trades(spark, f"{files.path}/trades")
+    table.create(spark.createDataFrame([], "trade_id string, user_id long, ticker string, date date, buy_price double"))
+    files.add(tracker(spark, (1, AAPL, 0), *((1, x, 0) for x in ("Month,Ticker,a,b,c,d,e", "a,b,1,2,3", "no comma", "Pnl May,1,,,,,,,")), (1, TSLA, 0)))
+    query = imported(spark, files, table)
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]] == [2]
+    assert len(stored_keys(table)) == 2
+    seen = []
+    start = plans.streams.import_lines
+    monkeypatch.setattr(plans.streams, "import_lines", lambda *given: seen.append(spark.conf.get("spark.sql.streaming.stateStore.providerClass")) or start(*given))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    plans.QUERIES["st_import_dedup"](spark, "/root/testdata/sf0.001")
+    assert seen == [ROCKSDB] and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
 def test_an_import_reads_and_writes_only_its_months(spark, files):
     table = stored_trades(spark, f"{files.path}/trades")
     table.create(spark.createDataFrame([(f"t{m}", 1, "A", date(2025, m, 1), 1.0) for m in range(1, 8)], "trade_id string, user_id long, ticker string, date date, buy_price double"))
