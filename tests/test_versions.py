@@ -129,3 +129,9 @@ def test_random_merges_equal_a_dictionary(spark, table):
             model.pop(k, None)
         model.update((r[0], r) for r in change)
         assert content(table.read()) == sorted(model.values(), key=str)
+
+
+def test_rows_are_stored_as_zstd(spark, tmp_path):
+    new = MonthTable(spark, str(tmp_path / "small"), ["id"], F.col("day"))
+    new.create(spark.createDataFrame([(1, date(2024, 1, 1))], "id long, day date"))
+    assert [f.rsplit(".", 2)[-2] for f in new.read().inputFiles()] == ["zstd"]

@@ -107,7 +107,7 @@ class MonthTable:
         commit = uuid.uuid4().hex
         folder = f"{self.path}/rows/commit={commit}"
         # an exchange by month whose large parts are split and small ones joined, by size
-        rows.withColumn("month", self.month()).hint("rebalance", "month").write.partitionBy("month").parquet(folder)
+        rows.withColumn("month", self.month()).hint("rebalance", "month").write.option("compression", "zstd").partitionBy("month").parquet(folder)
         return {m: commit for m in months if self._store().exists(self._at(f"{folder}/month={m}"))}
 
     def create(self, rows: DataFrame, marks: dict | None = None) -> int:
